@@ -26,6 +26,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def hinted(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """A materialised table of few narrow rows with a broadcast hint, if it has at most `most` of them; else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def words(text) -> F.Column:
     """The words of a text column; none for a null text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

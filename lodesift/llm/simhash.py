@@ -209,5 +209,6 @@ def groups(prints: DataFrame, column: str = "fp0", most: int = 4, probe: int = 3
     nodes = connected(links(classes.select("fp"), most, probe, limit))
     reached = nodes.join(classes, nodes.node == classes.fp).groupBy("root").agg(F.min("low").alias("lowest"))
     moved = nodes.join(reached, "root").select(F.col("node").alias("fp"), "lowest")
-    known = classes.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component"))
+    # A table of its own, so that the join below is one that Spark can split at a hot fingerprint.
+    known = cut(classes.join(moved, "fp", "left").select("fp", F.coalesce("lowest", "low").alias("component")))
     return prints.join(known, "fp").select("id", "fp", "component")
