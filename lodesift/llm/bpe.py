@@ -3,22 +3,30 @@
 A byte pair that occurs inside no token of the vocabulary can never be merged over, so a text may be cut there and its
 fragments encoded on their own. The cuts used are those that the word splitting before the merges can't feel either:
 before ASCII white space, or after another ASCII character unless an apostrophe follows (which could start a
-contraction). Fragments repeat a lot; each worker encodes one once and looks it up after that.
+contraction). Of these, the cuts before a space make the fragments, and a run without spaces is cut at the others into
+blocks. Fragments repeat a lot; each worker encodes one once and looks it up after that.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
+from array import array
 from functools import lru_cache
-from itertools import chain
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fragments that a worker remembers; when there are more it starts afresh.
-_REMEMBERED = 1 << 18
+#: Fragments that a worker remembers, the first ones it meets.
+_REMEMBERED = 1 << 19
+#: Longer fragments are encoded each time, so that what is remembered stays small.
+_LONG = 64
+#: Least bytes of the fragments of a long run without spaces.
+_BLOCK = 4096
 
 
 def default_path() -> str:
@@ -47,10 +55,12 @@ class Codec:
         added = {i: t.content for i, t in self.model.get_added_tokens_decoder().items()}
         byte_of, pairs = _byte_of_letter(), np.zeros((256, 256), bool)
         self.pieces = {i: s.encode() for i, s in added.items()}
+        ranks = {}
         for token, i in self.model.get_vocab(with_added_tokens=False).items():
             if i not in added:
                 raw = bytes(byte_of[c] for c in token)
                 self.pieces[i] = raw
+                ranks[raw] = i
                 for a, b in zip(raw, raw[1:]):
                     pairs[a, b] = True
         space = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -58,41 +68,70 @@ class Codec:
         quote = np.arange(256) == ord("'")
         safe = space[None, :] | (word[:, None] & ~quote[None, :])
         self.cuts = (safe & ~pairs).ravel()
-        self.added = sorted(added.values(), key=len, reverse=True)
-        self.known: dict[bytes, list[int]] = {}
-
-    def fragments(self, text: str) -> list[bytes]:
-        """The text's bytes, cut at added tokens and at forced boundaries."""
-        parts = [(text, False)]
-        for token in self.added:
-            if token in text:
-                parts = [q for s, whole in parts for q in ([(s, True)] if whole else self._around(s, token))]
+        bound = [bytes([x]) for x in range(256) if pairs[x, 32]]
+        self.bound = [x + b" " for x in bound]
+        self.split = re.compile(b"(?<![" + b"".join(map(re.escape, bound)) + b"]) " if bound else b" ").split
+        self.added = {s: i for i, s in sorted(added.items(), key=lambda x: -len(x[1]))}
+        self.width = "H" if max(self.pieces) < 1 << 16 else "i"
+        self.known: dict[bytes, bytes] = {}
+        self.ordinary = self._ordinary(path, ranks)
+
+    def _ordinary(self, path: str, ranks: dict[bytes, int]):
+        """What encodes a fragment: merging by rank where ids are in the order of the merges, else the library itself."""
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        byte_of = _byte_of_letter()
+        made = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        made = [bytes(byte_of[c] for c in a + b) for a, b in made]
+        if sorted(ranks.values()) == list(range(len(ranks))) and [ranks.get(m) for m in made] == list(range(256, len(ranks))):
+            import tiktoken
+            from public_tokenizers import PATTERN
+
+            return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda s: self.model.encode(s, add_special_tokens=False).ids
+
+    def fragments(self, raw: bytes, least: int = 1) -> list[bytes]:
+        """UTF-8 bytes cut at forced boundaries, each fragment but the last of `least` bytes or more."""
+        b = np.frombuffer(raw, np.uint8).astype(np.uint16)
+        marks = np.flatnonzero(self.cuts[(b[:-1] << 8) | b[1:]]) + 1
+        at, i = [0], 0
+        while (i := int(np.searchsorted(marks, at[-1] + least))) < len(marks):
+            at.append(int(marks[i]))
+        return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)])]
+
+    def _ids(self, raw: bytes) -> bytes:
+        return array(self.width, self.ordinary(raw.decode())).tobytes()
+
+    def _long(self, raw: bytes) -> bytes:
+        return self._ids(raw) if len(raw) < 2 * _BLOCK else b"".join(map(self._ids, self.fragments(raw, _BLOCK)))
+
+    def _plain(self, text: str) -> bytes:
+        # The boundaries before a space are enough: fragments are words with the space before them.
+        raw = text.encode()
+        first, *rest = self.split(raw) if any(x in raw for x in self.bound) else raw.split(b" ")
+        got = list(map(self.known.get, rest))
+        if None in got:
+            for i, ids in enumerate(got):
+                if ids is None:
+                    word = rest[i]
+                    got[i] = ids = self._long(b" " + word)
+                    if len(word) <= _LONG and len(self.known) < _REMEMBERED:
+                        self.known[word] = ids
+        return self._long(first) + b"".join(got)
+
+    def _parts(self, text: str, tokens: list[str]) -> list[bytes]:
+        if not tokens:
+            return [self._plain(text)]
         out = []
-        for s, whole in parts:
-            raw = s.encode()
-            if whole or len(raw) < 2:
-                out += [raw] if raw else []
-                continue
-            b = np.frombuffer(raw, np.uint8).astype(np.intp)
-            at = (np.flatnonzero(self.cuts[b[:-1] * 256 + b[1:]]) + 1).tolist()
-            out += [raw[i:j] for i, j in zip([0, *at], [*at, len(raw)])]
+        for i, s in enumerate(text.split(tokens[0])):
+            out += [array(self.width, [self.added[tokens[0]]]).tobytes()] if i else []
+            out += self._parts(s, tokens[1:])
         return out
 
-    @staticmethod
-    def _around(s: str, token: str) -> list[tuple[str, bool]]:
-        pieces = s.split(token)
-        return [x for i, p in enumerate(pieces) for x in ([(token, True)] if i else []) + [(p, False)]]
-
     def encode(self, text: str | None) -> np.ndarray:
-        found = self.fragments(text or "")
-        new = set(found) - self.known.keys()
-        if len(new) + len(self.known) > _REMEMBERED:
-            self.known, new = {}, set(found)
-        if new:
-            new = list(new)
-            for f, e in zip(new, self.model.encode_batch([f.decode() for f in new], add_special_tokens=False)):
-                self.known[f] = e.ids
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, found)), np.int32)
+        """Token ids; added tokens written out in the text count as those tokens."""
+        found = self._parts(text or "", [t for t in self.added if t in (text or "")])
+        return np.frombuffer(b"".join(found), self.width)
 
     def decode(self, ids) -> str:
         """The text of ids, special tokens included; ids outside the vocabulary add nothing, as in the library."""
@@ -106,7 +145,7 @@ def codec(path: str) -> Codec:
 
 def _lists(found: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)))
 
 
 def _grow(df: DataFrame, source: str, column: str, kind: str, each) -> DataFrame:
@@ -143,3 +182,26 @@ def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path:
         return pa.array([codec(path).decode(x.values.to_pylist() if x.is_valid else []) for x in ids], pa.string())
 
     return _grow(df, ids_col, text_col, "string", each)
+
+
+def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256): each text encoded, decoded again, and both hashed.
+
+    The ids are hashed as decimal numbers joined by commas. One pass; ids and texts stay in their task.
+    """
+    path = path or default_path()
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def each(batches):
+        for b in batches:
+            found = []
+            for t in b.column(1):
+                ids = codec(path).encode(t.as_py()).tolist()
+                text = codec(path).decode(ids).encode()
+                found.append((len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256(text).hexdigest()))
+            n, a, d = zip(*found) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=names)
+
+    return rows.mapInArrow(each, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodesift.llm import simhash
+from lodesift.llm import bpe, kdtree, mixing, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,23 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup,)}
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document mixed to weights 1, 2, 3 of its source, none more than three times."""
+    found = mixing.mix(_table(spark, sf_dir, "documents"), weights=(1, 2, 3), most=3)
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "repeats")
+
+
+def op5_byte_pair_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded, as digests."""
+    return bpe.digests(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op9_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards of nearly equal bytes."""
+    found = kdtree.shard(_table(spark, sf_dir, "documents"), shards=16)
+    return found.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op5_byte_pair_codec, op9_kd_tree_shards)}
 
 SQL: dict[str, str] = {}
