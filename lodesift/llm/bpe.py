@@ -73,6 +73,7 @@ class Codec:
         self.split = re.compile(b"(?<![" + b"".join(map(re.escape, bound)) + b"]) " if bound else b" ").split
         self.added = {s: i for i, s in sorted(added.items(), key=lambda x: -len(x[1]))}
         self.width = "H" if max(self.pieces) < 1 << 16 else "i"
+        self.lengths = np.array([len(self.pieces.get(i, b"")) for i in range(max(self.pieces) + 1)])
         self.known: dict[bytes, bytes] = {}
         self.ordinary = self._ordinary(path, ranks)
 
@@ -105,18 +106,25 @@ class Codec:
     def _long(self, raw: bytes) -> bytes:
         return self._ids(raw) if len(raw) < 2 * _BLOCK else b"".join(map(self._ids, self.fragments(raw, _BLOCK)))
 
+    def _learn(self, words) -> None:
+        """Remembers words, each with a space before it; they are encoded in one go and told apart by their bytes."""
+        if not words or len(self.known) + len(words) > _REMEMBERED:
+            return
+        ids = np.array(self.ordinary((b" " + b" ".join(words)).decode()), self.width)
+        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w) + 1 for w in words])) + 1
+        raw, size = ids.tobytes(), ids.itemsize
+        ends = (ends * size).tolist()
+        self.known.update(zip(words, (raw[i:j] for i, j in zip([0, *ends], ends))))
+
     def _plain(self, text: str) -> bytes:
         # The boundaries before a space are enough: fragments are words with the space before them.
         raw = text.encode()
         first, *rest = self.split(raw) if any(x in raw for x in self.bound) else raw.split(b" ")
         got = list(map(self.known.get, rest))
         if None in got:
-            for i, ids in enumerate(got):
-                if ids is None:
-                    word = rest[i]
-                    got[i] = ids = self._long(b" " + word)
-                    if len(word) <= _LONG and len(self.known) < _REMEMBERED:
-                        self.known[word] = ids
+            self._learn(dict.fromkeys(w for w, ids in zip(rest[:-1], got) if ids is None and len(w) <= _LONG))
+            got = [self.known.get(w) if ids is None else ids for w, ids in zip(rest, got)]
+            got = [self._long(b" " + w) if ids is None else ids for w, ids in zip(rest, got)]
         return self._long(first) + b"".join(got)
 
     def _parts(self, text: str, tokens: list[str]) -> list[bytes]:
