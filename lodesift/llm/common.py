@@ -33,7 +33,8 @@ def hinted(df: DataFrame, most: int = 100_000) -> DataFrame:
 
 def words(text) -> F.Column:
     """The words of a text column; none for a null text."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
+    inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE + "+"))
 
 
 def global_index(df: DataFrame, *order: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodesift.llm import bpe, kdtree, mixing, simhash
+from lodesift.llm import bpe, kdtree, language, mixing, quality, quotes, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +29,50 @@ def op5_byte_pair_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document from its text, its declared language and its source."""
+    docs = _table(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text", "lang", "source"), language.fit(docs), "text", "lang", "source")
+    return found.select("doc_id", "language", "probability", "text_language", "kept")
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from its visible text, its html tag, its address suffix and its host."""
+    html = F.col("html")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", language.visible(html).alias("text"), language.declared_in_markup(html).alias("lang"))
+    found = language.identify(pages, language.fit(pages), "text", "lang", "url")
+    return found.select("page_id", "language", "probability", "text_language", "kept")
+
+
+def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and failure bits of every document, and the verdict of policy v2."""
+    found = quality.ledger(_table(spark, sf_dir, "documents"))
+    base, full = quality.POLICIES
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed")
+    return found.select(F.col("id").alias("doc_id"), *names, (~quality.verdict(base)).alias("base_failed"), quality.verdict(full).alias("kept"))
+
+
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each policy and rule: rows that fail it, rows dropped for it alone, rows kept without it."""
+    return quality.ablation(quality.ledger(_table(spark, sf_dir, "documents")))
+
+
 def op9_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 16 shards of nearly equal bytes."""
     found = kdtree.shard(_table(spark, sf_dir, "documents"), shards=16)
     return found.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_source_mixing, op5_byte_pair_codec, op9_kd_tree_shards)}
+def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without quotes, with the message that it replies to and its place in its conversation."""
+    found = quotes.chat(quotes.linked(_table(spark, sf_dir, "conversations")))
+    return found.withColumnRenamed("conv", "conv_id").drop("body")
+
+
+_ALL = (
+    op1_simhash_near_dedup, op2_source_mixing, op5_byte_pair_codec, op7_language_id, language_id_pages,
+    op8_quality_ledger, quality_ablation, op9_kd_tree_shards, op10_quotation_linking,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 SQL: dict[str, str] = {}
