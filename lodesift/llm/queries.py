@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodesift.llm import bpe, kdtree, language, mixing, quality, quotes, simhash
+from lodesift.llm import bpe, itq, kdtree, language, mixing, quality, quotes, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op5_byte_pair_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at a cosine of 0.98 or more between embeddings of a label, and their components."""
+    found = itq.near(_table(spark, sf_dir, "embeddings"), least=0.98)
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document from its text, its declared language and its source."""
     docs = _table(spark, sf_dir, "documents")
@@ -70,7 +76,7 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_simhash_near_dedup, op2_source_mixing, op5_byte_pair_codec, op7_language_id, language_id_pages,
+    op1_simhash_near_dedup, op2_source_mixing, op5_byte_pair_codec, op6_embedding_near_dedup, op7_language_id, language_id_pages,
     op8_quality_ledger, quality_ablation, op9_kd_tree_shards, op10_quotation_linking,
 )
 QUERIES = {f.__name__: f for f in _ALL}
