@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodesift.llm import bpe, itq, kdtree, language, mixing, quality, quotes, simhash
+from lodesift.llm import bpe, itq, kdtree, language, mixing, quality, quotes, simhash, toxicity, training_order
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,20 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "repeats")
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence of the tokenised documents, with its slot in the training order and its place in the shards."""
+    found = training_order.materialise(_table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("ids", "doc_ids").withColumnRenamed("crc", "tokens_crc32")
+
+
+def op4_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities and verdicts of low quality and then toxicity for every document."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, {"low_quality": "quality = 0", "toxic": "toxic = 1"})
+    found = toxicity.predict(docs, model)
+    return found.select(F.col("id").alias("doc_id"), "p_low_quality", F.col("is_low_quality").alias("low_quality"), "p_toxic", F.col("is_toxic").alias("toxic"))
+
+
 def op5_byte_pair_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded, as digests."""
     return bpe.digests(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -76,7 +90,7 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALL = (
-    op1_simhash_near_dedup, op2_source_mixing, op5_byte_pair_codec, op6_embedding_near_dedup, op7_language_id, language_id_pages,
+    op1_simhash_near_dedup, op2_source_mixing, op3_training_order, op4_toxicity_chain, op5_byte_pair_codec, op6_embedding_near_dedup, op7_language_id, language_id_pages,
     op8_quality_ledger, quality_ablation, op9_kd_tree_shards, op10_quotation_linking,
 )
 QUERIES = {f.__name__: f for f in _ALL}
