@@ -2,13 +2,58 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodesift.llm import bpe, language, mixing, quality, simhash_wide
+from lodesift.llm.common import shared_dir
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that is known."""
+    found = language.identify(docs, language.fit(docs), "text", "lang", "source")
+    return found.where("kept").select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that policy v2 keeps."""
+    return quality.kept(docs, quality.POLICIES[-1])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash_wide.keep_one(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    return mixing.repeated(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and whether they decode to its text."""
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")))
+    whole = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
+    return coded.select("doc_id", "lang", "source", "ids", F.size("ids").cast("bigint").alias("n_tokens"), whole.alias("round_trip"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("quality rules", quality_rules),
+    ("SimHash near-dedup", near_dedup),
+    ("mixing sources to target weights", mixing_stage),
+    ("BPE encoding and decoding", encoding),
+]
+#: SQL can't express the language models and fingerprints; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """`documents` through every stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`documents` through every stage, each written to the shared folder and read again."""
+    import uuid
+
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
     return docs

@@ -20,13 +20,14 @@ LEVELS = 3
 
 def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, source, size, h) of each row: words of the text (null: 0) and a hash of the id in 60 bits."""
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    return df.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint").alias("h"),
-    )
+    size, h = _size_and_hash(F.col(id_col), F.col(text_col))
+    return df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), h.alias("h"))
+
+
+def _size_and_hash(ident: F.Column, text: F.Column) -> tuple[F.Column, F.Column]:
+    digest = F.md5(F.coalesce(ident.cast("string"), F.lit("")).cast("binary"))
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+    return size, F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def targets(sizes: DataFrame, weights: tuple = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -91,3 +92,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     known = plan(rows, weights, most)
     out = rows.join(hinted(known.withColumnRenamed("source", "s")), rows.source.eqNullSafe(F.col("s"))).withColumn("repeats", repeats())
     return out.select("id", "source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size")).alias("taken"))
+
+
+def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (1, 2, 3), most: int = 3) -> DataFrame:
+    """The rows of `df` as often as the mix takes them, with their columns; texts are not shuffled."""
+    sizes = sized(df, id_col, text_col, source_col)
+    known = plan(cut(sizes), weights, most).withColumnRenamed("source", "_source")
+    carried = df.select(F.struct("*").alias("_row"), F.col(source_col).alias("_s"))
+    rows = carried.select("_row", "_s", *[c.alias(n) for n, c in zip(("size", "h"), _size_and_hash(F.col("_row")[id_col], F.col("_row")[text_col]))])
+    rows = rows.join(hinted(known), F.col("_s").eqNullSafe(F.col("_source"))).withColumn("repeats", repeats())
+    return rows.where("repeats > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), "repeats"))).select("_row.*")

@@ -117,6 +117,15 @@ def bits(rules=RULES) -> Column:
     return found
 
 
+def kept(df: DataFrame, policy: Policy, text_col: str = "text", rules=RULES) -> DataFrame:
+    """The rows of `df` that a policy keeps, with their columns."""
+    own = [F.col("_row")[c].alias(c) for c in df.columns]
+    m = F.col("_m")
+    found = measured(df.select(F.struct("*").alias("_row"), F.col(text_col).alias("text")), "text")
+    found = found.select("_row", *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_letter_runs")], m["lines"]["n"].alias("n_lines"), m["lines"]["d"].alias("n_dup_lines"))
+    return found.withColumn("failed", bits(rules)).where(verdict(policy, rules)).select(*own)
+
+
 def verdict(policy: Policy, rules=RULES, failed: str = "failed") -> Column:
     """Whether a row of a ledger is kept by a policy."""
     return F.col(failed).bitwiseAND(F.lit(policy.mask(rules))) == 0
