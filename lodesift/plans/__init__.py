@@ -1,4 +1,6 @@
 """Registered queries over the driver's tables, with their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from lodesift.plans import documents, logs, ranking
+
+QUERIES: dict = documents.QUERIES | ranking.QUERIES | logs.QUERIES
+SQL: dict = documents.SQL | ranking.SQL | logs.SQL
