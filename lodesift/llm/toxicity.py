@@ -86,9 +86,12 @@ def chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray, penalty: float =
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability that gives the best F1, midway to the next lower one; 0.5 where a category has no rows."""
+    """The probability that gives the best F1, midway to the next lower one.
+
+    A category without rows gets 2, so that it is never predicted; one that all rows have gets 0.5.
+    """
     if not y.any() or y.all():
-        return 0.5
+        return 0.5 if y.any() else 2.0
     order = np.argsort(-p, kind="stable")
     s, hits = p[order], np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
