@@ -21,7 +21,7 @@ def duck():
 
 
 def _plain(rows):
-    return sorted(tuple(float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in rows)
+    return sorted((tuple(float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in rows), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(plans.SQL))
