@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodesift.functions import columns as C
+from lodesift.operators.running import blocks, running
 
 
 def from_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -32,20 +33,30 @@ def fan_out(docs: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def admission(docs: DataFrame, capacity: int, per_source: int | None = None) -> DataFrame:
-    """(source_id, id, turn, place, admitted): one document of each source in turn until `capacity` is reached.
+    """(source_id, id, turn, place): one document of each source in turn until `capacity` is reached.
 
-    Places come from counts by turn and not from a global sort: turn t has as many documents as sources that long.
+    Later turns than the capacity can't be admitted, so each task keeps a source's first rows before any shuffle and no
+    source is sorted whole. Places come from counts by turn: turn t has as many documents as sources that long.
     """
     turn = F.row_number().over(Window.partitionBy("source_id").orderBy("id"))
-    rows = docs.select("source_id", "id", turn.alias("turn"))
-    if per_source is not None:
-        rows = rows.where(F.col("turn") <= per_source)
-    # At or before the capacity a place takes part in the order; later turns are omitted as they are.
-    near = rows.where(F.col("turn") <= capacity)
+    near = docs.select("source_id", "id", turn.alias("turn")).where(F.col("turn") <= min(capacity, per_source or capacity))
     counts = near.groupBy("turn").agg(F.count("*").alias("n"))
     before = counts.select("turn", F.coalesce(F.sum("n").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = rows.join(before, "turn", "left").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("turn").orderBy("source_id")))
-    return placed.select("source_id", "id", "turn", "place", F.coalesce(F.col("place") <= capacity, F.lit(False)).alias("admitted"))
+    placed = near.join(before, "turn").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("turn").orderBy("source_id")))
+    return placed.select("source_id", "id", "turn", "place").where(F.col("place") <= capacity)
+
+
+def omitted(docs: DataFrame, admitted: DataFrame) -> DataFrame:
+    """(source_id, n_omitted) of each source with documents that were not admitted."""
+    every = docs.groupBy("source_id").agg(F.count("*").alias("n"))
+    taken = admitted.groupBy(F.col("source_id").alias("_s")).agg(F.count("*").alias("k"))
+    found = every.join(taken, F.col("source_id").eqNullSafe(F.col("_s")), "left").withColumn("n_omitted", F.col("n") - F.coalesce("k", F.lit(0)))
+    return found.where("n_omitted > 0").select("source_id", "n_omitted")
+
+
+def turns(docs: DataFrame) -> DataFrame:
+    """`docs` with `turn`, a document's place in its source by id, a whole number."""
+    return running(docs, "turn", F.lit(1), ("source_id",), ("id",), blocks("id"))
 
 
 def depth_split(rows: DataFrame, depth: int, promising: float = C.UNCERTAIN, routed: float = 0.6) -> DataFrame:

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodesift.operators.running import running, spans
+
 
 def window_limit(rows: DataFrame, by: str, at: str, ident: str, period: str, limit: int) -> DataFrame:
     """`rows` with window_start, used and allowed: requests counted in fixed windows, `limit` allowed in each."""
@@ -17,8 +19,9 @@ def window_limit(rows: DataFrame, by: str, at: str, ident: str, period: str, lim
 
 def gates(rows: DataFrame, by: str, at: str, ident: str, refused, seconds: int = 10) -> DataFrame:
     """`rows` with `closed`: whether a refusal in the `seconds` before has closed the gate. Times are whole seconds apart."""
-    until = F.max(F.when(refused, F.unix_micros(F.col(at).cast("timestamp")))).over(Window.partitionBy(by).orderBy(at, ident).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("closed", F.coalesce(F.unix_micros(F.col(at).cast("timestamp")) < until + seconds * 1_000_000, F.lit(False)))
+    refusal = F.when(refused, F.unix_micros(F.col(at).cast("timestamp")))
+    rows = running(rows, "_until", refusal, (by,), (at, ident), spans(at), "max", own=False)
+    return rows.withColumn("closed", F.coalesce(F.unix_micros(F.col(at).cast("timestamp")) < F.col("_until") + seconds * 1_000_000, F.lit(False))).drop("_until")
 
 
 def token_bucket(rows: DataFrame, by: str, at_ms: str, per_minute: int) -> DataFrame:

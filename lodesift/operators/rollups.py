@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodesift.functions import columns as C
+from lodesift.operators.running import blocks, running, spans
 
 
 def percentiles(rows: DataFrame, value: str, by: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
     """(by, n, p50, ...): the value at index round((n - 1) * share) of each group's sorted values.
 
-    Equal values are counted first, so a group moves its distinct values and not its rows.
+    Equal values are counted first, so a group moves its distinct values and not its rows; their running counts are made
+    in pieces of one unit of the value.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(by)
-    upto = F.sum("c").over(w.orderBy(value))
-    placed = counts.select(by, value, upto.alias("upto"), F.sum("c").over(w).alias("n"))
+    totals = counts.groupBy(F.col(by).alias("_k")).agg(F.sum("c").alias("n"))
+    placed = running(counts, "upto", F.col("c"), (by,), (value,), F.floor(value)).join(totals, F.col(by).eqNullSafe(F.col("_k")))
     at = lambda p: F.round((F.col("n") - 1) * p) + 1
     return placed.groupBy(by, "n").agg(*[F.min(F.when(F.col("upto") >= at(p), F.col(value))).alias(f"p{round(p * 100)}") for p in shares])
 
@@ -33,8 +34,7 @@ def peak_in_flight(rows: DataFrame, by: str, start: str, end: str) -> DataFrame:
     """(by, peak): the most intervals [start, end) open at once; an end comes before a start at the same time."""
     steps = rows.select(by, F.col(start).alias("at"), F.lit(1).alias("d")).unionByName(rows.select(by, F.col(end).alias("at"), F.lit(-1).alias("d")))
     steps = steps.groupBy(by, "at", "d").agg(F.sum("d").alias("d_sum"))
-    open_now = F.sum("d_sum").over(Window.partitionBy(by).orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0))
-    return steps.withColumn("open", open_now).groupBy(by).agg(F.max("open").alias("peak"))
+    return running(steps, "open", F.col("d_sum"), (by,), ("at", "d"), spans("at")).groupBy(by).agg(F.max("open").alias("peak"))
 
 
 def load_summary(rows: DataFrame, by: str, stage: str) -> DataFrame:
@@ -53,5 +53,5 @@ def pool_stats(rows: DataFrame, by: str = "source_id") -> DataFrame:
 def line_offsets(rows: DataFrame, by: str, order: str, text: str) -> DataFrame:
     """`rows` with n_lines and first_line: where each text starts when they are bundled in order."""
     lines = F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).cast("bigint")
-    before = F.sum("n_lines").over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("n_lines", lines).withColumn("first_line", F.coalesce(before, F.lit(0)) + 1)
+    rows = rows.withColumn("n_lines", lines)
+    return running(rows, "first_line", F.col("n_lines"), (by,), (order,), blocks(order), own=False).withColumn("first_line", F.col("first_line") + 1)

@@ -128,22 +128,22 @@ _TURNS = "t AS (SELECT source AS source_id, doc_id AS id, row_number() OVER (PAR
 @_r.add(f"WITH {_TURNS} SELECT source_id, id AS doc_id, turn, place FROM p WHERE place <= 400")
 def round_robin_admission(spark: SparkSession, folder: str) -> DataFrame:
     """The 400 documents admitted, one of each source in turn."""
-    found = D.admission(_docs(spark, folder), 400).where("admitted")
+    found = D.admission(_docs(spark, folder), 400)
     return found.select("source_id", F.col("id").alias("doc_id"), F.col("turn").cast("bigint").alias("turn"), F.col("place").cast("bigint").alias("place"))
 
 
 @_r.add(f"WITH {_TURNS} SELECT source_id, 'document_limit' AS stage, count(*) AS n_omitted FROM p WHERE place > 400 GROUP BY source_id")
 def omitted_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of each source that were not admitted."""
-    found = D.admission(_docs(spark, folder), 400).where("not admitted")
-    return found.groupBy("source_id").agg(F.lit("document_limit").alias("stage"), F.count("*").alias("n_omitted"))
+    docs = _docs(spark, folder)
+    return D.omitted(docs, D.admission(docs, 400)).select("source_id", F.lit("document_limit").alias("stage"), "n_omitted")
 
 
 @_r.add("WITH q AS (SELECT doc_id AS id, source AS source_id, coalesce(quality, 0) * 0.5 AS p, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents LEFT JOIN labels USING (doc_id)), b AS (SELECT source_id, max(p) AS best FROM q WHERE turn <= 12 GROUP BY 1) SELECT source_id, CASE WHEN turn <= 12 THEN 'first' WHEN best >= 0.15 THEN 'tail' ELSE 'deferred' END AS decision, count(*) AS n FROM q JOIN b USING (source_id) GROUP BY 1, 2")
 def score_depth_split(spark: SparkSession, folder: str) -> DataFrame:
     """Documents scored first, in the tail, and deferred, of each source; the label of quality stands for a score."""
     labels = table(spark, folder, "labels").select(F.col("doc_id").alias("id"), "quality")
-    docs = D.admission(_docs(spark, folder), 1 << 40).join(labels, "id", "left")
+    docs = D.turns(_docs(spark, folder).select("id", "source_id")).join(labels, "id", "left")
     rows = docs.select("source_id", "turn", (F.coalesce("quality", F.lit(0)) * 0.5).alias("probability"), F.lit(0.0).alias("route"))
     return D.depth_split(rows, 12).groupBy("source_id", "decision").agg(F.count("*").alias("n"))
 
