@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, with their SQL."""
 
-from lodesift.plans import documents, logs, ranking
+from lodesift.plans import compaction, documents, logs, ranking
 
-QUERIES: dict = documents.QUERIES | ranking.QUERIES | logs.QUERIES
-SQL: dict = documents.SQL | ranking.SQL | logs.SQL
+QUERIES: dict = documents.QUERIES | ranking.QUERIES | logs.QUERIES | compaction.QUERIES
+SQL: dict = documents.SQL | ranking.SQL | logs.SQL | compaction.SQL
