@@ -56,6 +56,18 @@ def _key() -> F.Column:
     return F.when(usable, F.md5(F.to_json(F.struct("label", "v")).cast("binary")))
 
 
+def _sampled(part: DataFrame, most: int) -> np.ndarray:
+    """The vectors of the lowest keys, at most `most`; all if there are no more.
+
+    Keys are digests, so a bound on them takes the share that is wanted. A sort with a limit would send the driver as
+    many vectors from every partition.
+    """
+    n = part.count()
+    low = "%08x" % int(0.95 * most / n * (1 << 32)) if n > most else "g"
+    found = sorted(part.where(F.col("key") < low).select("key", "v").collect())
+    return np.array([r.v for r in found[:most]], np.float64)
+
+
 def _cells(rows: DataFrame, model, d: int, tables: int) -> DataFrame:
     """(cell, key, n, code, vec): a row for each class and table; cells of different labels and widths are apart."""
     mean, projection = model
@@ -170,7 +182,7 @@ def near(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", l
     found = None
     for d in lengths:
         part = known.where(F.size("v") == d)
-        x = np.array([r[0] for r in part.select("v").orderBy("key").limit(sample).collect()], np.float64).reshape(-1, d)
+        x = _sampled(part, sample).reshape(-1, d)
         x = x / np.abs(x).max(1, keepdims=True)
         model = learn(x / np.linalg.norm(x, axis=1, keepdims=True), bits)
         width = bits // tables

@@ -253,3 +253,9 @@ def test_quotation_linking(spark):
     assert [by[1, t].reply_turn for t in range(5)] == [None, None, 0, 2, None] and by[1, 3].root_turn == 0
     assert by[1, 2].body == "Yes." and by[1, 3].body == "Good." and by[2, 0].reply_turn is None and by[2, 1].body == ""
     assert quotes.chat(quotes.linked(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_itq_sample_is_bounded(spark):
+    rows = spark.range(3000).select(F.md5(F.col("id").cast("string").cast("binary")).alias("key"), F.array(F.col("id").cast("double")).alias("v"))
+    assert 800 <= len(itq._sampled(rows, 1000)) <= 1000 and len(itq._sampled(rows, 3000)) == 3000
+    assert itq._sampled(rows, 1000).tolist() == itq._sampled(rows.repartition(7), 1000).tolist()
