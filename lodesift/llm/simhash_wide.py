@@ -1,15 +1,16 @@
-"""Near-dedup at a similarity of 0.8 by wide SimHash fingerprints.
+"""Near-dedup at an exact Jaccard similarity of 0.8 over distinct five-word shingles.
 
-Fingerprints of 256 bits over distinct five-word shingles are 32 positional bytes. An index has a posting for each of 64
-pairs of positions; a pair of documents at a Jaccard similarity of 0.8 shares over eight bytes on average and so meets
-in several postings (about 95 % of pairs at 0.8 meet, over 99 % at 0.9). There the shared positional bytes are tallied
-and what has at least two is verified by its Hamming distance.
+Candidates come from prefixes (Chaudhuri et al., 2006; Xiao et al., 2008): with each set in one common order, two sets at
+0.8 or more share a shingle among the first fifth of each, so no pair is missed. Rare shingles come first in the order; how rare is
+estimated on a sample, which decides only the cost, as any common order gives the same pairs. Every candidate is verified
+on whole sets, and only verified pairs link. Fingerprints have no part in it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,150 +18,209 @@ from lodesift.llm.common import cut, hinted
 from lodesift.llm.components import connected
 from lodesift.llm.simhash import shingle_hashes
 
-LANES = 4
-#: Pairs of positions: each byte is in four of them.
-PAIRS = tuple((i, (i + s) % (8 * LANES)) for s in (1, 11) for i in range(8 * LANES))
-#: Differing bits of 256 at which documents link. Sets at a Jaccard similarity of 0.8 differ in 39 on average with a
-#: deviation of 5.7: 48 keeps nine of ten such pairs, and one at 0.6 falls away.
-MOST = 48
-LEAST = 2
-_BLOCK, _NEAR = 1 << 15, 12
-
-
-def fingerprint(hashes: np.ndarray, lanes: int = LANES) -> bytes:
-    """Bits set in over half of the hashes, for each of `lanes` hashes made of each one; zeros without hashes."""
-    out = []
-    for lane in range(lanes):
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(hashes), _BLOCK):
-            z = hashes[i : i + _BLOCK] + np.uint64(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            z ^= z >> np.uint64(31)
-            ones += np.unpackbits(z.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes() if len(hashes) else bytes(8))
-    return b"".join(out)
-
-
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, lanes: int = LANES) -> DataFrame:
-    """(id, fp) of each row, fp of 8 * lanes bytes over the distinct shingles of `width` words; null as an empty text."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+WIDTH = 5
+#: Sets whose shingles are counted for the common order, and the counts that are kept: bounds on cost, not on results.
+ORDER_ROWS, ORDER_COUNTS = 5_000, 1 << 17
+#: Rows of a posting up to which all of its pairs are candidates at once.
+_NEAR = 8
+_BLOCK = 1 << 15
+
+
+def least_shared(n):
+    """The shingles that a set of `n` shares with any set at a similarity of 0.8 or more, at least."""
+    return (4 * n + 4) // 5
+
+
+def _may(na, pa_, nb, pb):
+    """Whether sets of `na` and `nb`, whose first common shingle is at these places, can be at 0.8: sizes and what is left."""
+    return (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)) & (9 * np.minimum(na - pa_, nb - pb) >= 4 * (na + nb))
+
+
+def _class(hashes: np.ndarray) -> int:
+    """A set's name: 64 bits over its sorted hashes."""
+    return int(np.array(xxhash.xxh3_64_intdigest(hashes.tobytes()), np.uint64).view(np.int64))
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(key, cls) of (key, text): the set of shingles of each row, by name; null as an empty text."""
 
     def each(batches):
         for b in batches:
-            found = [fingerprint(shingle_hashes(t.as_py(), width, True), lanes) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["id", "fp"])
+            found = [_class(shingle_hashes(t.as_py(), WIDTH, True)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], names=["key", "cls"])
 
-    return rows.mapInArrow(each, f"id {rows.schema['id'].dataType.simpleString()}, fp binary")
+    return rows.mapInArrow(each, f"key {rows.schema['key'].dataType.simpleString()}, cls long")
 
 
-def _near(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    differs = x ^ y
-    shared = (differs.view(np.uint8).reshape(len(differs), -1) == 0).sum(1)
-    return (shared >= LEAST) & (np.bitwise_count(differs).sum(1) <= most)
+def _each_set(batches, seen: set):
+    """(cls, sorted hashes) of the texts, each set once in a task."""
+    for b in batches:
+        for t in b.column(0):
+            h = shingle_hashes(t.as_py(), WIDTH, True)
+            c = _class(h)
+            if len(h) and c not in seen:
+                seen.add(c)
+                yield c, h
 
 
-def _forest(x: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
-    """Links (one row, others) that connect what the links among the rows connect."""
-    out, left = [], np.arange(len(x))
-    while len(left) > 1:
-        stack, left = [left[0]], left[1:]
-        while stack and len(left):
-            i = stack.pop()
-            hit = _near(x[left], x[i], most)
-            if hit.any():
-                out.append((i, left[hit]))
-                stack.extend(left[hit])
-                left = left[~hit]
-    return out
+def sets(texts: DataFrame) -> DataFrame:
+    """(cls, hashes) of each distinct set among the texts."""
 
+    def each(batches):
+        seen: set = set()
+        for b in batches:
+            found = list(_each_set([b], seen))
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64()))], names=["cls", "hashes"])
+
+    return texts.mapInArrow(each, "cls long, hashes array<bigint>").dropDuplicates(["cls"])
+
+
+def counted(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles of the texts, sorted, and in how many sets each is."""
+    found = sets(texts).select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(ORDER_COUNTS).toPandas()
+    h = found["h"].to_numpy(np.int64).view(np.uint64)
+    at = np.argsort(h)
+    return h[at], found["n"].to_numpy(np.int64)[at]
 
-def _batch(a: list, b: list, key: list) -> pa.RecordBatch:
-    raw = [pa.array([r.tobytes() for x in side for r in x], pa.binary()) for side in (a, b)]
-    return pa.RecordBatch.from_arrays([*raw, pa.array(np.concatenate(key))], names=["a", "b", "key"])
 
+def postings(texts: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(token, cls, pos, n) of the prefix of each set: its first shingles in the common order, enough to meet all at 0.8."""
+    common, counts = order
+
+    def prefix(h: np.ndarray) -> np.ndarray:
+        if len(common):
+            at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+            h = h[np.argsort(np.where(common[at] == h, counts[at], 0), kind="stable")]
+        return h[: len(h) - least_shared(len(h)) + 1]
+
+    def each(batches):
+        seen: set = set()
+        for b in batches:
+            found = [(c, prefix(h), len(h)) for c, h in _each_set([b], seen)]
+            if found:
+                k = [len(p) for _, p, _ in found]
+                columns = [np.concatenate([p for _, p, _ in found]).view(np.int64), np.repeat(np.array([c for c, _, _ in found], np.int64), k), np.concatenate([np.arange(x, dtype=np.int32) for x in k]), np.repeat(np.array([n for _, _, n in found], np.int32), k)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "cls", "pos", "n"])
 
-def _links(batches, most: int, limit: int):
-    """(a, b, 0) for links; (fp, fp, key) for rows of postings over `limit`. Rows arrive in key order."""
-    keys, fps, over = None, None, None
-    for batch in (*batches, None):
+    return texts.mapInArrow(each, "token long, cls long, pos int, n int")
+
+
+def _groups(batches):
+    """Whole postings, several at once: the columns as arrays, sorted by token, and where each posting starts."""
+    held = None
+    for batch in _with_end(batches):
         if batch is not None:
-            k = batch.column(0).to_numpy()
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(k), -1)
-            keys, fps = (k, x) if keys is None else (np.concatenate([keys, k]), np.concatenate([fps, x]))
-        if keys is None or not len(keys):
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        if held is None or not len(held[0]):
             continue
-        if over is not None:
-            n = int((keys == over).sum())
-            if n:
-                yield _batch([fps[:n]], [fps[:n]], [keys[:n]])
-                keys, fps = keys[n:], fps[n:]
-            if not len(keys):
-                continue
-            over = None
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        sizes = np.diff(np.append(starts, len(keys)))
-        tail = len(keys)
-        if batch is not None:
-            tail, starts, sizes = int(starts[-1]), starts[:-1], sizes[:-1]
-        a, b, z = [], [], []
-        small = np.repeat(sizes <= _NEAR, sizes)
-        for d in range(1, min(_NEAR, tail)):  # small postings: rows at each distance at once
-            i = np.flatnonzero(small[:-d] & (keys[: tail - d] == keys[d:tail]))
-            if not len(i):
-                break
-            i = i[_near(fps[i], fps[i + d], most)]
-            a, b, z = [*a, fps[i]], [*b, fps[i + d]], [*z, np.zeros(len(i), np.int64)]
-        for s, n in zip(starts[sizes > _NEAR].tolist(), sizes[sizes > _NEAR].tolist()):
-            x = fps[s : s + n]
-            if n > limit:
-                a, b, z = [*a, x], [*b, x], [*z, keys[s : s + n]]
-                continue
-            for i, others in _forest(x, most):
-                a, b, z = [*a, np.repeat(x[i : i + 1], len(others), 0)], [*b, x[others]], [*z, np.zeros(len(others), np.int64)]
-        if sum(map(len, z)):
-            yield _batch(a, b, z)
-        keys, fps = keys[tail:], fps[tail:]
-        if len(keys) > limit:
-            over = keys[0]
-            yield _batch([fps], [fps], [keys])
-            keys, fps = keys[:0], fps[:0]
+        starts = np.flatnonzero(np.concatenate([[True], held[0][1:] != held[0][:-1]]))
+        tail = len(held[0]) if batch is None else int(starts[-1])
+        if tail:
+            yield [c[:tail] for c in held], starts[starts < tail]
+            held = [c[tail:] for c in held]
 
 
-def links(fps: DataFrame, most: int = MOST, limit: int = _BLOCK) -> DataFrame:
-    """(a, b): enough links between distinct fingerprints `fp` to connect all that meet in a posting and are near.
+def _with_end(batches):
+    yield from batches
+    yield None
 
-    Postings over `limit` rows are dealt anew as pairs of blocks, so that no task holds more than two blocks.
+
+def _table(kind: int, a: list, b: list, pos: list | None = None, n: list | None = None) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    zero = np.zeros(len(a), np.int32)
+    pos, n = (np.concatenate(x) if x else zero for x in (pos, n))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(pos), pa.array(n)], names=["kind", "a", "b", "pos", "n"])
+
+
+def _first(batches):
+    """(0, cls, cls) for candidates: all of a small posting, and of a large one each row with three of its rows.
+
+    (1, token, cls, pos, n) for the rows of large postings, whose other pairs wait until it is known what links.
     """
-    keys = [F.concat(F.substring("fp", i + 1, 1), F.substring("fp", j + 1, 1)) for i, j in PAIRS]
-    # Keys from 1 on: 0 marks a link.
-    number = [F.conv(F.hex(k), 16, 10).cast("bigint") + F.lit(1 + (n << 16)) for n, k in enumerate(keys)]
-    rows = fps.select(F.explode(F.array(*number)).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
-    schema = "a binary, b binary, key bigint"
-    found = cut(rows.mapInArrow(lambda it: _links(it, most, limit), schema).distinct())
-    out = found.where("key = 0").select("a", "b")
-    over = found.where("key > 0").select("key", F.col("a").alias("fp"))
-    if not over.isEmpty():
-        sizes = over.groupBy("key").agg(F.ceil(F.count("*") / limit).alias("parts"))
-        dealt = over.join(hinted(cut(sizes)), "key").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("parts")))
-        others = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda o: F.struct(F.least("block", o).alias("l"), F.greatest("block", o).alias("r")))
-        dealt = dealt.select("key", "fp", F.explode(others).alias("p")).select((F.xxhash64("key", "p.l", "p.r").bitwiseAND((1 << 62) - 1) + 1).alias("key"), "fp")
-        rows = dealt.repartition("key").sortWithinPartitions("key")
-        out = out.unionByName(rows.mapInArrow(lambda it: _links(it, most, 1 << 62), schema).select("a", "b").distinct())
-    return out
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
+    for (token, cls, pos, n), _ in _groups(batches):
+        fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])])  # sets named by several tasks
+        token, cls, pos, n = token[fresh], cls[fresh], pos[fresh].astype(np.int64), n[fresh].astype(np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        sizes = np.diff(np.append(starts, len(token)))
+        a, b = [], []
+        small = np.repeat(sizes <= _NEAR, sizes)
+        for d in range(1, _NEAR):
+            i = np.flatnonzero(small[:-d] & (token[:-d] == token[d:]))
+            if not len(i):
+                break
+            i = i[_may(n[i], pos[i], n[i + d], pos[i + d])]
+            a, b = [*a, cls[i]], [*b, cls[i + d]]
+        large = ~small
+        for s, m in zip(starts[sizes > _NEAR].tolist(), sizes[sizes > _NEAR].tolist()):
+            for hub in (s, s + m // 2, s + m - 1):
+                i = np.arange(s, s + m)
+                i = i[(i != hub) & _may(n[s : s + m], pos[s : s + m], n[hub], pos[hub])]
+                a, b = [*a, np.minimum(cls[i], cls[hub])], [*b, np.maximum(cls[i], cls[hub])]
+        if a:
+            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+            yield _table(0, [pairs[0]], [pairs[1]])
+        if large.any():
+            yield _table(1, [token[large]], [cls[large]], [pos[large].astype(np.int32)], [n[large].astype(np.int32)])
+
+
+def _rest(batches):
+    """(0, cls, cls) for all candidates of a posting between sets that nothing links so far."""
+    for (_, cls, pos, n, root), starts in _groups(batches):
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(cls)]):
+            if (root[s:e] == root[s]).all():
+                continue
+            at = s + np.argsort(n[s:e], kind="stable")
+            c, p, k, r = cls[at], pos[at].astype(np.int64), n[at].astype(np.int64), root[at]
+            # The larger set of a pair is in reach of both bounds of the smaller one.
+            ends = np.searchsorted(k, np.minimum(5 * k // 4, 9 * (k - p) // 4 - k), "right")
+            a, b, held = [], [], 0
+            for i, end in enumerate(ends.tolist()):
+                if end > i + 1:
+                    j = np.arange(i + 1, end)
+                    j = j[(r[j] != r[i]) & _may(k[j], p[j], k[i], p[i])]
+                    a, b, held = [*a, np.minimum(c[j], c[i])], [*b, np.maximum(c[j], c[i])], held + len(j)
+                if held > _BLOCK:
+                    yield _table(0, a, b)
+                    a, b, held = [], [], 0
+            if held:
+                yield _table(0, a, b)
+
+
+def _verified(pairs: DataFrame, named: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
+    """The pairs of sets whose similarity is 0.8 or more, counted on the whole sets."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("low._a", "low._b"))
+    held = cut(sets(named.join(hinted(wanted), ["_a", "_b"], "left_semi").select(F.col(text_col).cast("string").alias("text"))))
+    both = pairs.join(held.select(F.col("cls").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("cls").alias("b"), F.col("hashes").alias("y")), "b")
+    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` with one row of each group of near copies: the one with the smallest id (a null id is smallest).
 
-    Texts without words are one group. Rows that are equal in every column count once. Other columns are carried.
+    Groups are the components of pairs at a similarity of 0.8 or more. Texts without words are one group. Rows that are
+    equal in every column count once. Other columns are carried.
     """
     named = df.select("*", F.xxhash64(*df.columns).alias("_a"), F.xxhash64(F.lit(1), *df.columns).alias("_b"))
-    rows = named.select(F.struct(F.col(id_col).alias("id"), "_a", "_b").alias("key"), F.col(text_col).alias("text"))
-    prints = cut(fingerprints(rows, "key", "text"))
-    classes = cut(prints.groupBy("fp").agg(F.min("id").alias("low")))
-    nodes = connected(links(classes.select("fp"), most))
-    # What stays: the lowest row of each class that links to no other, and of each component.
-    reached = classes.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "low")
+    texts = named.select(F.col(text_col).cast("string").alias("text"))
+    rows = named.select(F.struct(F.col(id_col).alias("id"), "_a", "_b").alias("key"), F.col(text_col).cast("string").alias("text"))
+    classes = cut(classes_of(rows).groupBy("cls").agg(F.min("key").alias("low")))
+    every = -(-classes.count() // ORDER_ROWS)
+    some = classes.where(F.pmod(F.xxhash64("cls"), F.lit(max(1, every))) == 0).select("low._a", "low._b")
+    order = counted(named.join(F.broadcast(some), ["_a", "_b"], "left_semi").select(F.col(text_col).cast("string").alias("text")))
+    schema = "kind int, a long, b long, pos int, n int"
+    met = cut(postings(texts, order).repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_first, schema))
+    pairs = cut(met.where("kind = 0").select("a", "b").distinct())
+    links = cut(_verified(pairs, named, classes, text_col))
+    large = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cls"), "pos", "n")
+    if not large.isEmpty():
+        roots = connected(links).select(F.col("node").alias("cls"), "root")
+        large = large.join(roots, "cls", "left").select("token", "cls", "pos", "n", F.coalesce("root", "cls").alias("root"))
+        more = large.repartition("token").sortWithinPartitions("token").mapInArrow(_rest, schema).select("a", "b").distinct()
+        more = cut(more.join(pairs, ["a", "b"], "left_anti"))
+        links = cut(links.unionByName(_verified(more, named, classes, text_col)))
+    nodes = connected(links).withColumnRenamed("node", "cls")
+    # What stays: the lowest row of each set that links to no other, and of each component.
+    reached = classes.join(nodes, "cls", "left").select(F.coalesce("root", "cls").alias("root"), "low")
     stays = reached.groupBy("root").agg(F.min("low").alias("low")).select("low._a", "low._b")
     return named.join(cut(stays), ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).drop("_a", "_b")

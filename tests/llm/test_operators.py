@@ -259,3 +259,32 @@ def test_itq_sample_is_bounded(spark):
     rows = spark.range(3000).select(F.md5(F.col("id").cast("string").cast("binary")).alias("key"), F.array(F.col("id").cast("double")).alias("v"))
     assert 800 <= len(itq._sampled(rows, 1000)) <= 1000 and len(itq._sampled(rows, 3000)) == 3000
     assert itq._sampled(rows, 1000).tolist() == itq._sampled(rows.repartition(7), 1000).tolist()
+
+
+def _varied(rng, words, drop):
+    """`words` with that many of them replaced by new ones, evenly spread."""
+    at = {int((i + 0.5) * len(words) / drop) for i in range(drop)} if drop else set()
+    return [f"n{rng.randrange(10**9)}" if i in at else w for i, w in enumerate(words)]
+
+
+def _shingles(text):
+    w = text.split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_near_copies_equal_brute_force(spark):
+    """Pairs on both sides of 0.8, templates at 0.5 to 0.79 and a chain: what stays is what exact components leave."""
+    rng, texts = random.Random(11), []
+    for k in range(60):  # one base and its copies from 0.6 to 0.95
+        base = [f"w{k}x{i}" for i in range(rng.randrange(60, 400))]
+        texts += [" ".join(base), *(" ".join(_varied(rng, base, rng.randrange(0, max(2, len(base) // 25)))) for _ in range(3))]
+    for share in (0.667, 0.75, 0.824, 0.87):  # passages that forty texts share
+        passage = [f"p{share}x{i}" for i in range(int(300 * share))]
+        texts += [" ".join(passage + [f"o{rng.randrange(10**9)}" for _ in range(300 - len(passage))]) for _ in range(40)]
+    base = [f"c{i}" for i in range(300)]
+    texts += [" ".join(base[8 * i : 8 * i + 160]) for i in range(12)] + [" ".join(_varied(rng, base, 7)) for _ in range(40)]
+    sets = [_shingles(t) for t in texts]
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    want = sorted(set(_components(range(len(sets)), near).values()))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_wide.keep_one(df).collect()) == want and 200 < len(want) < len(texts)
