@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -17,8 +17,8 @@ from lodesift.llm.common import cut, hinted
 
 #: Buckets of hashed byte trigrams.
 GRAMS = 1 << 16
-#: Rows with a declared language from which the trigram models are fitted, at most: a documented bound.
-SAMPLE_ROWS = 4_000
+#: Distinct texts of each declared language from which its trigram model is fitted, at most: a documented bound.
+SAMPLE_ROWS = 1_000
 #: Trigrams after which more text adds no more certainty; neighbouring trigrams depend on each other.
 CERTAIN = 200
 #: What a text is called that no language explains.
@@ -42,19 +42,26 @@ def _texts(column):
 def fit(df: DataFrame, text_col: str = "text", declared_col: str = "lang", languages: tuple | None = None, sample_rows: int = SAMPLE_ROWS, alpha: float = 0.1) -> tuple[tuple[str, ...], np.ndarray]:
     """Languages and their log probabilities of trigram buckets, shape (GRAMS, languages).
 
-    Fitted on the `sample_rows` rows with the lowest hash among those that declare a language (one of `languages`, if
-    they are given). Executors count trigrams, so that only sums of a fixed size reach the driver.
+    Every language that any row declares (or every one of `languages`, if they are given) has a model, fitted on the
+    `sample_rows` of its texts with the lowest hash, or on all if it has fewer. Executors count trigrams, so that only sums
+    of a fixed size for each language reach the driver.
     """
     rows = df.select(F.lower(F.trim(F.col(declared_col).cast("string"))).alias("l"), F.col(text_col).cast("string").alias("t"))
     rows = rows.where("l <> '' and t is not null")
     if languages is not None:
         rows = rows.where(F.col("l").isin(*languages))
-    # The threshold is the hash at the bound; rows of equal text and language share a hash and enter as one.
+    # Each language's threshold is its hash at the bound; rows of equal text and language share a hash and enter as one.
     rows = rows.select("l", "t", F.xxhash64("t", "l").alias("h"))
-    low = [r.h for r in rows.select("h").distinct().orderBy("h").limit(sample_rows).collect()]
-    if not low:
+    each = cut(rows.select("l", "h").distinct())
+    counts = cut(each.groupBy("l").agg(F.count("*").alias("n")))
+    if counts.isEmpty():
         return (), np.zeros((GRAMS, 0), np.float32)
-    chosen = rows.where(F.col("h") <= low[-1]).dropDuplicates(["h"])
+    # A bound on hashes first leaves some 1.5 times the sample, so that no language is sorted whole.
+    share = F.col("h").cast("double") / 2.0**64 + 0.5
+    low = each.join(hinted(counts), "l").where(share * F.col("n") <= 1.5 * sample_rows + 100)
+    order = Window.partitionBy("l").orderBy("h")
+    low = low.withColumn("i", F.row_number().over(order)).where(F.col("i") <= sample_rows).groupBy("l").agg(F.max("h").alias("most"))
+    chosen = rows.join(hinted(cut(low)), "l").where("h <= most").dropDuplicates(["h"])
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}

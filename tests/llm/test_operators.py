@@ -288,3 +288,15 @@ def test_near_copies_equal_brute_force(spark):
     want = sorted(set(_components(range(len(sets)), near).values()))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash_wide.keep_one(df).collect()) == want and 200 < len(want) < len(texts)
+
+
+def test_rare_languages_have_models(spark):
+    """Three rows among two thousand: the list of languages isn't that of a sample, and no language takes another's share."""
+    rng = random.Random(9)
+    say = lambda parts, n: " ".join("".join(rng.choices(parts.split(), k=2)) for _ in range(n))
+    rows = [(i, say("kra mok tul", 20), "aa") for i in range(2000)] + [(2000 + i, say("sil fen wey", 20), "zz") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, table = language.fit(df, sample_rows=50)
+    assert names == ("aa", "zz") and table.shape == (language.GRAMS, 2)
+    found = {r.doc_id: r.language for r in language.identify(df, (names, table), address_col=None).collect()}
+    assert all(found[i] == lang for i, _, lang in rows)
