@@ -67,24 +67,33 @@ def parsed(df: DataFrame) -> DataFrame:
     return found.select("conv", "turn", "role", trimmed.alias("body"), F.col("_p")["passages"].alias("passages"))
 
 
+def _parts(text: Column) -> list[Column]:
+    """What is compared of a text, from the whole to the smallest: it, its paragraphs, its lines, its sentences; normalised.
+
+    Sentences end at `.`, `!` or `?` before white space, both in paragraphs, whatever their line breaks, and in lines.
+    """
+    paragraphs = F.transform(F.split(text, r"\n[ \t]*\n"), normalised)
+    lines = F.transform(F.split(text, r"\n"), normalised)
+    sentences = F.flatten(F.transform(F.concat(paragraphs, lines), lambda x: F.split(x, r"(?<=[.!?])\s+")))
+    return [F.array(normalised(text)), paragraphs, lines, sentences]
+
+
 def _pieces(body: Column) -> Column:
-    """Hashes of what a later message may quote: the body, its paragraphs and its lines."""
-    parts = F.concat(F.array(body), F.split(body, r"\n[ \t]*\n"), F.split(body, r"\n"))
-    return F.array_distinct(F.transform(F.filter(F.transform(parts, normalised), lambda x: x != ""), lambda x: F.md5(x)))
+    """Hashes of what a later message may quote: the body, its paragraphs, its lines and its sentences."""
+    return F.array_distinct(F.transform(F.filter(F.concat(*_parts(body)), lambda x: x != ""), lambda x: F.md5(x)))
 
 
 def links(messages: DataFrame) -> DataFrame:
     """(conv, turn, reply_turn, n_linked) of the messages (from `parsed`) with a quote whose original is found.
 
-    A passage is looked up whole, and line by line where it is not found whole. Of the originals found at the lowest
+    A passage is looked up whole; where it is not found, by paragraph, then by line, then by sentence. Of the originals found at the lowest
     quote level, the message replies to the latest. Each hash of a conversation is one ordered run of originals and
     quotes, so that a line said a thousand times makes no pairs.
     """
     quotes = messages.where(F.size("passages") > 0).select("conv", "turn", F.posexplode("passages").alias("no", "p"))
-    whole = quotes.select("conv", "turn", "no", "p.level", F.lit(0).alias("line"), normalised(F.col("p.text")).alias("t"))
-    lines = quotes.select("conv", "turn", "no", "p.level", F.explode(F.split("p.text", "\n")).alias("t"))
-    lines = lines.select("conv", "turn", "no", "level", F.lit(1).alias("line"), normalised(F.col("t")).alias("t"))
-    asked = whole.unionByName(lines).where("t <> ''").select("conv", "turn", "no", "level", "line", F.md5("t").alias("h"))
+    parts = F.array(*[F.transform(F.array_distinct(x), lambda t, k=k: F.struct(F.lit(k).alias("part"), t.alias("t"))) for k, x in enumerate(_parts(F.col("p.text")))])
+    asked = quotes.select("conv", "turn", "no", "p.level", F.explode(F.flatten(parts)).alias("x")).select("conv", "turn", "no", "level", "x.part", "x.t")
+    asked = asked.where("t <> ''").select("conv", "turn", "no", "level", "part", F.md5("t").alias("h"))
     asked = cut(asked.where("conv is not null and turn is not null"))
     said = messages.where("conv is not null and turn is not null").select("conv", "turn", F.explode(_pieces(F.col("body"))).alias("h"))
     said = said.join(asked.select("conv", "h").distinct(), ["conv", "h"], "left_semi")
@@ -94,7 +103,7 @@ def links(messages: DataFrame) -> DataFrame:
     # Rows of one turn come after the originals before it: a message never replies to itself.
     order = Window.partitionBy("conv", "h").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("reply", F.max("origin").over(order)).where("level is not null and reply is not null")
-    passage = found.groupBy("conv", "turn", "no", "level").agg(F.coalesce(F.max(F.when(F.col("line") == 0, F.col("reply"))), F.max("reply")).alias("reply"))
+    passage = found.groupBy("conv", "turn", "no", "level").agg(F.coalesce(*[F.max(F.when(F.col("part") == k, F.col("reply"))) for k in range(4)]).alias("reply"))
     return passage.groupBy("conv", "turn").agg(F.max_by("reply", F.struct(-F.col("level"), F.col("reply"))).alias("reply_turn"), F.count("*").alias("n_linked"))
 
 

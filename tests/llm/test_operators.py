@@ -300,3 +300,65 @@ def test_rare_languages_have_models(spark):
     assert names == ("aa", "zz") and table.shape == (language.GRAMS, 2)
     found = {r.doc_id: r.language for r in language.identify(df, (names, table), address_col=None).collect()}
     assert all(found[i] == lang for i, _, lang in rows)
+
+
+def _quoted_replies(messages):
+    """reply_turn of each (turn, text) of one conversation, by comparing every passage with every earlier body."""
+    flat = lambda x: " ".join(x.lower().split())
+
+    def parts(text):
+        paragraphs, lines = re.split(r"\n[ \t]*\n", text), text.split("\n")
+        sentences = [s for x in paragraphs + lines for s in re.split(r"(?<=[.!?])\s+", flat(x))]
+        return [{flat(x) for x in p} - {""} for p in ([text], paragraphs, lines, sentences)]
+
+    bodies, out = {}, {}
+    for turn, text in messages:
+        runs, own = [], []
+        for line in text.split("\n"):
+            marks = re.match(r"(?:[ \t]*>)*", line).group()
+            level, rest = marks.count(">"), re.sub(r"^ ", "", line[len(marks) :]) if ">" in marks else line
+            if not level:
+                own.append(rest)
+            if runs and runs[-1][0] == level:
+                runs[-1][1].append(rest)
+            else:
+                runs.append((level, [rest]))
+        hits = []
+        for level, lines in runs:
+            if level:
+                for want in parts("\n".join(lines)):
+                    at = [t for t, said in bodies.items() if any(want & p for p in said)]
+                    if at:
+                        hits.append((-level, max(at)))
+                        break
+        out[turn] = max(hits)[1] if hits else None
+        bodies[turn] = parts("\n".join(own).strip())
+    return out
+
+
+def test_partial_and_rewrapped_quotes_equal_brute_force(spark):
+    rng, rows, want = random.Random(12), [], {}
+    wrap = lambda text, n: [" ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n)]
+    for conv in range(25):
+        said, messages = [], []
+        for turn in range(12):
+            own = [" ".join(_text(rng, rng.randrange(4, 9)).capitalize() + "." for _ in range(3)) for _ in range(3)]
+            lines = []
+            if said and rng.random() < 0.8:
+                old = rng.choice(said)
+                kind = rng.randrange(4)
+                if kind == 0:  # two of three paragraphs, rewrapped
+                    lines = [*wrap(old[0], 7), "", *wrap(old[1], 7)]
+                elif kind == 1:  # a sentence out of a longer line
+                    lines = [re.split(r"(?<=[.])\s+", old[2])[1]]
+                elif kind == 2:  # whole, with a nested quote of another
+                    lines = ["> " + x for x in wrap(rng.choice(said)[1], 5)] + ["\n\n".join(old)]
+                else:
+                    lines = ["never said at all"]
+                lines = [f"> {x}" for x in "\n".join(lines).split("\n")]
+            said.append(own)
+            messages.append((turn, "\n".join([*lines, "\n\n".join(own)])))
+        rows += [(conv, turn, "user", text) for turn, text in messages]
+        want |= {(conv, turn): r for turn, r in _quoted_replies(messages).items()}
+    found = quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {(r.conv, r.turn): r.reply_turn for r in found} == want and sum(r is not None for r in want.values()) > 100
