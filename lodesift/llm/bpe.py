@@ -4,7 +4,7 @@ A byte pair that occurs inside no token of the vocabulary can never be merged ov
 fragments encoded on their own. The cuts used are those that the word splitting before the merges can't feel either:
 before ASCII white space, or after another ASCII character unless an apostrophe follows (which could start a
 contraction). Of these, the cuts before a space make the fragments, and a run without spaces is cut at the others into
-blocks. Fragments repeat a lot; each worker encodes one once and looks it up after that.
+blocks. Fragments repeat a lot, so a task remembers a bounded number of them, which it drops when it ends.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import json
 import os
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -21,8 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fragments that a worker remembers, the first ones it meets.
-_REMEMBERED = 1 << 19
+from lodesift.llm.common import per_text
+
+#: Fragments that a task remembers at a time, some 10 MB; the store starts anew when it is full.
+_REMEMBERED = 1 << 16
+#: Fragments of a text that are looked up at once.
+_SLICE = 1 << 15
 #: Longer fragments are encoded each time, so that what is remembered stays small.
 _LONG = 64
 #: Least bytes of the fragments of a long run without spaces.
@@ -46,17 +50,18 @@ class Codec:
     """A byte-level tokenizer file with its forced boundaries."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-        added = {i: t.content for i, t in self.model.get_added_tokens_decoder().items()}
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec.get("pre_tokenizer") or {}
+        flags = any(t.get(k) for t in spec.get("added_tokens", ()) for k in ("lstrip", "rstrip", "single_word", "normalized"))
+        if spec["model"].get("type") != "BPE" or spec.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or flags:
+            raise ValueError(f"{path}: not a byte-level tokenizer of plain added tokens, to which these boundaries apply")
+        added = {t["id"]: t["content"] for t in spec.get("added_tokens", ())}
         byte_of, pairs = _byte_of_letter(), np.zeros((256, 256), bool)
-        self.pieces = {i: s.encode() for i, s in added.items()}
+        self.pieces = {i: t.encode() for i, t in added.items()}
         ranks = {}
-        for token, i in self.model.get_vocab(with_added_tokens=False).items():
+        for token, i in spec["model"]["vocab"].items():
             if i not in added:
                 raw = bytes(byte_of[c] for c in token)
                 self.pieces[i] = raw
@@ -71,19 +76,29 @@ class Codec:
         bound = [bytes([x]) for x in range(256) if pairs[x, 32]]
         self.bound = [x + b" " for x in bound]
         self.split = re.compile(b"(?<![" + b"".join(map(re.escape, bound)) + b"]) " if bound else b" ").split
-        self.added = {s: i for i, s in sorted(added.items(), key=lambda x: -len(x[1]))}
+        self.added = {t: i for i, t in added.items()}
+        # Of the added tokens that a text writes out, the leftmost counts, and there the longest.
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.width = "H" if max(self.pieces) < 1 << 16 else "i"
         self.lengths = np.array([len(self.pieces.get(i, b"")) for i in range(max(self.pieces) + 1)])
         self.known: dict[bytes, bytes] = {}
-        self.ordinary = self._ordinary(path, ranks)
+        made = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        made = [bytes(byte_of[c] for c in a + b) for a, b in made]
+        self.ordinary = self._ordinary(ranks, made)
+
+    @cached_property
+    def model(self):
+        """The tokenizers library with the same file, opened only where it is needed."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
+        from tokenizers import Tokenizer
 
-    def _ordinary(self, path: str, ranks: dict[bytes, int]):
+        model = Tokenizer.from_file(self.path)
+        model.no_truncation()
+        model.no_padding()
+        return model
+
+    def _ordinary(self, ranks: dict[bytes, int], made: list[bytes]):
         """What encodes a fragment: merging by rank where ids are in the order of the merges, else the library itself."""
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        byte_of = _byte_of_letter()
-        made = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        made = [bytes(byte_of[c] for c in a + b) for a, b in made]
         if sorted(ranks.values()) == list(range(len(ranks))) and [ranks.get(m) for m in made] == list(range(256, len(ranks))):
             import tiktoken
             from public_tokenizers import PATTERN
@@ -108,37 +123,41 @@ class Codec:
 
     def _learn(self, words) -> None:
         """Remembers words, each with a space before it; they are encoded in one go and told apart by their bytes."""
-        if not words or len(self.known) + len(words) > _REMEMBERED:
+        if not words:
             return
+        if len(self.known) + len(words) > _REMEMBERED:
+            self.known.clear()
         ids = np.array(self.ordinary((b" " + b" ".join(words)).decode()), self.width)
         ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w) + 1 for w in words])) + 1
         raw, size = ids.tobytes(), ids.itemsize
         ends = (ends * size).tolist()
         self.known.update(zip(words, (raw[i:j] for i, j in zip([0, *ends], ends))))
 
+    def forget(self) -> None:
+        """Drops what is remembered."""
+        self.known = {}
+
     def _plain(self, text: str) -> bytes:
         # The boundaries before a space are enough: fragments are words with the space before them.
         raw = text.encode()
         first, *rest = self.split(raw) if any(x in raw for x in self.bound) else raw.split(b" ")
-        got = list(map(self.known.get, rest))
-        if None in got:
-            self._learn(dict.fromkeys(w for w, ids in zip(rest[:-1], got) if ids is None and len(w) <= _LONG))
-            got = [self.known.get(w) if ids is None else ids for w, ids in zip(rest, got)]
-            got = [self._long(b" " + w) if ids is None else ids for w, ids in zip(rest, got)]
-        return self._long(first) + b"".join(got)
-
-    def _parts(self, text: str, tokens: list[str]) -> list[bytes]:
-        if not tokens:
-            return [self._plain(text)]
-        out = []
-        for i, s in enumerate(text.split(tokens[0])):
-            out += [array(self.width, [self.added[tokens[0]]]).tobytes()] if i else []
-            out += self._parts(s, tokens[1:])
-        return out
+        out = [self._long(first)]
+        for i in range(0, len(rest), _SLICE):
+            some = rest[i : i + _SLICE]
+            got = list(map(self.known.get, some))
+            if None in got:
+                # The text's last word has no space after it.
+                inner = some if i + _SLICE < len(rest) else some[:-1]
+                self._learn(dict.fromkeys(w for w, ids in zip(inner, got) if ids is None and len(w) <= _LONG))
+                got = [self.known.get(w) if ids is None else ids for w, ids in zip(some, got)]
+                got = [self._long(b" " + w) if ids is None else ids for w, ids in zip(some, got)]
+            out += got
+        return b"".join(out)
 
     def encode(self, text: str | None) -> np.ndarray:
         """Token ids; added tokens written out in the text count as those tokens."""
-        found = self._parts(text or "", [t for t in self.added if t in (text or "")])
+        parts = self.marks.split(text or "") if self.marks else [text or ""]
+        found = [array(self.width, [self.added[x]]).tobytes() if i % 2 else self._plain(x) for i, x in enumerate(parts)]
         return np.frombuffer(b"".join(found), self.width)
 
     def decode(self, ids) -> str:
@@ -156,40 +175,48 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)))
 
 
-def _grow(df: DataFrame, source: str, column: str, kind: str, each) -> DataFrame:
-    """`df` with one more column, made from `source` batch by batch; a column of that name is replaced."""
-    df = df.drop(column) if column != source else df
-    at = df.columns.index(source)
+def _open(path: str, each):
+    """What `per_text` opens: `each` over the codec, which forgets its fragments when the partition ends."""
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, each(b.column(at))], names=[*b.schema.names, column])
+    def make():
+        held = codec(path)
+        return lambda column: each(held, column), held.forget
 
-    # A record batch needs one schema; Spark takes its types from here.
-    from pyspark.sql.types import StructType, _parse_datatype_string
+    return make
 
-    schema = StructType([*df.schema.fields, *_parse_datatype_string(f"`{column}` {kind}").fields])
-    return df.mapInArrow(run, schema)
+
+def _decoded(held: Codec, ids) -> pa.Array:
+    return pa.array([held.decode(x) for x in ids], pa.string())
 
 
 def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
     """`df` with the token ids of its text, as the tokenizers library gives them without special tokens added.
 
-    A null text has no ids, like an empty one. Added tokens written out in a text count as those tokens.
+    A null text has no ids, like an empty one. Added tokens written out in a text count as those tokens. A column named
+    `ids_col` is replaced; all others stay as they are, whatever their names and types, as only the text is sent to Python.
+    Rows are independent: repeated rows are encoded as often as they come, an empty table gives an empty one.
     """
-    path = path or default_path()
-    return _grow(df, text_col, ids_col, "array<int>", lambda texts: _lists([codec(path).encode(t.as_py()) for t in texts]))
+    run = per_text(_open(path or default_path(), lambda held, texts: _lists([held.encode(t.as_py()) for t in texts])), "array<int>")
+    return df.withColumn(ids_col, run(F.col(text_col).cast("string")))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", text_col: str = "decoded", path: str | None = None) -> DataFrame:
     """`df` with the text of its token ids; null ids count as none, bytes that are no UTF-8 become U+FFFD."""
-    path = path or default_path()
+    run = per_text(_open(path or default_path(), lambda held, ids: _decoded(held, [x.values.to_pylist() if x.is_valid else [] for x in ids])), "string")
+    return df.withColumn(text_col, run(F.col(ids_col).cast("array<int>")))
+
 
-    def each(ids):
-        ids = ids.cast(pa.list_(pa.int32()))
-        return pa.array([codec(path).decode(x.values.to_pylist() if x.is_valid else []) for x in ids], pa.string())
+def recode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded", path: str | None = None) -> DataFrame:
+    """`encode` and then `decode` in one pass, so that a task has one worker and one codec."""
 
-    return _grow(df, ids_col, text_col, "string", each)
+    def both(held: Codec, texts) -> pa.Array:
+        found = [held.encode(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([_lists(found), _decoded(held, [x.tolist() for x in found])], names=["ids", "decoded"])
+
+    run = per_text(_open(path or default_path(), both), "ids array<int>, decoded string")
+    held = df.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text")).select("row", run("text").alias("coded"))
+    own = [F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in (ids_col.lower(), decoded_col.lower())]
+    return held.select(*own, F.col("coded.ids").alias(ids_col), F.col("coded.decoded").alias(decoded_col))
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -197,19 +224,15 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     The ids are hashed as decimal numbers joined by commas. One pass; ids and texts stay in their task.
     """
-    path = path or default_path()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
-    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-
-    def each(batches):
-        for b in batches:
-            found = []
-            for t in b.column(1):
-                ids = codec(path).encode(t.as_py()).tolist()
-                text = codec(path).decode(ids).encode()
-                found.append((len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256(text).hexdigest()))
-            n, a, d = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=names)
-
-    return rows.mapInArrow(each, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+    def each(held: Codec, texts) -> pa.Array:
+        found = []
+        for t in texts:
+            ids = held.encode(t.as_py()).tolist()
+            text = held.decode(ids).encode()
+            found.append((len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256(text).hexdigest()))
+        n, a, d = zip(*found) if found else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    run = per_text(_open(path or default_path(), each), "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return df.select(F.col(id_col).alias("id"), run(F.col(text_col).cast("string")).alias("d")).select("id", "d.*")

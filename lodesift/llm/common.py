@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,17 +16,49 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where the session names none."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or the one that the session has set.
+
+    A local one is made only in local mode, where the driver's process holds the executors too; elsewhere a session
+    that names none is an error.
+    """
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodesift-"))
-    return sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().get()
+    named, held = sc.getConf().get("spark.checkpoint.dir"), sc._jsc.sc().getCheckpointDir()
+    if not held.isDefined():
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodesift-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession):
+    """Queries that are made inside drop their shuffle files when they end."""
+    old = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(_CLEAN)
+        else:
+            spark.conf.set(_CLEAN, old)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows read from the shared folder, so that no later step recomputes them."""
+    """The same rows read from the shared folder, so that no later step recomputes them; what was shuffled for them goes."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with tidy(df.sparkSession):
+        return df.select("*").checkpoint()
+
+
+def slices(batches, most: int = 512):
+    """Smaller batches (or arrays), so that little is held at a time."""
+    for b in batches:
+        for i in range(0, len(b) if isinstance(b, pa.Array) else b.num_rows, most):
+            yield b.slice(i, most)
 
 
 def hinted(df: DataFrame, most: int = 100_000) -> DataFrame:
@@ -31,6 +66,27 @@ def hinted(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def per_text(make, kind: str):
+    """A column function of one text column, run in Arrow batches: only the text leaves the JVM, no other column.
+
+    `make()` opens what a partition needs and returns (function of an Arrow array, what closes it). The function counts as not
+    deterministic, so that no rule of the optimizer runs it twice.
+    """
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        each, close = make()
+        try:
+            for t in slices(texts):
+                yield each(t)
+        finally:
+            close()
+            pa.default_memory_pool().release_unused()
+
+    # Spark reads the kind of function from the hints, which have to be types here.
+    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind).asNondeterministic()
+
+
 def words(text) -> F.Column:
     """The words of a text column; none for a null text."""
     inner = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))

@@ -11,9 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
 
-from lodesift.llm.common import cut, hinted
+from lodesift.llm.common import cut, hinted, per_text, slices
 
 #: Buckets of hashed byte trigrams.
 GRAMS = 1 << 16
@@ -65,7 +64,7 @@ def fit(df: DataFrame, text_col: str = "text", declared_col: str = "lang", langu
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches):
             for name, raw in zip(b.column(0).to_pylist(), _texts(b.column(1))):
                 into = sums.setdefault(name, np.zeros(GRAMS, np.int64))
                 for i in range(0, max(0, len(raw) - 2), _BLOCK):
@@ -82,12 +81,12 @@ def fit(df: DataFrame, text_col: str = "text", declared_col: str = "lang", langu
     return names, (np.log(counts + alpha) - np.log(counts.sum(0) + alpha * GRAMS)).astype(np.float32)
 
 
-def likelihoods(df: DataFrame, model, text_col: str = "text", column: str = "_lik") -> DataFrame:
-    """`df` with the tempered log likelihood of each language, and last of none: all buckets alike. Null without trigrams."""
+def likelihoods(model):
+    """A column function of texts: the tempered log likelihood of each language, and last of none: all buckets alike.
+
+    Null without trigrams. Only the text is sent to Python.
+    """
     table = np.hstack([model[1], np.full((GRAMS, 1), -np.log(GRAMS), np.float32)])
-    df = df.drop(column)
-    at = df.columns.index(text_col)
-    schema = StructType([*df.schema.fields, *_parse_datatype_string(f"`{column}` array<double>").fields])
 
     def score(raw: bytes):
         if len(raw) < 3 or not raw.strip():
@@ -97,12 +96,10 @@ def likelihoods(df: DataFrame, model, text_col: str = "text", column: str = "_li
             total += table[_grams(raw[i : i + _BLOCK + 2])].sum(0, dtype=np.float64)
         return (total * min(1.0, CERTAIN / n)).tolist()
 
-    def run(batches):
-        for b in batches:
-            found = pa.array([score(raw) for raw in _texts(b.column(at).cast(pa.string()))], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*b.columns, found], names=[*b.schema.names, column])
+    def make():
+        return lambda texts: pa.array([score(raw) for raw in _texts(texts)], pa.list_(pa.float64())), lambda: None
 
-    return df.mapInArrow(run, schema)
+    return per_text(make, "array<double>")
 
 
 def _argmax(values: Column) -> Column:
@@ -114,10 +111,10 @@ def _address(address: Column) -> list[Column]:
     host = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce(address.cast("string"), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://)?(?:[^/?#@]*@)?([^/?#:]*)", 1), r"^www\.|\.$", ""))
     parts = F.split(host, r"\.")
     domain = F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2), ".")
-    return [host.alias("_host"), domain.alias("_domain"), F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise("").alias("_suffix")]
+    return [host.alias("host"), domain.alias("domain"), F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise("").alias("suffix")]
 
 
-def identify(
+def identified(
     df: DataFrame,
     model,
     text_col: str = "text",
@@ -128,57 +125,73 @@ def identify(
     least: float = 0.5,
     unknown: float = 0.01,
 ) -> DataFrame:
-    """`df` with language, probability, text_language and kept; columns of these names are replaced.
+    """(row, found) of each row of `df`: the row as one struct, and a struct of language, probability, text_language, kept.
 
     trust: how often a declared language is right; strength: rows that a wider group counts for in a narrower one's
     prior; unknown: the prior of no language. A row is kept if its language is known with probability `least` or more.
     A null, empty or blank text, or one under three bytes, is `und` and not kept; a null address or declaration, or a
-    declared language without a model, adds nothing. Without any language in the model every row is `und`.
+    declared language without a model, adds nothing. Without any language in the model every row is `und`. Texts are read whole,
+    however long. Repeated rows get the same verdict and stay as many as they are; a tie goes to the first language by name.
+    Columns of `df` may have any name and type, as they travel inside `row`.
     """
     names, n = model[0], len(model[0])
-    own = [c for c in df.columns if c not in ("language", "probability", "text_language", "kept")]
-    df = df.select(*own)
+    carried = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
     if not n:
-        return df.select("*", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("probability"), F.lit(UNKNOWN).alias("text_language"), F.lit(False).alias("kept"))
+        none = F.struct(F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("probability"), F.lit(UNKNOWN).alias("text_language"), F.lit(False).alias("kept"))
+        return df.select(carried, none.alias("found"))
     address = F.col(address_col) if address_col else F.lit(None).cast("string")
     declared = F.lower(F.trim(F.col(declared_col).cast("string"))) if declared_col else F.lit(None).cast("string")
+    said_by = likelihoods(model)
     # First the votes of the texts alone, summed by host; a second pass over the texts is cheaper than keeping them.
-    rows = df.select("*", *_address(address), declared.alias("_declared"))
-    narrow = rows.select(F.col(text_col).cast("string").alias("_text"), "_host", "_domain", "_suffix")
-    votes = likelihoods(narrow, model, "_text").select("_host", "_domain", "_suffix", _argmax(F.col("_lik")).alias("_vote"))
-    votes = votes.where(F.col("_vote") < n)
-    tally = lambda: F.array(*[F.count(F.when(F.col("_vote") == i, 1)) for i in range(n)])
+    evidence = [F.col(text_col).cast("string").alias("text"), *_address(address), declared.alias("declared")]
+    votes = df.select(*evidence).select("host", "domain", "suffix", said_by("text").alias("lik"))
+    votes = votes.select("host", "domain", "suffix", _argmax(F.col("lik")).alias("vote")).where(F.col("vote") < n)
+    tally = lambda: F.array(*[F.count(F.when(F.col("vote") == i, 1)) for i in range(n)])
     add = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
-    hosts = cut(votes.groupBy("_host", "_domain", "_suffix").agg(tally().alias("_nh")))
-    domains = hosts.groupBy("_domain").agg(add("_nh").alias("_nd"))
-    suffixes = hosts.groupBy("_suffix").agg(add("_nh").alias("_ns"))
-    every = hosts.agg(*[F.coalesce(F.sum(F.col("_nh")[i]), F.lit(0)).alias(f"n{i}") for i in range(n)]).first()
-    known = cut(hosts.join(domains, "_domain").join(suffixes, "_suffix").select("_host", "_nh", "_nd", "_ns"))
-
-    scored = likelihoods(rows.withColumn("_text", F.col(text_col).cast("string")), model, "_text").drop("_text")
-    scored = scored.withColumn("_vote", _argmax(F.col("_lik"))).join(hinted(known), "_host", "left")
-    mine = lambda i: F.when(F.col("_vote") == i, 1).otherwise(0)
+    hosts = cut(votes.groupBy("host", "domain", "suffix").agg(tally().alias("nh")))
+    domains = hosts.groupBy("domain").agg(add("nh").alias("nd"))
+    suffixes = hosts.groupBy("suffix").agg(add("nh").alias("ns"))
+    every = hosts.agg(*[F.coalesce(F.sum(F.col("nh")[i]), F.lit(0)).alias(f"n{i}") for i in range(n)]).first()
+    known = cut(hosts.join(domains, "domain").join(suffixes, "suffix").select("host", "nh", "nd", "ns"))
+
+    scored = df.select(carried, *evidence).select("row", "host", "suffix", "declared", said_by("text").alias("lik"))
+    scored = scored.withColumn("vote", _argmax(F.col("lik"))).join(hinted(known), "host", "left")
+    mine = lambda i: F.when(F.col("vote") == i, 1).otherwise(0)
     count = lambda c, i: F.greatest(F.coalesce(F.col(c)[i], F.lit(0)) - mine(i), F.lit(0)).cast("double")
     total = lambda c: sum((count(c, i) for i in range(1, n)), count(c, 0))
     logits, whole, k = [], float(sum(every)), strength
-    with_suffix = (F.col("_suffix") != "") & F.col("_ns").isNotNull()
+    with_suffix = (F.col("suffix") != "") & F.col("ns").isNotNull()
     for i in range(n):
         base = (every[i] + 1.0) / (whole + n)
-        domain = (count("_nd", i) + k * F.lit(base)) / (total("_nd") + k)
-        prior = (count("_nh", i) + k * domain) / (total("_nh") + k)
+        domain = (count("nd", i) + k * F.lit(base)) / (total("nd") + k)
+        prior = (count("nh", i) + k * domain) / (total("nh") + k)
         # P(suffix | language) against P(suffix): what the suffix says beyond the share of the language.
-        suffix = (count("_ns", i) + k * F.lit(base)) / (total("_ns") + k) / F.lit(base)
+        suffix = (count("ns", i) + k * F.lit(base)) / (total("ns") + k) / F.lit(base)
         # The domain's rows lie in the suffix too, so the prior takes half of what the suffix says.
-        said = F.when(F.col("_declared") == names[i], trust).when(F.col("_declared").isin(*names), (1 - trust) / max(1, n - 1)).otherwise(1.0)
-        logits.append(F.col("_lik")[i] + F.log(said) + F.log(prior * (1 - unknown)) + F.when(with_suffix, 0.5 * F.log(suffix)).otherwise(0.0))
+        said = F.when(F.col("declared") == names[i], trust).when(F.col("declared").isin(*names), (1 - trust) / max(1, n - 1)).otherwise(1.0)
+        logits.append(F.col("lik")[i] + F.log(said) + F.log(prior * (1 - unknown)) + F.when(with_suffix, 0.5 * F.log(suffix)).otherwise(0.0))
     # Where no language explains the text, the declared one says nothing: 1 / n is the mean over the languages.
-    nothing = F.col("_lik")[n] + F.log(F.lit(unknown)) + F.when(F.col("_declared").isin(*names), F.log(F.lit(1.0 / n))).otherwise(0.0)
-    scored = scored.withColumn("_logits", F.array(*logits, nothing)).withColumn("_best", _argmax(F.col("_logits")))
-    top = F.array_max("_logits")
-    share = 1.0 / F.aggregate(F.transform("_logits", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
+    nothing = F.col("lik")[n] + F.log(F.lit(unknown)) + F.when(F.col("declared").isin(*names), F.log(F.lit(1.0 / n))).otherwise(0.0)
+    scored = scored.select("row", "vote", F.array(*logits, nothing).alias("logits")).withColumn("best", _argmax(F.col("logits")))
+    top = F.array_max("logits")
+    share = 1.0 / F.aggregate(F.transform("logits", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
     label = lambda c: F.coalesce(F.get(F.array(*[F.lit(x) for x in (*names, UNKNOWN)]), F.col(c)), F.lit(UNKNOWN))
-    out = scored.select(*own, label("_best").alias("language"), F.coalesce(share, F.lit(0.0)).alias("probability"), label("_vote").alias("text_language"))
-    return out.withColumn("kept", (F.col("language") != UNKNOWN) & (F.col("probability") >= least))
+    told = scored.select("row", label("best").alias("language"), F.coalesce(share, F.lit(0.0)).alias("probability"), label("vote").alias("text_language"))
+    kept = (F.col("language") != UNKNOWN) & (F.col("probability") >= least)
+    return told.select("row", F.struct("language", "probability", "text_language", kept.alias("kept")).alias("found"))
+
+
+def identify(df: DataFrame, model, *args, **settings) -> DataFrame:
+    """`df` with language, probability, text_language and kept, as `identified` finds them; columns of these names are replaced."""
+    new = ("language", "probability", "text_language", "kept")
+    own = [F.col("row").getField(c).alias(c) for c in df.columns if c.lower() not in new]
+    return identified(df, model, *args, **settings).select(*own, *[F.col("found")[c].alias(c) for c in new])
+
+
+def known_only(df: DataFrame, model, *args, **settings) -> DataFrame:
+    """The rows of `df` that `identified` keeps, with all their columns as they are."""
+    found = identified(df, model, *args, **settings).where("found.kept")
+    return found.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
 
 
 def declared_in_markup(html: Column) -> Column:

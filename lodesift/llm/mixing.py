@@ -95,10 +95,14 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (1, 2, 3), most: int = 3) -> DataFrame:
-    """The rows of `df` as often as the mix takes them, with their columns; texts are not shuffled."""
+    """The rows of `df` as often as the mix takes them (see `mix`), with their columns; texts are not shuffled.
+
+    A row travels as one struct, so that its columns may have any name and type. Rows without words are not taken.
+    """
     sizes = sized(df, id_col, text_col, source_col)
-    known = plan(cut(sizes), weights, most).withColumnRenamed("source", "_source")
-    carried = df.select(F.struct("*").alias("_row"), F.col(source_col).alias("_s"))
-    rows = carried.select("_row", "_s", *[c.alias(n) for n, c in zip(("size", "h"), _size_and_hash(F.col("_row")[id_col], F.col("_row")[text_col]))])
-    rows = rows.join(hinted(known), F.col("_s").eqNullSafe(F.col("_source"))).withColumn("repeats", repeats())
-    return rows.where("repeats > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), "repeats"))).select("_row.*")
+    known = plan(cut(sizes), weights, most).withColumnRenamed("source", "its_source")
+    size, h = _size_and_hash(F.col(id_col), F.col(text_col))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(source_col).alias("s"), size.alias("size"), h.alias("h"))
+    rows = rows.join(hinted(known), F.col("s").eqNullSafe(F.col("its_source"))).withColumn("repeats", repeats())
+    rows = rows.where("repeats > 0").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "repeats")))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in df.columns])

@@ -118,10 +118,14 @@ def bits(rules=RULES) -> Column:
 
 
 def kept(df: DataFrame, policy: Policy, text_col: str = "text", rules=RULES) -> DataFrame:
-    """The rows of `df` that a policy keeps, with their columns."""
-    own = [F.col("_row")[c].alias(c) for c in df.columns]
+    """The rows of `df` that a policy keeps, with their columns.
+
+    A row travels as one struct, so that its columns may have any name and type. A null, empty or blank text has no words and is
+    measured as such; repeated rows get the same verdict; an empty table gives an empty one.
+    """
+    own = [F.col("_row").getField(c).alias(c) for c in df.columns]
     m = F.col("_m")
-    found = measured(df.select(F.struct("*").alias("_row"), F.col(text_col).alias("text")), "text")
+    found = measured(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(text_col).alias("text")), "text")
     found = found.select("_row", *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_repeat_words", "n_letter_runs")], m["lines"]["n"].alias("n_lines"), m["lines"]["d"].alias("n_dup_lines"))
     return found.withColumn("failed", bits(rules)).where(verdict(policy, rules)).select(*own)
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodesift.llm.common import cut
+from lodesift.llm.common import cut, slices
 from lodesift.llm.components import connected
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -57,7 +57,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kind, names = rows.schema["id"].dataType.simpleString(), [f"fp{i}" for i in range(len(features))]
 
     def each(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1)
             found = [[fingerprint(shingle_hashes(t.as_py(), w, d)) for w, d in features] for t in texts]
             columns = np.array(found, np.int64).reshape(-1, len(features)).T

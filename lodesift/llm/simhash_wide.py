@@ -1,9 +1,13 @@
 """Near-dedup at an exact Jaccard similarity of 0.8 over distinct five-word shingles.
 
-Candidates come from prefixes (Chaudhuri et al., 2006; Xiao et al., 2008): with each set in one common order, two sets at
-0.8 or more share a shingle among the first fifth of each, so no pair is missed. Rare shingles come first in the order; how rare is
-estimated on a sample, which decides only the cost, as any common order gives the same pairs. Every candidate is verified
-on whole sets, and only verified pairs link. Fingerprints have no part in it.
+Candidates come from two searches. The first is the SimHash operator: fingerprints of the shingle sets, the inverted index of
+positional bytes and its count filter (`simhash.links`) find the close copies, and with them most of what large groups of
+copies hold. Its guarantee ends at four bits of 64, though, and two sets at 0.8 differ in ten bits on average, where no
+number of shared bytes is certain any more. So the second search adds what the first can't promise: prefixes (Chaudhuri
+et al., 2006; Xiao et al., 2008). With each set in one common order, two sets at 0.8 or more share a shingle among the first
+fifth of each, so no pair is missed. Rare shingles come first in the order; how rare is estimated on a sample, which
+decides only the cost, as any common order gives the same pairs. Every candidate of either search is verified on whole
+sets, only verified pairs link, and what the first search has linked makes no candidates in the second.
 """
 
 from __future__ import annotations
@@ -13,10 +17,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
-from lodesift.llm.common import cut, hinted
+from lodesift.llm.common import cut, hinted, slices
 from lodesift.llm.components import connected
-from lodesift.llm.simhash import shingle_hashes
+from lodesift.llm.simhash import fingerprint, links, shingle_hashes
 
 WIDTH = 5
 #: Sets whose shingles are counted for the common order, and the counts that are kept: bounds on cost, not on results.
@@ -42,14 +47,28 @@ def _class(hashes: np.ndarray) -> int:
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """(key, cls) of (key, text): the set of shingles of each row, by name; null as an empty text."""
+    """(key, cls, fp) of (key, text): the set of shingles of each row, by name, and its fingerprint; null as an empty text."""
 
     def each(batches):
-        for b in batches:
-            found = [_class(shingle_hashes(t.as_py(), WIDTH, True)) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], names=["key", "cls"])
+        for b in slices(batches):
+            found = []
+            for t in b.column(1):
+                h = shingle_hashes(t.as_py(), WIDTH, True)
+                found.append((_class(h), fingerprint(h)))
+            columns = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, columns)], names=["key", "cls", "fp"])
 
-    return rows.mapInArrow(each, f"key {rows.schema['key'].dataType.simpleString()}, cls long")
+    return rows.mapInArrow(each, f"key {rows.schema['key'].dataType.simpleString()}, cls long, fp long")
+
+
+def close(classes: DataFrame) -> DataFrame:
+    """(a, b): candidates among `classes` (cls, fp) by their fingerprints, a forest that joins what the fingerprints link."""
+    low = cut(classes.groupBy("fp").agg(F.min("cls").alias("low")))
+    same = classes.join(low, "fp").where("cls <> low").select(F.col("low").alias("a"), F.col("cls").alias("b"))
+    apart = links(low.select("fp")).withColumnsRenamed({"a": "x", "b": "y"})
+    for end, name in (("x", "a"), ("y", "b")):
+        apart = apart.join(low.select(F.col("fp").alias(end), F.col("low").alias(name)), end)
+    return same.unionByName(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def _each_set(batches, seen: set):
@@ -68,7 +87,7 @@ def sets(texts: DataFrame) -> DataFrame:
 
     def each(batches):
         seen: set = set()
-        for b in batches:
+        for b in slices(batches):
             found = list(_each_set([b], seen))
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64()))], names=["cls", "hashes"])
 
@@ -95,7 +114,7 @@ def postings(texts: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFram
 
     def each(batches):
         seen: set = set()
-        for b in batches:
+        for b in slices(batches):
             found = [(c, prefix(h), len(h)) for c, h in _each_set([b], seen)]
             if found:
                 k = [len(p) for _, p, _ in found]
@@ -187,40 +206,58 @@ def _rest(batches):
                 yield _table(0, a, b)
 
 
-def _verified(pairs: DataFrame, named: DataFrame, classes: DataFrame, text_col: str) -> DataFrame:
+def _verified(pairs: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs of sets whose similarity is 0.8 or more, counted on the whole sets."""
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("low._a", "low._b"))
-    held = cut(sets(named.join(hinted(wanted), ["_a", "_b"], "left_semi").select(F.col(text_col).cast("string").alias("text"))))
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("low.x", "low.y"))
+    held = cut(sets(named.join(hinted(wanted), ["x", "y"], "left_semi").select("text")))
     both = pairs.join(held.select(F.col("cls").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("cls").alias("b"), F.col("hashes").alias("y")), "b")
     return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def _holds_map(kind) -> bool:
+    return isinstance(kind, MapType | VariantType) or any(map(_holds_map, [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else []))
+
+
+def _named(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text, x, y): each row as one struct, with 128 bits over all of its columns."""
+    every = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if _holds_map(f.dataType) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(*every).alias("x"), F.xxhash64(F.lit(1), *every).alias("y"))
+
+
+def _rooted(rows: DataFrame, roots: DataFrame, column: str, name: str) -> DataFrame:
+    """`rows` with the root of the set in `column`: the set itself where nothing links it."""
+    return rows.join(roots.select(F.col("node").alias(column), F.col("root").alias(name)), column, "left").withColumn(name, F.coalesce(name, column))
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`df` with one row of each group of near copies: the one with the smallest id (a null id is smallest).
 
-    Groups are the components of pairs at a similarity of 0.8 or more. Texts without words are one group. Rows that are
-    equal in every column count once. Other columns are carried.
+    Groups are the components of pairs at a similarity of 0.8 or more. Null, empty and blank texts, which have no words, are
+    one group; texts of fewer than five words are one shingle each. Of rows with the same set and id, one stays; rows that are equal
+    in every column count once. Texts are read whole, however long. Columns may have any name and type: a row travels as one
+    struct, and what stays is as it was. An empty table gives an empty one.
     """
-    named = df.select("*", F.xxhash64(*df.columns).alias("_a"), F.xxhash64(F.lit(1), *df.columns).alias("_b"))
-    texts = named.select(F.col(text_col).cast("string").alias("text"))
-    rows = named.select(F.struct(F.col(id_col).alias("id"), "_a", "_b").alias("key"), F.col(text_col).cast("string").alias("text"))
-    classes = cut(classes_of(rows).groupBy("cls").agg(F.min("key").alias("low")))
+    named = _named(df, id_col, text_col)
+    classes = cut(classes_of(named.select(F.struct("id", "x", "y").alias("key"), "text")).groupBy("cls").agg(F.min("key").alias("low"), F.min("fp").alias("fp")))
+    found = cut(_verified(cut(close(classes.select("cls", "fp"))), named, classes))
     every = -(-classes.count() // ORDER_ROWS)
-    some = classes.where(F.pmod(F.xxhash64("cls"), F.lit(max(1, every))) == 0).select("low._a", "low._b")
-    order = counted(named.join(F.broadcast(some), ["_a", "_b"], "left_semi").select(F.col(text_col).cast("string").alias("text")))
+    some = classes.where(F.pmod(F.xxhash64("cls"), F.lit(max(1, every))) == 0).select("low.x", "low.y")
+    order = counted(named.join(F.broadcast(some), ["x", "y"], "left_semi").select("text"))
     schema = "kind int, a long, b long, pos int, n int"
-    met = cut(postings(texts, order).repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_first, schema))
-    pairs = cut(met.where("kind = 0").select("a", "b").distinct())
-    links = cut(_verified(pairs, named, classes, text_col))
+    met = cut(postings(named.select("text"), order).repartition("token").sortWithinPartitions("token", "cls").mapInArrow(_first, schema))
+    roots = hinted(cut(connected(found)))
+    pairs = _rooted(_rooted(met.where("kind = 0").select("a", "b").distinct(), roots, "a", "x"), roots, "b", "y")
+    pairs = cut(pairs.where("x <> y").select("a", "b"))
+    found = cut(found.unionByName(_verified(pairs, named, classes)))
     large = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cls"), "pos", "n")
     if not large.isEmpty():
-        roots = connected(links).select(F.col("node").alias("cls"), "root")
-        large = large.join(roots, "cls", "left").select("token", "cls", "pos", "n", F.coalesce("root", "cls").alias("root"))
+        large = _rooted(large, hinted(cut(connected(found))), "cls", "root").select("token", "cls", "pos", "n", "root")
         more = large.repartition("token").sortWithinPartitions("token").mapInArrow(_rest, schema).select("a", "b").distinct()
         more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-        links = cut(links.unionByName(_verified(more, named, classes, text_col)))
-    nodes = connected(links).withColumnRenamed("node", "cls")
+        found = cut(found.unionByName(_verified(more, named, classes)))
+    nodes = connected(found).withColumnRenamed("node", "cls")
     # What stays: the lowest row of each set that links to no other, and of each component.
     reached = classes.join(nodes, "cls", "left").select(F.coalesce("root", "cls").alias("root"), "low")
-    stays = reached.groupBy("root").agg(F.min("low").alias("low")).select("low._a", "low._b")
-    return named.join(cut(stays), ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"]).drop("_a", "_b")
+    stays = reached.groupBy("root").agg(F.min("low").alias("low")).select("low.x", "low.y")
+    kept = named.join(cut(stays), ["x", "y"], "left_semi").dropDuplicates(["x", "y"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in df.columns])

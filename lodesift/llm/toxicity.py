@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodesift.llm.common import cut
+from lodesift.llm.common import cut, slices
 
 #: Labelled rows on which the chain is fitted, at most: a documented bound.
 SAMPLE_ROWS = 20_000
@@ -106,7 +106,7 @@ def _words(df: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
 
     def each(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [sorted(set(_WORD.findall((t.as_py() or "").lower()))) for t in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.string()))], names=[*keep, "words"])
 
@@ -155,7 +155,7 @@ def predict(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str
     names = ["id", *[f"p_{c}" for c in model.categories]]
 
     def each(batches):
-        for b in batches:
+        for b in slices(batches):
             p = np.array([model.predict(model.present(t.as_py())) for t in b.column(1)], np.float64).reshape(-1, len(model.categories))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in p.T]], names=names)
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodesift.llm.bpe import codec, default_path
-from lodesift.llm.common import hinted, shared_dir
+from lodesift.llm.common import hinted, shared_dir, slices, tidy
 
 #: Tokens of a sequence, the id after each text and in what is left over, and slots of a shard.
 LENGTH, END, SLOTS = 2_048, 50_256, 4_096
@@ -25,7 +25,6 @@ LENGTH, END, SLOTS = 2_048, 50_256, 4_096
 MARK = "\n\n"
 #: Parts in which shards are written, so that what is on the way takes little disk.
 PARTS = 4
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _ROUNDS, _STEPS = 6, 128
 
 
@@ -65,7 +64,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     def each(batches):
         part, no, held, ids, n = TaskContext.get().partitionId(), 0, [], [], 0
         id_type = None
-        for b in (*batches_of(batches), None):
+        for b in (*slices(batches), None):
             out = []
             if b is not None:
                 id_type = b.column(0).type
@@ -92,13 +91,6 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
     return df.sparkSession.read.parquet(path)
 
 
-def batches_of(batches, most: int = 512):
-    """Smaller batches, so that little is held at a time."""
-    for b in batches:
-        for i in range(0, b.num_rows, most):
-            yield b.slice(i, most)
-
-
 def slotted(packed: DataFrame, key: int, slots: int = SLOTS, length: int = LENGTH) -> tuple[DataFrame, int]:
     """`packed` with slot, shard and byte_offset, and the number of sequences."""
     counts = packed.groupBy("part").agg(F.count("*").alias("m"))
@@ -120,18 +112,11 @@ def write(rows: DataFrame, n: int, path: str, slots: int = SLOTS, parts: int = P
     """
     spark, shards = rows.sparkSession, -(-n // slots)
     each = max(1, -(-shards // parts))
-    old = spark.conf.get(_CLEAN, None)
-    try:
-        spark.conf.set(_CLEAN, "true")
+    with tidy(spark):
         for first in range(0, shards, each):
             some = rows.where(F.col("shard").between(first, first + each - 1)).select("shard", "slot", F.col("tokens").cast("string").alias("value"))
             some = some.repartition(each, "shard").sortWithinPartitions("shard", "slot")
             some.drop("slot").write.mode("append").partitionBy("shard").option("lineSep", MARK).text(path)
-    finally:
-        if old is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, old)
 
 
 def read(raw: bytes, length: int = LENGTH, first: int = 0) -> np.ndarray:
