@@ -14,6 +14,8 @@ STOP_TERMS = (
 )
 #: Words that mark a Spanish question.
 SPANISH = ("dónde", "donde", "cómo", "qué", "cuál", "cuáles", "quién", "sobre", "para", "los", "las", "una", "del", "encuentro", "documentación", "fuentes", "está", "están")
+#: More words without content in a Spanish question.
+SPANISH_FUNCTION = ("de", "la", "el", "en", "un", "y", "o", "e", "que", "con", "por", "al", "es", "son", "se", "su", "sus", "lo", "más", "como", "busco", "buscar", "encontrar", "hay")
 #: Fixed value: questions of more bytes are searched as they are.
 LONGEST = 2_000
 

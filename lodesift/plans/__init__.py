@@ -1,6 +1,9 @@
 """Registered queries over the driver's tables, with their SQL."""
 
-from lodesift.plans import compaction, documents, logs, ranking
+from lodesift.plans import compaction, documents, logs, questions, ranking, records, scoring, sessions
 
-QUERIES: dict = documents.QUERIES | ranking.QUERIES | logs.QUERIES | compaction.QUERIES
-SQL: dict = documents.SQL | ranking.SQL | logs.SQL | compaction.SQL
+_ALL = (documents, ranking, logs, compaction, questions, records, scoring, sessions)
+QUERIES: dict = {name: query for part in _ALL for name, query in part.QUERIES.items()}
+SQL: dict = {name: sql for part in _ALL for name, sql in part.SQL.items()}
+if len(QUERIES) != sum(len(part.QUERIES) for part in _ALL):
+    raise ImportError("two queries have the same name")
