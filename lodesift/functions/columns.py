@@ -21,6 +21,8 @@ SCOPE_RANKS = {
     2: ("structured_record", "ai_summary"),
     1: ("indexed_sections_or_metadata", "catalog_metadata", "project_metadata", "job_catalog_metadata"),
 }
+#: How dates in texts name the months.
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 #: Scopes that no source has written itself.
 MADE_SCOPES = ("ai_summary", "synthetic_record")
 
@@ -89,10 +91,10 @@ def first_date(text: Column) -> Column:
 
     The last form counts only if one of its first two fields is above 12, and is day, month, year. Years are 1990 to 2100.
     """
-    iso, named, slashed = r"\b(\d{4})-(\d{2})-(\d{2})", r"\b(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})\b", r"\b(\d{1,2})/(\d{1,2})/(\d{4})\b"
+    iso, named, slashed = (r"\b([0-9]{4})-([0-9]{2})-([0-9]{2})", rf"\b({'|'.join(MONTHS)})[a-z]*[.]? ([0-9]{{1,2}})(?:st|nd|rd|th)?,? ([0-9]{{4}})\b", r"\b([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\b")
     part = lambda p, i: F.regexp_extract(text, p, i)
     two = lambda c: F.lpad(c, 2, "0")
-    month = two(F.floor((F.instr(F.lit("JanFebMarAprMayJunJulAugSepOctNovDec"), part(named, 1)) + 2) / 3).cast("string"))
+    month = two(F.floor((F.instr(F.lit("".join(MONTHS)), part(named, 1)) + 2) / 3).cast("string"))
     clear = (part(slashed, 1).try_cast("int") > 12) | (part(slashed, 2).try_cast("int") > 12)
     at = lambda p: F.regexp_instr(text, F.lit(p))
     found = [
@@ -104,22 +106,32 @@ def first_date(text: Column) -> Column:
     return F.array_min(F.filter(F.array(*found), lambda x: x.isNotNull() & x["d"].between(low, high)))["d"]
 
 
-def byte_chunks(text: Column, size: int = 12_000) -> Column:
-    """Ranges (s, e) of at most `size` UTF-8 bytes that cut no character; none for an empty text."""
-    raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+def _ranges(raw: Column, size: int) -> Column:
     n = F.octet_length(raw)
-    steps = F.sequence(F.lit(0), F.ceil(n / (size - 3)).cast("int"))
+    steps = F.sequence(F.lit(0), F.ceil(n / max(size - 3, 1)).cast("int"))
+    digit = lambda at: F.substr(F.hex(F.substr(raw, at + 1, F.lit(1))), F.lit(1), F.lit(1))
 
     def step(found: Column, _: Column) -> Column:
         start = F.coalesce(F.get(found, F.size(found) - 1)["e"], F.lit(0))
         end = F.least(start + size, n)
-        inside = lambda k: F.substr(F.hex(F.substr(raw, end - k + 1, F.lit(1))), F.lit(1), F.lit(1)).isin("8", "9", "A", "B")
+        inside = lambda k: digit(end - k).isin("8", "9", "A", "B")
         back = F.when(end >= n, 0).when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
-        return F.when(start < n, F.concat(found, F.array(F.struct(start.alias("s"), (end - back).alias("e"))))).otherwise(found)
+        first = digit(start)
+        whole = F.when(first.isin("C", "D"), 2).when(first == "E", 3).when(first == "F", 4).otherwise(1)
+        return F.when(start < n, F.concat(found, F.array(F.struct(start.alias("s"), F.greatest(end - back, start + whole).alias("e"))))).otherwise(found)
 
     return F.aggregate(steps, F.array().cast("array<struct<s:int,e:int>>"), step)
 
 
+def byte_chunks(text: Column, size: int = 12_000, pieces: bool = False) -> Column:
+    """Ranges (s, e) of at most `size` UTF-8 bytes that cut no character, with their `piece` of the text if wanted; none for an
+    empty text. A character larger than `size` is a range of its own. The text is encoded once, and each step reads four bytes."""
+    raw = F.encode(F.coalesce(text, F.lit("")), "UTF-8")
+    piece = lambda r, x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.decode(F.substr(r, x["s"] + 1, x["e"] - x["s"]), "UTF-8").alias("piece"))
+    found = lambda r: F.transform(_ranges(r, size), lambda x: piece(r, x)) if pieces else _ranges(r, size)
+    return F.transform(F.array(raw), found)[0]
+
+
 def cost_nanos(used: Column, nanos_per_10: Column) -> Column:
     """Price of tokens, in whole nanos, rounded up."""
     return F.floor((used * nanos_per_10 + 9) / 10).cast("bigint")

@@ -27,6 +27,7 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool]] = []
         self.hidden, self.tags, self.scopes = 0, 0, dict.fromkeys(SCOPES, 0)
+        self.time: str | None = None  # the value of a time that has shown no text so far
         self.found: dict[str, list[str]] = {s: [] for s in SCOPES}
 
     def _add(self, text: str) -> None:
@@ -39,7 +40,7 @@ class _Page(HTMLParser):
         style = (attrs.get("style") or "").replace(" ", "").lower()
         outer = tag == "header" and not (self.scopes["article"] or self.scopes["main"])
         return (
-            tag in HIDDEN or tag in SKIPPED or outer or "hidden" in attrs or attrs.get("aria-hidden") == "true"
+            tag in HIDDEN or tag in SKIPPED or outer or "hidden" in attrs or (attrs.get("aria-hidden") or "").strip().lower() == "true"
             or "display:none" in style or "visibility:hidden" in style or bool(HIDDEN_CLASSES & set((attrs.get("class") or "").split()))
         )
 
@@ -51,6 +52,8 @@ class _Page(HTMLParser):
             self._add("\n")
         if tag in VOID:
             return
+        if tag == "time":
+            self.time = dict(attrs).get("datetime")
         hidden = self._is_hidden(tag, dict(attrs))
         self.open.append((tag, hidden))
         self.hidden += hidden
@@ -64,6 +67,9 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self._add("\n")
+        if tag == "time" and self.time:
+            self._add(f" {self.time} ")
+            self.time = None
         if any(t == tag for t, _ in self.open):
             while self.open:
                 name, hidden = self.open.pop()
@@ -74,6 +80,8 @@ class _Page(HTMLParser):
                     break
 
     def handle_data(self, data):
+        if data.strip():
+            self.time = None
         self._add(data)
 
 

@@ -71,23 +71,33 @@ def depth_split(rows: DataFrame, depth: int, promising: float = C.UNCERTAIN, rou
     return found.withColumn("decision", F.when((F.col("turn") <= depth) | F.lit(depth == 0), "first").when(tail, "tail").otherwise("deferred")).drop("best")
 
 
-def lexical_scores(questions: DataFrame, docs: DataFrame) -> DataFrame:
-    """(question_id, id, usable_evidence): the share of a question's words that a document holds, where any.
+def lexical_scores(questions: DataFrame, docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """(question_id, id, usable_evidence): the share of a question's words that a document holds, where any and at least `least`.
 
-    Joined by word, so that only pairs with a word in common are made; there is no product of questions and documents.
+    Joined by word, so that only pairs with a word in common are made; there is no product of questions and documents. With
+    `least` above 0 only the rarest words of a question make pairs: a document that holds the share `least` of n words holds one of
+    any n - ceil(least n) + 1 of them, so the commonest words, which nearly all documents hold, are left out and no pair is missed.
     """
     asked = questions.select("question_id", C.tokens(F.col("question")).alias("w")).withColumn("n", F.size("w"))
-    asked = asked.select("question_id", "n", F.explode("w").alias("word"))
-    held = docs.select("id", F.explode(C.tokens(F.col("text"))).alias("word"))
-    found = held.join(asked, "word").groupBy("question_id", "id", "n").agg(F.count("*").alias("hits"))
-    return found.select("question_id", "id", (F.col("hits").cast("double") / F.col("n")).alias("usable_evidence"))
+    words = asked.select("question_id", "n", F.explode("w").alias("word"))
+    tokens = docs.select("id", C.tokens(F.col("text")).alias("t"))
+    held = tokens.select("id", F.explode("t").alias("word"))
+    if least <= 0:
+        found = held.join(words, "word").groupBy("question_id", "id", "n").agg(F.count("*").alias("hits"))
+    else:
+        common = held.join(words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+        rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.coalesce("df", F.lit(0)), "word"))
+        rare = words.join(common, "word", "left").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+        pairs = held.join(rare.select("question_id", "word"), "word").select("question_id", "id").distinct()
+        found = pairs.join(tokens, "id").join(asked, "question_id").select("question_id", "id", "n", F.size(F.array_intersect("w", "t")).alias("hits"))
+    found = found.select("question_id", "id", (F.col("hits").cast("double") / F.col("n")).alias("usable_evidence"))
+    return found.where(F.col("usable_evidence") >= least) if least > 0 else found
 
 
 def chunks(docs: DataFrame, size: int = 12_000) -> DataFrame:
-    """(id, chunk, s, e, piece): the byte ranges of each text."""
-    found = docs.select("id", "text", F.posexplode(C.byte_chunks(F.col("text"), size)).alias("chunk", "r"))
-    piece = F.decode(F.substr(F.encode("text", "UTF-8"), F.col("r.s") + 1, F.col("r.e") - F.col("r.s")), "UTF-8")
-    return found.select("id", "chunk", F.col("r.s").alias("s"), F.col("r.e").alias("e"), piece.alias("piece"))
+    """(id, chunk, s, e, piece): the byte ranges of each text, which is encoded once and not carried beside its pieces."""
+    found = docs.select("id", F.posexplode(C.byte_chunks(F.col("text"), size, pieces=True)).alias("chunk", "r"))
+    return found.select("id", "chunk", "r.s", "r.e", "r.piece")
 
 
 def by_chunk(questions: DataFrame, docs: DataFrame, size: int = 12_000) -> DataFrame:

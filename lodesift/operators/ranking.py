@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodesift.operators.running import cuts, running
+
 #: Weights of relevance, currentness, recency and authority by the kind of question.
 WEIGHTS = {
     "current": (1.0, 1.0, 0.6, 0.5),
@@ -17,16 +19,23 @@ WEIGHTS = {
 OFFSET = 10
 
 
-def position(value: str, by: str = "question_id") -> Column:
-    """Competition rank of a value, largest first; a missing one gets the middle of the known, floor(known / 2) + 1."""
-    known = F.count(value).over(Window.partitionBy(by))
-    return F.when(F.col(value).isNull(), F.floor(known / 2) + 1).otherwise(F.rank().over(Window.partitionBy(by).orderBy(F.desc_nulls_last(value)))).cast("bigint")
+def ranked(rows: DataFrame, value: str, by: str = "question_id") -> DataFrame:
+    """`rows` with `<value>_rank`: its competition rank, largest first; a missing one gets the middle of the known, floor(known / 2) + 1.
+
+    Equal values are counted first and their counts summed in pieces of the order, so that no question is one task's sort.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(F.col(by).alias("_q"), F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    above = running(counts, "_above", F.col("_c"), ("_q",), (F.desc("_v"),), -cuts(counts, F.col("_v")), own=False).select("_q", "_v", "_above")
+    totals = counts.groupBy(F.col("_q").alias("_t")).agg(F.sum("_c").alias("_known"))
+    found = rows.join(above, F.col(by).eqNullSafe(F.col("_q")) & (F.col(value) == F.col("_v")), "left").join(totals, F.col(by).eqNullSafe(F.col("_t")), "left")
+    rank = F.when(F.col(value).isNull(), F.floor(F.coalesce("_known", F.lit(0)) / 2) + 1).otherwise(F.col("_above") + 1).cast("bigint")
+    return found.withColumn(f"{value}_rank", rank).drop("_q", "_v", "_above", "_t", "_known")
 
 
 def fused(rows: DataFrame, criteria: tuple[str, ...], weights: tuple[float, ...], by: str = "question_id") -> DataFrame:
     """`rows` with a rank for each criterion and `fused`, the sum of weight / (10 + rank) in the order of the criteria."""
     for c in criteria:
-        rows = rows.withColumn(f"{c}_rank", position(c, by))
+        rows = ranked(rows, c, by)
     total = F.lit(0.0)
     for c, w in zip(criteria, weights):
         total = total + F.lit(float(w)) / (F.lit(OFFSET) + F.col(f"{c}_rank"))
@@ -39,14 +48,18 @@ def bucket(intent: Column, confidence: Column, still_current: Column) -> Column:
     return F.when(asks & (F.coalesce(still_current, F.lit(0.0)) >= 0.5), 1).otherwise(2)
 
 
+def ordered(rows: DataFrame, order: tuple, pieces: Column, by: str = "question_id") -> DataFrame:
+    """`rows` with `place`, from 1 in each group in this order; `pieces` never fall along it and are counted apart."""
+    return running(rows, "place", F.lit(1).cast("bigint"), (by,), order, pieces)
+
+
 def final_order(rows: DataFrame, by: str = "question_id") -> DataFrame:
     """`rows` with `place`: by bucket, then fused score, then id."""
-    order = Window.partitionBy(by).orderBy("bucket", F.desc("fused"), "id")
-    return rows.withColumn("place", F.row_number().over(order))
+    return ordered(rows, ("bucket", F.desc("fused"), "id"), F.col("bucket") * 1_000 - cuts(rows, F.col("fused")), by)
 
 
 def top(rows: DataFrame, most: int, *order, by: str = "question_id") -> DataFrame:
-    """The first `most` rows of each group with their `place`; no limit if `most` is 0."""
+    """The first `most` rows of each group with their `place`, of which each task keeps no more before the shuffle; all if `most` is 0."""
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
     return rows.where(F.col("place") <= most) if most else rows
 

@@ -6,28 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodesift.functions import columns as C
-from lodesift.operators.running import blocks, running, spans
+from lodesift.operators.running import blocks, cuts, running, spans
 
 
 def percentiles(rows: DataFrame, value: str, by: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
     """(by, n, p50, ...): the value at index round((n - 1) * share) of each group's sorted values.
 
     Equal values are counted first, so a group moves its distinct values and not its rows; their running counts are made
-    in pieces of one unit of the value.
+    in pieces that the values' own percentiles bound.
     """
     counts = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("c"))
     totals = counts.groupBy(F.col(by).alias("_k")).agg(F.sum("c").alias("n"))
-    placed = running(counts, "upto", F.col("c"), (by,), (value,), F.floor(value)).join(totals, F.col(by).eqNullSafe(F.col("_k")))
+    placed = running(counts, "upto", F.col("c"), (by,), (value,), cuts(counts, F.col(value))).join(totals, F.col(by).eqNullSafe(F.col("_k")))
     at = lambda p: F.round((F.col("n") - 1) * p) + 1
     return placed.groupBy(by, "n").agg(*[F.min(F.when(F.col("upto") >= at(p), F.col(value))).alias(f"p{round(p * 100)}") for p in shares])
 
 
-def streaks(rows: DataFrame, by: str, order: tuple[str, ...], failed: Column) -> DataFrame:
-    """`rows` with `streak`: failures in a row up to and with this one; 0 after a success."""
-    seq = Window.partitionBy(by).orderBy(*order)
-    marked = rows.withColumn("_f", failed).withColumn("_g", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(seq.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy(by, "_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("streak", F.sum(F.when(F.col("_f"), 1).otherwise(0)).over(run).cast("bigint")).drop("_f", "_g")
+def streaks(rows: DataFrame, by: str, order: tuple[str, ...], failed: Column, bucket: Column | None = None) -> DataFrame:
+    """`rows` with `streak`: failures in a row up to and with this one; 0 after a success.
+
+    A streak is the running count of failures less what it was at the last success. Both are folded in pieces of the order
+    (`bucket`, by default spans of its first column, a time), so that no key is one task's sort.
+    """
+    pieces = spans(order[0]) if bucket is None else bucket
+    marked = rows.withColumn("_f", F.coalesce(failed, F.lit(False)).cast("bigint"))
+    marked = running(marked, "_n", F.col("_f"), (by,), order, pieces)
+    marked = running(marked, "_m", F.when(F.col("_f") == 0, F.col("_n")), (by,), order, pieces, "max")
+    return marked.withColumn("streak", (F.col("_n") - F.coalesce("_m", F.lit(0))).cast("bigint")).drop("_f", "_n", "_m")
 
 
 def peak_in_flight(rows: DataFrame, by: str, start: str, end: str) -> DataFrame:

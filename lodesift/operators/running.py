@@ -35,3 +35,13 @@ def blocks(column: str, width: int = 65_536) -> Column:
 def spans(column: str, seconds: int = 3_600) -> Column:
     """Pieces of an order by a time."""
     return F.floor(F.unix_micros(F.col(column).cast("timestamp")) / (seconds * 1_000_000))
+
+
+def cuts(rows: DataFrame, value: Column, pieces: int = 64) -> Column:
+    """Pieces of an order by a number, of about as many rows each wherever the values lie; missing values are in the first piece.
+
+    The bounds are approximate percentiles of all rows, a few numbers. NaN and infinities are in the last or first piece.
+    """
+    at = [i / pieces for i in range(1, pieces)]
+    bounds = rows.agg(F.percentile_approx(value.cast("double"), at, 1_000)).first()[0] or []
+    return F.size(F.filter(F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>"), lambda b: b <= value)) if bounds else F.lit(0)

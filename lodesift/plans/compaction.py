@@ -21,7 +21,7 @@ QUERIES, SQL = _r.queries, _r.sql
 def _selected(spark: SparkSession, folder: str) -> DataFrame:
     """Selected documents of each question by score; each third one stands for a record without a URL."""
     docs = _docs(spark, folder).select("id", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("url")).alias("url"), C.title_key(F.col("title")).alias("title_key"), (F.col("id") % 4 + 1).alias("tier"))
-    rows = scores(spark, folder).where("usable_evidence >= 0.4").join(docs, "id")
+    rows = scores(spark, folder, 0.4).join(docs, "id")
     # A place follows from score and id alone, so that no window is needed: higher is better and no two are equal.
     place = F.struct((-F.col("usable_evidence")).alias("v"), "id")
     return rows.select("question_id", place.alias("place"), "id", "url", "title_key", "tier")
@@ -82,7 +82,11 @@ def route_pass_validity(spark: SparkSession, folder: str) -> DataFrame:
     return calls.pass_validity(rows, "l_orderkey", "l_linenumber", "p", 4)
 
 
-@_r.add()
+_TURNS = "WITH RECURSIVE e AS (SELECT conv_id, turn, strlen(coalesce(text, '')) AS bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)"
+_OPENS = "r.n >= 4 OR r.total + e.bytes > 600"
+
+
+@_r.add(f"{_TURNS}, r AS (SELECT conv_id, turn, bytes, i, CAST(0 AS BIGINT) AS batch, 1 AS n, 64 + bytes AS total FROM e WHERE i = 1 UNION ALL SELECT e.conv_id, e.turn, e.bytes, e.i, r.batch + CASE WHEN {_OPENS} THEN 1 ELSE 0 END, CASE WHEN {_OPENS} THEN 1 ELSE r.n + 1 END, CASE WHEN {_OPENS} THEN 64 + e.bytes ELSE r.total + e.bytes END FROM r JOIN e ON e.conv_id = r.conv_id AND e.i = r.i + 1) SELECT conv_id, turn, bytes, batch FROM r")
 def call_batches(spark: SparkSession, folder: str) -> DataFrame:
     """The turns of each conversation packed into calls."""
     rows = table(spark, folder, "conversations").select("conv_id", "turn", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("bytes"))

@@ -35,8 +35,8 @@ def _questions(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
 
 
-def scores(spark: SparkSession, folder: str) -> DataFrame:
-    return D.lexical_scores(_questions(spark, folder), _docs(spark, folder))
+def scores(spark: SparkSession, folder: str, least: float = 0.0) -> DataFrame:
+    return D.lexical_scores(_questions(spark, folder), _docs(spark, folder), least)
 
 
 @_r.add(f"WITH {_SCORES} SELECT question_id, id AS doc_id, round(p, 9) AS usable_evidence, {_STATUS} AS status, relevance_rank, place FROM (SELECT *, rank() OVER (PARTITION BY question_id ORDER BY p DESC) AS relevance_rank, row_number() OVER (PARTITION BY question_id ORDER BY p DESC, id) AS place FROM s) WHERE place <= 10")
@@ -186,7 +186,7 @@ def bundle_offsets(spark: SparkSession, folder: str) -> DataFrame:
 @_r.add(f"WITH {_SCORES} SELECT question_id AS claim_id, id AS doc_id, round(p, 9) AS supports, place FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY p DESC, id) AS place FROM s WHERE p >= 0.5) WHERE place <= 5")
 def claim_hits_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The five documents that support a claim best, at 0.5 or more."""
-    found = R.top(scores(spark, folder).where("usable_evidence >= 0.5"), 5, F.desc("usable_evidence"), "id")
+    found = R.top(scores(spark, folder, 0.5), 5, F.desc("usable_evidence"), "id")
     return found.select(F.col("question_id").alias("claim_id"), F.col("id").alias("doc_id"), F.round("usable_evidence", 9).alias("supports"), F.col("place").cast("bigint").alias("place"))
 
 

@@ -106,8 +106,11 @@ def listing_detail_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("s_suppkey", "s_name", "n_name", "r_name")
 
 
-@_r.add()
+_BUCKET = "WITH RECURSIVE e AS (SELECT event_type, epoch_us(ts) // 1000 AS at_ms, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000) AS i FROM events), r AS (SELECT event_type, at_ms, i, CAST(1 AS DOUBLE) AS have FROM e WHERE i = 1 UNION ALL SELECT e.event_type, e.at_ms, e.i, least((CASE WHEN r.have >= 1 THEN r.have - 1 ELSE r.have END) + (e.at_ms - r.at_ms) * CAST(0.0001 AS DOUBLE), 1) FROM r JOIN e ON e.event_type = r.event_type AND e.i = r.i + 1)"
+
+
+@_r.add(f"{_BUCKET} SELECT event_type, at_ms, have >= 1 AS granted, round(CASE WHEN have >= 1 THEN have - 1 ELSE have END, 6) AS tokens FROM r")
 def token_bucket(spark: SparkSession, folder: str) -> DataFrame:
     """Grants of a bucket for each event type."""
     rows = _events(spark, folder).select("event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
-    return L.token_bucket(rows, "event_type", "at_ms", 6)
+    return L.token_bucket(rows, "event_type", "at_ms", 6).withColumn("tokens", F.round("tokens", 6))

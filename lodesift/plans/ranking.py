@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodesift.functions import columns as C
 from lodesift.operators import ranking as R
+from lodesift.operators.running import cuts
 from lodesift.plans.registry import Registry
 from lodesift.sources.tables import table
 
@@ -41,7 +42,9 @@ def _candidates(spark: SparkSession, folder: str) -> DataFrame:
 def rank_positions(spark: SparkSession, folder: str) -> DataFrame:
     """Competition ranks by four criteria, missing values in the middle."""
     rows = _candidates(spark, folder)
-    return rows.select("question_id", "id", *[R.position(c).alias(f"{c}_rank") for c in _CRITERIA])
+    for c in _CRITERIA:
+        rows = R.ranked(rows, c)
+    return rows.select("question_id", "id", *[f"{c}_rank" for c in _CRITERIA])
 
 
 @_r.add(f"WITH {_FUSED} SELECT question_id, id, round(fused, 12) AS fused, bucket, row_number() OVER (PARTITION BY question_id ORDER BY bucket, fused DESC, id) AS place FROM f")
@@ -128,7 +131,7 @@ def content_scope_rank(spark: SparkSession, folder: str) -> DataFrame:
 def uncertain_order(spark: SparkSession, folder: str) -> DataFrame:
     """Uncertain rows by band of relevance, then scope rank, then id."""
     rows = table(spark, folder, "customer").select(F.col("c_mktsegment").alias("question_id"), F.col("c_custkey").alias("id"), F.floor(F.col("c_acctbal") / 1000).alias("band"), (F.col("c_nationkey") % 5).alias("scope_rank"))
-    found = R.top(rows, 0, F.desc("band"), F.desc("scope_rank"), "id")
+    found = R.ordered(rows, (F.desc("band"), F.desc("scope_rank"), "id"), -cuts(rows, F.col("band")))
     return found.select("question_id", "id", F.col("place").cast("bigint").alias("place"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodesift.functions import columns as C
 from lodesift.functions.html import visible
-from lodesift.operators import limits, ranking, rollups
+from lodesift.operators import documents, limits, ranking, rollups
 from lodesift.streaming.requests import window_counts
 
 
@@ -20,8 +20,8 @@ def _days(y, m, d):
 
 def test_first_date(spark):
     cases = {
-        "Last updated on Aug 12, 2026 by X": _days(2026, 8, 12), "Published on June 18th, 2024": _days(2024, 6, 18), "Date: 31/08/2026": _days(2026, 8, 31),
-        "Date: 23/04/2026": _days(2026, 4, 23), "Date: 03/04/2026": None, "2026-02-31": None, "04/13/2026": None, "seen 2024-01-02, 2025-01-01": _days(2024, 1, 2), "": None, None: None,
+        "Revised Feb 9, 2021, second print": _days(2021, 2, 9), "out on October 3rd 2019": _days(2019, 10, 3), "due 17/12/2030.": _days(2030, 12, 17), "5/25/2001": None,
+        "1/2/2003": None, "2023-02-29": None, "from 1999-12-31 to 2000-01-01": _days(1999, 12, 31), "1875-01-01 and 1/2/2003, then Mar 4 2005": _days(2005, 3, 4), "": None, None: None,
     }
     rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", C.first_date(F.col("t")).alias("d")).collect()
     assert [r.d for r in sorted(rows)] == list(cases.values())
@@ -32,6 +32,8 @@ def test_chunks_cut_no_character(spark):
     found = spark.createDataFrame([(text,)], "t string").select(C.byte_chunks(F.col("t"), 1000).alias("c")).first().c
     raw = text.encode()
     assert b"".join(raw[r.s : r.e] for r in found) == raw and all(raw[r.s : r.e].decode() and r.e - r.s <= 1000 for r in found)
+    tiny = spark.createDataFrame([("aé🙂",)], "t string").select(C.byte_chunks(F.col("t"), 2, True).alias("c")).first().c
+    assert [r.piece for r in tiny] == ["a", "é", "🙂"]
     assert spark.createDataFrame([("",), (None,)], "t string").select(C.byte_chunks(F.col("t"), 1000).alias("c")).collect() == [([],), ([],)]
 
 
@@ -44,14 +46,43 @@ def test_status_tier_and_host(spark):
 
 def test_ranking_order(spark):
     rows = spark.createDataFrame(
-        [("q", "old", 98.0, 0.2, 19723.0, -1.0), ("q", "neutral", 98.0, 0.4, None, -1.0), ("q", "live", 95.0, 0.9, 20455.0, -1.0)],
-        "question_id string, id string, relevance double, currentness double, recency double, authority double",
+        [(1, "p", 3.0, 0.1, 10.0, 2.0), (1, "q", 3.0, None, 40.0, 2.0), (1, "r", 1.0, 0.7, None, 9.0), (1, "s", None, 0.7, 20.0, 9.0), (None, "t", 1.0, 1.0, 1.0, 1.0)],
+        "question_id int, id string, relevance double, currentness double, recency double, authority double",
     )
     rows = ranking.fused(rows, ("relevance", "currentness", "recency", "authority"), ranking.WEIGHTS["current"])
-    for confidence, buckets in ((0.9, [1, 2, 2]), (0.3, [2, 2, 2])):
-        found = ranking.final_order(rows.withColumn("bucket", ranking.bucket(F.lit("current"), F.lit(confidence), F.col("currentness")))).orderBy("place").collect()
-        assert [r.bucket for r in found] == buckets
-        assert confidence < 0.6 or [r.id for r in found] == ["live", "neutral", "old"]
+    places = {r.id: (r.relevance_rank, r.currentness_rank, r.recency_rank, r.authority_rank) for r in rows.collect()}
+    assert places == {"p": (1, 3, 3, 3), "q": (1, 2, 1, 3), "r": (3, 1, 2, 1), "s": (2, 1, 2, 1), "t": (1, 1, 1, 1)}
+    for confidence, buckets in ((0.6, [1, 1, 2, 2]), (0.5, [2, 2, 2, 2])):
+        found = ranking.final_order(rows.withColumn("bucket", ranking.bucket(F.lit("current"), F.lit(confidence), F.col("currentness")))).where("id <> 't'").orderBy("place").collect()
+        assert [r.bucket for r in found] == buckets and [r.place for r in found] == [1, 2, 3, 4]
+        assert [r.id for r in found] == sorted("pqrs", key=lambda i: next((r.bucket, -r.fused, r.id) for r in found if r.id == i))
+
+
+def test_streaks_and_windows_in_pieces(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice("ab"), datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=rng.randrange(20_000)), rng.random() < 0.6) for i in range(400)]
+    found = {r.i: r for r in limits.window_limit(rollups.streaks(spark.createDataFrame(rows, "i int, k string, at timestamp_ntz, bad boolean"), "k", ("at", "i"), F.col("bad")), "k", "at", "i", "1 hour", 5).collect()}
+    run, used = {"a": 0, "b": 0}, {}
+    for i, k, at, bad in sorted(rows, key=lambda r: (r[2], r[0])):
+        run[k] = run[k] + 1 if bad else 0
+        used[k, at.hour] = used.get((k, at.hour), 0) + 1
+        assert (found[i].streak, found[i].used, found[i].allowed) == (run[k], used[k, at.hour], used[k, at.hour] <= 5)
+
+
+def test_scores_from_rare_words_miss_no_pair(spark):
+    import random
+
+    rng = random.Random(3)
+    pool = [f"w{i}" for i in range(30)]
+    say = lambda n: " ".join(rng.choices(pool, [1 / (i + 1) for i in range(30)], k=n))
+    questions = spark.createDataFrame([(i, say(rng.randrange(1, 9))) for i in range(25)] + [(90, ""), (91, None)], "question_id int, question string")
+    docs = spark.createDataFrame([(i, say(rng.randrange(0, 25))) for i in range(120)] + [(900, None)], "id int, text string")
+    whole = {(r.question_id, r.id): r.usable_evidence for r in documents.lexical_scores(questions, docs).collect()}
+    for least in (0.2, 0.5, 2 / 3, 1.0):
+        found = {(r.question_id, r.id): r.usable_evidence for r in documents.lexical_scores(questions, docs, least).collect()}
+        assert found == {k: v for k, v in whole.items() if v >= least} and found
 
 
 def test_percentile_is_a_value_at_an_index(spark):
@@ -69,6 +100,7 @@ def test_visible_text():
     page = '<html><head><title>t</title></head><body><nav>menu</nav><article><h1>A &amp; B</h1><p>one<br>two<span hidden>x</span><script>y</script></p></article>out</body></html>'
     assert visible(page) == ("A & B\none\ntwo", "article_visible_text")
     assert visible("<body><p>only</p></body>") == ("only", "body_visible_text")
+    assert visible('<main><p>on <time datetime="2020-01-02"></time> or <time datetime="2020-01-03">then</time></p><p aria-hidden="TRUE">no</p></main>') == ("on  2020-01-02  or then", "main_visible_text")
     assert visible("<p>" * 5000) == (None, None) == visible(None)
 
 
