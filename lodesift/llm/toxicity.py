@@ -1,8 +1,8 @@
 """Toxicity by classifier chains.
 
-Categories are predicted one after another. Each is a linear model over the presence of selected words and the
-probabilities of the categories before it. A model is trained with the out-of-fold probabilities of the earlier ones,
-which look like those of texts that no model has seen.
+Categories are predicted one after another. Each is a linear model over the presence of words and the probabilities of the
+categories before it. A model is trained with the out-of-fold probabilities of the earlier ones, which look like those of texts that
+no model has seen. Every word counts that the labelled rows hold evidence on, however many there are; rows are sparse.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from lodesift.llm.common import cut, slices
 
 #: Labelled rows on which the chain is fitted, at most: a documented bound.
 SAMPLE_ROWS = 20_000
-#: Words that the linear models see, at most, and the least rows that hold one.
-FEATURES, LEAST_ROWS = 128, 5
+#: Labelled rows that hold a word, and its chi-squared with any category, from which on it is evidence: no bound on their number.
+LEAST_ROWS, EVIDENCE = 3, 4.0
 FOLDS = 5
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,33 +55,62 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p)) / 4
 
 
-def linear(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 200) -> np.ndarray:
-    """Weights (bias first) of a logistic regression with an L2 penalty, by accelerated gradient steps."""
-    z = np.hstack([np.ones((len(x), 1)), x]).astype(np.float32)
-    v = np.ones(z.shape[1], np.float32)
+@dataclass
+class Sparse:
+    """Rows of presences: the places of row i are places[starts[i] : starts[i + 1]], of `width` columns."""
+
+    starts: np.ndarray
+    places: np.ndarray
+    width: int
+
+    def __post_init__(self):
+        self.sizes = np.diff(self.starts)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(w[self.places], dtype=np.float64)])
+        return sums[self.starts[1:]] - sums[self.starts[:-1]]
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.places, np.repeat(r, self.sizes), self.width)
+
+    def rows(self, some: np.ndarray) -> Sparse:
+        """The rows where `some` is true."""
+        sizes = self.sizes[some]
+        return Sparse(np.concatenate([[0], np.cumsum(sizes)]), self.places[np.repeat(some, self.sizes)], self.width)
+
+
+def _probability(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def linear(x: Sparse, more: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 200) -> np.ndarray:
+    """Weights (bias, words, `more` dense columns) of a logistic regression with an L2 penalty, by accelerated gradient steps."""
+    n = x.width
+    times = lambda w: w[0] + x.times(w[1 : 1 + n]) + more @ w[1 + n :]
+    back = lambda r: np.concatenate([[r.sum()], x.back(r), more.T @ r])
+    v = np.ones(1 + n + more.shape[1])
     for _ in range(20):  # the largest curvature, by the power method
-        v = z.T @ (z @ v)
+        v = back(times(v))
         v /= np.linalg.norm(v) or 1.0
-    step = np.float32(1.0 / (np.linalg.norm(z @ v) ** 2 / 4 * 1.1 + penalty))
-    keep, y = np.full(z.shape[1], penalty, np.float32), y.astype(np.float32)
+    step = 1.0 / (np.linalg.norm(times(v)) ** 2 / 4 * 1.1 + penalty)
+    keep = np.full(len(v), penalty)
     keep[0] = 0.0
-    w = last = np.zeros(z.shape[1], np.float32)
+    w = last = np.zeros(len(v))
     for k in range(rounds):
-        ahead = w + np.float32(k / (k + 3)) * (w - last)
-        grad = z.T @ (1 / (1 + np.exp(-np.clip(z @ ahead, -30, 30))) - y) + keep * ahead
-        last, w = w, ahead - step * grad
-    return w.astype(np.float64)
+        ahead = w + k / (k + 3) * (w - last)
+        last, w = w, ahead - step * (back(_probability(times(ahead)) - y) + keep * ahead)
+    return w
 
 
-def chain(x: np.ndarray, labels: np.ndarray, fold: np.ndarray, penalty: float = 1.0) -> tuple[list[np.ndarray], np.ndarray]:
+def chain(x: Sparse, labels: np.ndarray, fold: np.ndarray, penalty: float = 1.0) -> tuple[list[np.ndarray], np.ndarray]:
     """The weights of each category of `labels` (rows, categories), and all out-of-fold probabilities."""
     weights, held = [], np.zeros(labels.shape)
     for c in range(labels.shape[1]):
-        full = np.hstack([x, _logit(held[:, :c])])
+        more = _logit(held[:, :c])
         for f in np.unique(fold):
-            w = linear(full[fold != f], labels[fold != f, c], penalty)
-            held[fold == f, c] = 1 / (1 + np.exp(-np.clip(w[0] + full[fold == f] @ w[1:], -500, 500)))
-        weights.append(linear(full, labels[:, c], penalty))
+            w = linear(x.rows(fold != f), more[fold != f], labels[fold != f, c], penalty)
+            held[fold == f, c] = _probability(w[0] + x.rows(fold == f).times(w[1 : 1 + x.width]) + more[fold == f] @ w[1 + x.width :])
+        weights.append(linear(x, more, labels[:, c], penalty))
     return weights, held
 
 
@@ -113,37 +142,65 @@ def _words(df: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     return rows.mapInArrow(each, ", ".join([*fields, "words array<string>"]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, folds: int = FOLDS, penalty: float = 1.0) -> Chain:
+def _placed(rows: DataFrame, words: tuple[str, ...], keep: tuple[str, ...]) -> DataFrame:
+    """`keep` and the places of the words that each text holds, as an array."""
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields]
+    index = {w: i for i, w in enumerate(words)}
+
+    def each(batches):
+        for b in slices(batches):
+            found = [sorted(index[w] for w in x.as_py() if w in index) for x in b.column(len(keep))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.list_(pa.int32()))], names=[*keep, "places"])
+
+    return rows.select(*keep, "words").mapInArrow(each, ", ".join([*fields, "places array<int>"]))
+
+
+def sampled(truth: DataFrame, most: int) -> DataFrame:
+    """The `most` rows of `truth` (id, ...) with the lowest hash of their id.
+
+    A bound on the hash first leaves little more than the sample, so that no partition sends its own `most` rows to be sorted.
+    """
+    keyed = cut(truth.withColumn("h", F.xxhash64("id")))
+    n = keyed.count()
+    share = F.col("h").cast("double") / 2.0**64 + 0.5
+    near = keyed.where(share * n <= 1.05 * most + 500) if n > most else keyed
+    return near.orderBy("h", "id").limit(most)
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, evidence: float = EVIDENCE, folds: int = FOLDS, penalty: float = 1.0) -> Chain:
     """The chain fitted on the `sample_rows` labelled rows with the lowest hash of their id.
 
-    `categories` names conditions over the columns of `labels`, in the order of the chain; a null counts as no. Words
-    are counted by category on the executors; the `features` words that tell any category apart best are kept, which
-    bounds what reaches the driver: the sample's rows with the places of these words.
+    `categories` names conditions over the columns of `labels`, in the order of the chain; a null counts as no. Labels of one
+    id count as one, the largest; so do its texts, the first in their order, so that the bound is one on rows. Words are counted
+    by category on the executors; those in `LEAST_ROWS` rows or more whose chi-squared with any category is `evidence` or more are
+    kept. What reaches the driver is bounded by the sample: these words, and their places in its rows.
     """
     names = tuple(categories)
+    ys = [f"y{i}" for i in range(len(names))]
     # As one label for an id: the largest of its rows. Rows without an id have no text.
-    truth = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[F.max(F.coalesce(F.expr(c), F.lit(False)).cast("int")).alias(f"y{i}") for i, c in enumerate(categories.values())])
-    chosen = cut(truth.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(sample_rows))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    truth = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[F.max(F.coalesce(F.expr(c), F.lit(False)).cast("int")).alias(y) for y, c in zip(ys, categories.values())])
+    chosen = cut(sampled(truth, sample_rows))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     # The sample is bounded, so it is sent to the texts.
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "text", *[f"y{i}" for i in range(len(names))])
-    rows = cut(_words(rows, "text", ("id", *[f"y{i}" for i in range(len(names))])))
-    totals = rows.agg(F.count("*"), *[F.coalesce(F.sum(f"y{i}"), F.lit(0)) for i in range(len(names))]).first()
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", *ys).agg(F.min("text").alias("text"))
+    rows = cut(_words(rows, "text", ("id", *ys)))
+    totals = rows.agg(F.count("*"), *[F.coalesce(F.sum(y), F.lit(0)) for y in ys]).first()
     n = max(1, totals[0])
-    counts = rows.select(F.explode("words").alias("w"), *[f"y{i}" for i in range(len(names))]).groupBy("w").agg(F.count("*").alias("n"), *[F.sum(f"y{i}").alias(f"n{i}") for i in range(len(names))])
+    counts = rows.select(F.explode("words").alias("w"), *ys).groupBy("w").agg(F.count("*").alias("n"), *[F.sum(y).alias(f"n{i}") for i, y in enumerate(ys)])
     score = F.lit(0.0)
-    for i in range(len(names)):  # the squared correlation of word and category
+    for i in range(len(names)):  # chi-squared: the rows times the squared correlation of word and category
         a, b, c = F.col(f"n{i}") / n, F.col("n") / n, totals[1 + i] / n
-        score = F.greatest(score, F.pow(a - b * c, F.lit(2)) / (b * (1 - b) * c * (1 - c) + 1e-9))
-    words = tuple(r.w for r in counts.where(F.col("n") >= LEAST_ROWS).withColumn("s", F.round(score, 9)).orderBy(F.desc("s"), "w").limit(features).collect())
-    found = rows.select("id", *[f"y{i}" for i in range(len(names))], F.transform(F.array_intersect("words", F.array(*[F.lit(w) for w in words]).cast("array<string>")), lambda w: w).alias("words")).orderBy("id").collect()
+        score = F.greatest(score, n * F.pow(a - b * c, F.lit(2)) / (b * (1 - b) * c * (1 - c) + 1e-9))
+    words = tuple(counts.where((F.col("n") >= LEAST_ROWS) & (score >= evidence)).select("w").toArrow().column(0).to_pylist())
+    words = tuple(sorted(words))
+    # In the order of a hash, so that folds have nothing to do with how labels are dealt over ids.
+    found = _placed(rows, words, ("id", *ys)).orderBy(F.xxhash64("id"), "id").toArrow()
+    places = found.column("places").combine_chunks()
+    starts = np.concatenate([[0], np.cumsum(places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    x = Sparse(starts, places.flatten().to_numpy(zero_copy_only=False).astype(np.int64), len(words))
+    y = np.stack([found.column(c).to_numpy().astype(np.float64) for c in ys], 1) if len(names) else np.zeros((found.num_rows, 0))
     out = Chain(names, words)
-    x, y = np.zeros((len(found), len(words)), np.float32), np.zeros((len(found), len(names)))
-    for i, r in enumerate(found):
-        x[i, [out.index[w] for w in r.words]] = 1
-        y[i] = r[1 : 1 + len(names)]
-    fold = np.arange(len(found)) % folds
-    out.weights, held = chain(x, y, fold, penalty)
+    out.weights, held = chain(x, y, np.arange(found.num_rows) % folds, penalty)
     out.thresholds = [best_threshold(held[:, c], y[:, c]) for c in range(len(names))]
     return out
 
