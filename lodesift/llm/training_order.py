@@ -31,8 +31,9 @@ _ROUNDS, _STEPS = 6, 128
 def permuted(index: Column, n: int, key: int) -> Column:
     """The slot of each index below `n`: a bijection on 0..n-1 chosen by `key`.
 
-    The network works on the smallest power of two at or above n, less than twice n; a value of n or more is permuted
-    again until it falls below. 128 steps are allowed, of which each leaves half of the values at most.
+    The network works on the smallest power of two at or above n (4 at least), less than twice n; a value of n or more is permuted
+    again until it falls below. Each step leaves half of the values at most, so 128 steps are as good as never too few; a value
+    that they do leave is an error, not a slot.
     """
     bits = max(2, (n - 1).bit_length())
     high, low = bits // 2, bits - bits // 2
@@ -46,7 +47,8 @@ def permuted(index: Column, n: int, key: int) -> Column:
         return F.transform(F.array(F.shiftleft(right, a).bitwiseOR(new)), lambda y: rounds(y, k + 1))[0]
 
     steps = F.sequence(F.lit(1), F.lit(_STEPS))
-    return F.aggregate(steps, rounds(index.cast("bigint")), lambda x, _: F.when(x < n, x).otherwise(rounds(x)))
+    left = F.aggregate(steps, rounds(index.cast("bigint")), lambda x, _: F.when(x < n, x).otherwise(rounds(x)))
+    return F.transform(F.array(left), lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("cycle-walking did not end")).cast("bigint")))[0]
 
 
 def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, length: int = LENGTH, end: int = END) -> DataFrame:
@@ -54,9 +56,12 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
 
     A text is followed by `end`; the last sequence of a partition is filled up with it and tells its `n_tokens`. `ids`
     are the rows that a sequence has tokens of. A null text has no tokens but its `end`. Ids of tokens are 16-bit
-    numbers, low byte first.
+    numbers, low byte first; a vocabulary with more ids is an error. A sequence's number, and so its slot, follows from the order of
+    the rows in the input's partitions: reruns agree over the same files with the same settings of splits.
     """
     tokenizer = tokenizer or default_path()
+    if codec(tokenizer).width != "H" or not 0 <= end < 1 << 16:
+        raise ValueError("token ids must be below 65,536")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     names = ["part", "no", "n_tokens", "ids", "tokens"]
@@ -107,15 +112,16 @@ def slotted(packed: DataFrame, key: int, slots: int = SLOTS, length: int = LENGT
 def write(rows: DataFrame, n: int, path: str, slots: int = SLOTS, parts: int = PARTS) -> None:
     """Writes each shard as one file `shard=<k>/part-*.txt` of fixed-stride records in slot order.
 
-    Spark's own writer commits the files, so that a lost task leaves no half shard. Shards are written in `parts`
-    ranges; the shuffle files of a range are removed before the next begins.
+    Slots are dealt to partitions by range, one shard each, so that a task holds one shard whatever the input's size. Spark's own
+    writer commits the files, so that a lost task leaves no half shard. Shards are written in `parts` ranges; the shuffle
+    files of a range are removed before the next begins.
     """
     spark, shards = rows.sparkSession, -(-n // slots)
     each = max(1, -(-shards // parts))
     with tidy(spark):
         for first in range(0, shards, each):
             some = rows.where(F.col("shard").between(first, first + each - 1)).select("shard", "slot", F.col("tokens").cast("string").alias("value"))
-            some = some.repartition(each, "shard").sortWithinPartitions("shard", "slot")
+            some = some.repartitionById(each, F.col("shard") - first).sortWithinPartitions("shard", "slot")
             some.drop("slot").write.mode("append").partitionBy("shard").option("lineSep", MARK).text(path)
 
 
