@@ -68,8 +68,8 @@ def op8_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements and failure bits of every document, and the verdict of policy v2."""
     found = quality.ledger(_table(spark, sf_dir, "documents"))
     base, full = quality.POLICIES
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed")
-    return found.select(F.col("id").alias("doc_id"), *names, (~quality.verdict(base)).alias("base_failed"), quality.verdict(full).alias("kept"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return found.select(F.col("id").alias("doc_id"), *names, (~quality.verdict(base)).alias("base_failed"), quality.verdict(full).alias("kept"), "failed")
 
 
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,4 +95,21 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
-SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+#: The ledger: words of a window of eight are compared as words, not by hashes as the operator does.
+_LEDGER = (
+    f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents), w AS (SELECT doc_id, t, r, regexp_extract_all(t, '{_WORD}') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM d), "
+    "p AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w), "
+    "k AS (SELECT r, i, concat_ws(' ', x, " + ", ".join(f"lead(x, {n}) OVER o" for n in range(1, 8)) + ") AS v, lead(x, 7) OVER o AS z FROM p WINDOW o AS (PARTITION BY r ORDER BY i)), "
+    "m AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, v) AS n FROM k WHERE z IS NOT NULL) WHERE n > 1), "
+    "c AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM m) GROUP BY r), "
+    "q AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, "
+    r"coalesce(c.n, 0) AS n_repeat_words, CAST(len(regexp_extract_all(t, '\p{L}+')) AS BIGINT) AS n_letter_runs FROM w LEFT JOIN c USING (r)), "
+    "b AS (SELECT *, " + " + ".join(f"CASE WHEN {fails} THEN {1 << i} ELSE 0 END" for i, (_, fails) in enumerate(quality.RULES)) + " AS failed FROM q)"
+)
+_RULE_ROWS = ", ".join(f"('{p.version}', '{name}', {p.mask()}, {1 << i})" for p in quality.POLICIES for i, (name, _) in enumerate(quality.RULES) if name in p.rules)
+
+SQL: dict[str, str] = {
+    "op8_quality_ledger": f"{_LEDGER} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {quality.POLICIES[0].mask()} <> 0 AS base_failed, failed & {quality.POLICIES[1].mask()} = 0 AS kept, CAST(failed AS BIGINT) AS failed FROM b",
+    "quality_ablation": f"{_LEDGER}, v AS (SELECT * FROM (VALUES {_RULE_ROWS}) AS v(version, rule, mask, bit)) SELECT version, rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & mask = bit) AS n_only, count(*) FILTER (failed & mask IN (0, bit)) AS n_kept_without FROM b CROSS JOIN v GROUP BY 1, 2",
+}

@@ -150,6 +150,44 @@ def test_toxicity_on_held_out_rows(spark, none):
     assert toxicity.predict(none, empty).count() == 0 and not any(r.is_toxic for r in toxicity.predict(docs.where("text is null"), empty).collect())
 
 
+def test_out_of_fold_probabilities_know_nothing_of_their_fold():
+    rng = np.random.default_rng(5)
+    places = [np.flatnonzero(rng.random(12) < 0.3) for _ in range(90)]
+    x = toxicity.Sparse(np.concatenate([[0], np.cumsum([len(p) for p in places])]), np.concatenate(places), 12)
+    dense = np.zeros((90, 12))
+    for i, p in enumerate(places):
+        dense[i, p] = 1
+    assert np.allclose(x.times(np.arange(12.0)), dense @ np.arange(12.0)) and np.allclose(x.back(np.arange(90.0)), dense.T @ np.arange(90.0))
+    assert np.allclose(x.rows(np.arange(90) % 3 == 0).times(np.ones(12)), dense[::3].sum(1))
+    first = (dense[:, 0] + 0.3 * rng.standard_normal(90) > 0.5).astype(float)
+    labels, fold = np.stack([first, np.maximum(first, dense[:, 3])], 1), np.arange(90) % 5
+    weights, held = toxicity.chain(x, labels, fold)
+    for f in range(5):  # other labels in a fold change nothing that is said of it; a dense model without the fold says the same
+        other = labels.copy()
+        other[fold == f] = 1 - other[fold == f]
+        assert np.allclose(toxicity.chain(x, other, fold)[1][fold == f, 0], held[fold == f, 0])
+        w, z = np.zeros(13), np.hstack([np.ones((90, 1)), dense])
+        for _ in range(4000):
+            r = 1 / (1 + np.exp(-z[fold != f] @ w)) - labels[fold != f, 0]
+            w -= 0.01 * (z[fold != f].T @ r + np.concatenate([[0], w[1:]]))
+        assert np.allclose(1 / (1 + np.exp(-z[fold == f] @ w)), held[fold == f, 0], atol=0.01)
+    assert len(weights[0]) == 13 and len(weights[1]) == 14
+
+
+def test_toxicity_sees_rare_words(spark):
+    """Two hundred toxic words, each in four rows only: no bound on words hides any of them."""
+    rng, rows, labels = random.Random(2), [], []
+    for i in range(4000):
+        bad = i % 5 == 0
+        rows.append((i, _text(rng, 30) + (f" vile{'abcdefghij'[i // 5 % 10]}{'abcdefghij'[i // 50 % 10]}{'ab'[i // 500 % 2]}" if bad else "")))
+        labels.append((i, int(bad)))
+    docs, truth = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, truth, {"toxic": "toxic = 1"})
+    assert sum(w.startswith("vile") for w in model.words) == 200
+    found = {r.id: r.is_toxic for r in toxicity.predict(docs, model).collect()}
+    assert np.mean([found[i] == bool(t) for i, t in labels]) > 0.99
+
+
 def test_bpe_equals_the_library(docs, none):
     codec, rng = bpe.codec(bpe.default_path()), random.Random(2)
     pools = ["ab'stlrevmd ,.\n\t\r\v\f -_1239%$#", "' s t\n \t", "aé日本 　\xa0\x85'sre\n1²à ", "\x1c\x1d\x1f\x00\x7f \nab'"]
@@ -362,3 +400,55 @@ def test_partial_and_rewrapped_quotes_equal_brute_force(spark):
         want |= {(conv, turn): r for turn, r in _quoted_replies(messages).items()}
     found = quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert {(r.conv, r.turn): r.reply_turn for r in found} == want and sum(r is not None for r in want.values()) > 100
+
+
+ODD = "doc_id long, text string, lang string, source string, _host string, _nh int, _text string, _lik double, _vote string, language string, Kept string, ids_ map<string,int>, _a string, _b int, row string, x map<int,array<int>>, y double, `a b` int, repeats int, s string, size int, h string, _m int, _source int"
+
+
+def _odd():
+    rng = random.Random(13)
+    parts = {"aa": "kra mok tul", "bb": "sil fen wey"}
+    say = lambda lang: " ".join("".join(rng.choices(parts[lang].split(), k=3)) for _ in range(40))
+    texts = [say(("aa", "bb")[i % 2]) for i in range(40)]
+    rest = ("zz", 7, "other", 0.5, "zz", "zz", "no", {"k": 1}, "z", 1, "r", {1: [2]}, float("nan"), 3, 9, "s", 8, "h", 4, 5)
+    rows = [(i, t, ("aa", "bb")[i % 2], f"s{i % 3}", *rest) for i, t in enumerate([*texts, texts[0], texts[1] + " more"])]
+    return [*rows, rows[5], rows[5], (None, None, None, None, *rest), (98, "", "aa", None, *rest), (99, " \n ", None, "s1", *rest), (100, ("kramok tulkra " * 700_000).strip(), "aa", "s1", *rest)]
+
+
+def test_stages_carry_columns_of_any_name_and_type(spark):
+    """No value of a user's column changes, whatever its name, and nothing crashes on nulls, repeated rows, maps and a text of 9 MB."""
+    import corpus_pipeline
+
+    rows = _odd()
+    df = spark.createDataFrame(rows, ODD)
+    same = lambda r: repr((r.doc_id, hash(r.text), *tuple(r)[2:]))
+    before = collections.Counter(map(same, df.collect()))
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {}
+    for name, stage in list(stages.items())[:4]:
+        out = stage(spark, df, "")
+        assert out.columns == df.columns and [f.dataType for f in out.schema.fields] == [f.dataType for f in df.schema.fields]
+        found = collections.Counter(map(same, out.collect()))
+        assert set(found) <= set(before) and (name.startswith("mixing") or not found - before)
+        kept[name] = found
+        assert stage(spark, df.limit(0), "").count() == 0
+    # Languages are told, texts without one go, the long text stays; repeated rows stay as many as they are.
+    assert sum(kept["language ID"].values()) == 45
+    ids = [eval(k.replace("nan", "0"))[0] for k in kept["SimHash near-dedup"].elements()]
+    assert sorted(i for i in ids if i is not None) == [i for i in range(40)] + [100] and ids.count(None) == 1
+    coded = bpe.recode(df.withColumn("IDS", F.lit(1)).where("doc_id < 100"))
+    assert [c for c in coded.columns if c.lower() == "ids"] == ["ids"] and "Kept" in coded.columns
+    assert all((r.text or "") == r.decoded for r in coded.collect())
+
+
+def test_ledger_equals_its_sql(spark):
+    import duckdb
+
+    from lodesift.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    for name, sql in queries.SQL.items():
+        df = queries.QUERIES[name](spark, folder)
+        theirs = duckdb.sql(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
+        assert sorted(map(tuple, df.collect())) == sorted(theirs) and theirs
