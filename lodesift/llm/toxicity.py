@@ -103,11 +103,13 @@ def linear(x: Sparse, more: np.ndarray, y: np.ndarray, penalty: float = 1.0, rou
         most = np.linalg.norm(v) or 1.0
         v /= most
     u = last = np.zeros(len(scale))
-    for k in range(rounds):
+    k = 0
+    for _ in range(rounds):
         ahead = u + k / (k + 3) * (u - last)
         w = scale * ahead
         last, u = u, ahead - scale * (back(_probability(times(w)) - y) + keep * w) / (1.2 * most)
-        if np.abs(scale * (u - last)).max() < 1e-3:
+        k = 0 if ((ahead - u) * (u - last)).sum() > 0 else k + 1  # a step against the gradient starts anew
+        if np.abs(scale * (u - last)).max() < 3e-4:
             break
     return scale * u
 
