@@ -3,8 +3,8 @@
 A byte pair that occurs inside no token of the vocabulary can never be merged over, so a text may be cut there and its
 fragments encoded on their own. The cuts used are those that the word splitting before the merges can't feel either:
 before ASCII white space, or after another ASCII character unless an apostrophe follows (which could start a
-contraction). Of these, the cuts before a space make the fragments, and a run without spaces is cut at the others into
-blocks. Fragments repeat a lot, so a task remembers a bounded number of them, which it drops when it ends.
+contraction). Cuts closer together than a fragment's least size are passed over, so that a text makes few fragments and a
+run without spaces, however long, makes small ones.
 """
 
 from __future__ import annotations
@@ -23,14 +23,8 @@ from pyspark.sql import functions as F
 
 from lodesift.llm.common import per_text
 
-#: Fragments that a task remembers at a time, some 10 MB; the store starts anew when it is full.
-_REMEMBERED = 1 << 16
-#: Fragments of a text that are looked up at once.
-_SLICE = 1 << 15
-#: Longer fragments are encoded each time, so that what is remembered stays small.
-_LONG = 64
-#: Least bytes of the fragments of a long run without spaces.
-_BLOCK = 4096
+#: Least bytes of a fragment.
+_LEAST = 1024
 
 
 def default_path() -> str:
@@ -73,15 +67,10 @@ class Codec:
         quote = np.arange(256) == ord("'")
         safe = space[None, :] | (word[:, None] & ~quote[None, :])
         self.cuts = (safe & ~pairs).ravel()
-        bound = [bytes([x]) for x in range(256) if pairs[x, 32]]
-        self.bound = [x + b" " for x in bound]
-        self.split = re.compile(b"(?<![" + b"".join(map(re.escape, bound)) + b"]) " if bound else b" ").split
         self.added = {t: i for i, t in added.items()}
         # Of the added tokens that a text writes out, the leftmost counts, and there the longest.
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.width = "H" if max(self.pieces) < 1 << 16 else "i"
-        self.lengths = np.array([len(self.pieces.get(i, b"")) for i in range(max(self.pieces) + 1)])
-        self.known: dict[bytes, bytes] = {}
         made = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         made = [bytes(byte_of[c] for c in a + b) for a, b in made]
         self.ordinary = self._ordinary(ranks, made)
@@ -118,41 +107,8 @@ class Codec:
     def _ids(self, raw: bytes) -> bytes:
         return array(self.width, self.ordinary(raw.decode())).tobytes()
 
-    def _long(self, raw: bytes) -> bytes:
-        return self._ids(raw) if len(raw) < 2 * _BLOCK else b"".join(map(self._ids, self.fragments(raw, _BLOCK)))
-
-    def _learn(self, words) -> None:
-        """Remembers words, each with a space before it; they are encoded in one go and told apart by their bytes."""
-        if not words:
-            return
-        if len(self.known) + len(words) > _REMEMBERED:
-            self.known.clear()
-        ids = np.array(self.ordinary((b" " + b" ".join(words)).decode()), self.width)
-        ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w) + 1 for w in words])) + 1
-        raw, size = ids.tobytes(), ids.itemsize
-        ends = (ends * size).tolist()
-        self.known.update(zip(words, (raw[i:j] for i, j in zip([0, *ends], ends))))
-
-    def forget(self) -> None:
-        """Drops what is remembered."""
-        self.known = {}
-
     def _plain(self, text: str) -> bytes:
-        # The boundaries before a space are enough: fragments are words with the space before them.
-        raw = text.encode()
-        first, *rest = self.split(raw) if any(x in raw for x in self.bound) else raw.split(b" ")
-        out = [self._long(first)]
-        for i in range(0, len(rest), _SLICE):
-            some = rest[i : i + _SLICE]
-            got = list(map(self.known.get, some))
-            if None in got:
-                # The text's last word has no space after it.
-                inner = some if i + _SLICE < len(rest) else some[:-1]
-                self._learn(dict.fromkeys(w for w, ids in zip(inner, got) if ids is None and len(w) <= _LONG))
-                got = [self.known.get(w) if ids is None else ids for w, ids in zip(some, got)]
-                got = [self._long(b" " + w) if ids is None else ids for w, ids in zip(some, got)]
-            out += got
-        return b"".join(out)
+        return b"".join(map(self._ids, self.fragments(text.encode(), _LEAST)))
 
     def encode(self, text: str | None) -> np.ndarray:
         """Token ids; added tokens written out in the text count as those tokens."""
@@ -176,11 +132,11 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
 
 
 def _open(path: str, each):
-    """What `per_text` opens: `each` over the codec, which forgets its fragments when the partition ends."""
+    """What `per_text` opens: `each` over the codec; there is nothing to close."""
 
     def make():
         held = codec(path)
-        return lambda column: each(held, column), held.forget
+        return lambda column: each(held, column), lambda: None
 
     return make
 
