@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodesift.llm import bpe, itq, kdtree, language, mixing, quality, quotes, simhash, toxicity, training_order
+from lodesift.llm import bpe, decontaminate, itq, kdtree, language, merkle, mixing, oracles, quality, quotes, simhash, toxicity, training_order, yinyang
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,9 +89,31 @@ def op10_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("conv", "conv_id").drop("body")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof in the trees of its source and of all sources, checked against texts without line ends."""
+    docs = _table(spark, sf_dir, "documents")
+    columns = lambda text: [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]
+    altered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    changed = F.when(altered, merkle.leaf(*columns(F.replace("text", F.lit("\n"), F.lit("")))))
+    return merkle.manifest(docs, merkle.leaf(*columns(F.col("text"))), changed).withColumnRenamed("id", "doc_id")
+
+
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of ten words of a benchmark item."""
+    found = decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as 16 indexes into codebooks of 64 entries, with its error and that of its label."""
+    found = yinyang.compress(_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
 _ALL = (
     op1_simhash_near_dedup, op2_source_mixing, op3_training_order, op4_toxicity_chain, op5_byte_pair_codec, op6_embedding_near_dedup, op7_language_id, language_id_pages,
     op8_quality_ledger, quality_ablation, op9_kd_tree_shards, op10_quotation_linking,
+    op11_merkle_manifest, op12_benchmark_decontamination, op13_vector_codes,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -112,4 +134,7 @@ _RULE_ROWS = ", ".join(f"('{p.version}', '{name}', {p.mask()}, {1 << i})" for p
 SQL: dict[str, str] = {
     "op8_quality_ledger": f"{_LEDGER} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {quality.POLICIES[0].mask()} <> 0 AS base_failed, failed & {quality.POLICIES[1].mask()} = 0 AS kept, CAST(failed AS BIGINT) AS failed FROM b",
     "quality_ablation": f"{_LEDGER}, v AS (SELECT * FROM (VALUES {_RULE_ROWS}) AS v(version, rule, mask, bit)) SELECT version, rule, count(*) FILTER (failed & bit <> 0) AS n_failed, count(*) FILTER (failed & mask = bit) AS n_only, count(*) FILTER (failed & mask IN (0, bit)) AS n_kept_without FROM b CROSS JOIN v GROUP BY 1, 2",
+    "op11_merkle_manifest": oracles.MERKLE,
+    "op12_benchmark_decontamination": oracles.LEAKS,
+    "op13_vector_codes": oracles.CODES,
 }

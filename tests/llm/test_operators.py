@@ -448,7 +448,8 @@ def test_ledger_equals_its_sql(spark):
 
     folder = "/root/testdata/sf0.001"
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
-    for name, sql in queries.SQL.items():
+    for name in ("op8_quality_ledger", "quality_ablation"):
+        sql = queries.SQL[name]
         df = queries.QUERIES[name](spark, folder)
         theirs = duckdb.sql(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
         assert sorted(map(tuple, df.collect())) == sorted(theirs) and theirs
