@@ -25,14 +25,23 @@ def percentiles(rows: DataFrame, value: str, by: str, shares: tuple[float, ...]
 def streaks(rows: DataFrame, by: str, order: tuple[str, ...], failed: Column, bucket: Column | None = None) -> DataFrame:
     """`rows` with `streak`: failures in a row up to and with this one; 0 after a success.
 
-    A streak is the running count of failures less what it was at the last success. Both are folded in pieces of the order
-    (`bucket`, by default spans of its first column, a time), so that no key is one task's sort.
+    The order is cut into pieces (`bucket`, by default of about as many rows each by its first column, a time). A piece is summed up
+    as its failures, those after its last success, and whether it has one; these fold over a key once, and each row adds what
+    its piece begins with to its own count, so that no key is one task's sort.
     """
-    pieces = spans(order[0]) if bucket is None else bucket
-    marked = rows.withColumn("_f", F.coalesce(failed, F.lit(False)).cast("bigint"))
-    marked = running(marked, "_n", F.col("_f"), (by,), order, pieces)
-    marked = running(marked, "_m", F.when(F.col("_f") == 0, F.col("_n")), (by,), order, pieces, "max")
-    return marked.withColumn("streak", (F.col("_n") - F.coalesce("_m", F.lit(0))).cast("bigint")).drop("_f", "_n", "_m")
+    pieces = cuts(rows, F.unix_micros(F.col(order[0]).cast("timestamp"))) if bucket is None else bucket
+    rows = rows.withColumn("_f", F.coalesce(failed, F.lit(False)).cast("bigint")).withColumn("_p", pieces)
+    inside = Window.partitionBy(by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_n", F.sum("_f").over(inside)).withColumn("_m", F.max(F.when(F.col("_f") == 0, F.col("_n"))).over(inside))
+    sums = rows.groupBy(by, "_p").agg(F.max("_n").alias("_all"), F.max("_m").alias("_last"))
+    earlier = Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_all").over(earlier), F.lit(0)))
+    # Failures up to the last success of any earlier piece; what came after it is carried into this one.
+    reset = F.max(F.col("_before") + F.col("_last")).over(earlier)
+    sums = sums.select(F.col(by).alias("_k"), F.col("_p").alias("_q"), (F.col("_before") - F.coalesce(reset, F.lit(0))).alias("_carried"))
+    found = rows.join(sums, F.col(by).eqNullSafe(F.col("_k")) & (F.col("_p") == F.col("_q")))
+    streak = F.when(F.col("_m").isNull(), F.col("_n") + F.col("_carried")).otherwise(F.col("_n") - F.col("_m"))
+    return found.withColumn("streak", streak.cast("bigint")).drop("_f", "_p", "_n", "_m", "_k", "_q", "_carried")
 
 
 def peak_in_flight(rows: DataFrame, by: str, start: str, end: str) -> DataFrame:

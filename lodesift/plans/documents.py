@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodesift.functions import columns as C
 from lodesift.operators import documents as D
 from lodesift.operators import ranking as R
+from lodesift.operators.search import best_documents
 from lodesift.plans.registry import Registry
 from lodesift.sources.tables import registry, table
 
@@ -42,7 +43,7 @@ def scores(spark: SparkSession, folder: str, least: float = 0.0) -> DataFrame:
 @_r.add(f"WITH {_SCORES} SELECT question_id, id AS doc_id, round(p, 9) AS usable_evidence, {_STATUS} AS status, relevance_rank, place FROM (SELECT *, rank() OVER (PARTITION BY question_id ORDER BY p DESC) AS relevance_rank, row_number() OVER (PARTITION BY question_id ORDER BY p DESC, id) AS place FROM s) WHERE place <= 10")
 def lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     """The ten best documents of each question by the share of its words that they hold."""
-    found = R.top(scores(spark, folder), 10, F.desc("usable_evidence"), "id")
+    found = best_documents(_questions(spark, folder), _docs(spark, folder), 10)
     # Ranks of the ten follow from the ten: every document with a higher score is among them.
     rank = F.rank().over(R.Window.partitionBy("question_id").orderBy(F.desc("usable_evidence")))
     return found.select("question_id", F.col("id").alias("doc_id"), F.round("usable_evidence", 9).alias("usable_evidence"), C.status(F.col("usable_evidence")).alias("status"), rank.cast("bigint").alias("relevance_rank"), F.col("place").cast("bigint").alias("place"))

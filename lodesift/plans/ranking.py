@@ -41,9 +41,7 @@ def _candidates(spark: SparkSession, folder: str) -> DataFrame:
 @_r.add(f"WITH {_RANKED} SELECT question_id, id, relevance_rank, currentness_rank, recency_rank, authority_rank FROM k")
 def rank_positions(spark: SparkSession, folder: str) -> DataFrame:
     """Competition ranks by four criteria, missing values in the middle."""
-    rows = _candidates(spark, folder)
-    for c in _CRITERIA:
-        rows = R.ranked(rows, c)
+    rows = R.positions(_candidates(spark, folder), _CRITERIA)
     return rows.select("question_id", "id", *[f"{c}_rank" for c in _CRITERIA])
 
 
