@@ -66,6 +66,21 @@ def hinted(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def numbered(rows: DataFrame, name: str = "copy", piece: int = 4_096) -> DataFrame:
+    """`rows` with `name`: rows equal in every column are numbered from 0 each among themselves.
+
+    Rows are counted by their content and made anew from it, so that no group of copies is one task's sort; a large group is
+    made in pieces that are dealt over tasks.
+    """
+    counts = cut(rows.groupBy(*[F.col(f"`{c}`") for c in rows.columns]).agg(F.count("*").alias("_n")))
+    upto = lambda lo, hi: F.explode(F.sequence(lo, hi)).alias(name)
+    zero = F.lit(0).cast("bigint")
+    few = counts.where(F.col("_n") <= piece).select(*rows.columns, upto(zero, F.col("_n") - 1))
+    large = counts.where(F.col("_n") > piece).select("*", F.explode(F.sequence(zero, F.floor((F.col("_n") - 1) / piece))).alias("_p"))
+    large = large.repartition(F.xxhash64(*rows.columns), "_p")
+    return few.unionByName(large.select(*rows.columns, upto(F.col("_p") * piece, F.least(F.col("_n"), (F.col("_p") + 1) * piece) - 1)))
+
+
 def per_text(make, kind: str):
     """A column function of one text column, run in Arrow batches: only the text leaves the JVM, no other column.
 

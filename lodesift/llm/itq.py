@@ -1,9 +1,12 @@
 """Embedding near-dedup by iterative quantisation and multi-index Hamming tables.
 
-A rotation that makes the signs of the rotated vectors balanced binary codes is learned on a bounded sample (Gong and
-Lazebnik, 2011). Codes are split into substrings, one Hamming table for each (Norouzi et al., 2012). Vectors that
-share a substring meet in a cell of its table and are compared by their original components; a pair is counted in the
-first table where it meets.
+A rotation that brings vectors near to binary codes is learned on a bounded sample (Gong and Lazebnik, 2011), about the origin, as
+the cosine is: vectors of close directions have close codes, whatever mean they have in common. Codes are split into
+substrings, one Hamming table for each (Norouzi et al., 2012). Vectors that share a substring meet in a cell of its table and
+are compared by their original components; a pair is counted in the first table where it meets.
+
+Length and number of substrings follow from the number of vectors and from the recall that the sample shows at each run; where no
+tables show enough, all vectors of a label are compared in blocks.
 """
 
 from __future__ import annotations
@@ -20,29 +23,74 @@ from lodesift.llm.components import connected
 SAMPLE = 10_000
 #: Rows of a cell that are compared in one block; larger cells are split into pairs of blocks.
 BLOCK = 2_048
-TABLES, BITS = 8, 64
+#: (bits of a substring, tables) that are tried in turn; the first needs as many vectors as a table of it has cells.
+LAYOUTS = ((16, 12), (12, 10), (8, 8))
+#: The recall on the sample that ends the search for more tables, and the least with which a layout is used.
+ENOUGH, LEAST = 0.995, 0.95
+#: Vectors of the sample whose pairs are judged.
+JUDGED = 3_000
 
 
-def learn(sample: np.ndarray, bits: int = BITS, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dimensions, bits): the codes are the signs of (x - mean) @ projection.
+def learn(sample: np.ndarray, bits: int = 64, rounds: int = 30, seed: int = 7) -> np.ndarray:
+    """Projection (dimensions, bits): the codes are the signs of x @ projection.
 
-    Principal directions, then rotations that bring the projections nearest to their signs. Where there are fewer
-    dimensions than bits, random orthogonal turns of the directions fill the rest.
+    Principal directions about the origin, then rotations that bring the projections nearest to their signs. Where there are
+    fewer dimensions than bits, random orthogonal turns of the directions fill the rest.
     """
     d, rng = sample.shape[1], np.random.default_rng(seed)
-    mean = sample.mean(0) if len(sample) else np.zeros(d)
-    x = sample - mean
-    _, directions = np.linalg.eigh(x.T @ x if len(x) else np.eye(d))
+    _, directions = np.linalg.eigh(sample.T @ sample if len(sample) else np.eye(d))
     k, parts = min(bits, d), []
     directions = directions[:, ::-1][:, :k]
     for _ in range(-(-bits // k)):
         turn = np.linalg.qr(rng.standard_normal((k, k)))[0]
-        v = x @ directions
-        for _ in range(rounds if len(x) else 0):
+        v = sample @ directions
+        for _ in range(rounds if len(sample) else 0):
             u, _, w = np.linalg.svd(np.where(v @ turn >= 0, 1.0, -1.0).T @ v)
             turn = (u @ w).T
         parts.append(directions @ turn)
-    return mean, np.hstack(parts)[:, :bits]
+    return np.hstack(parts)[:, :bits]
+
+
+def substrings(x: np.ndarray, projection: np.ndarray, width: int) -> np.ndarray:
+    """(rows, tables) of 16-bit numbers: the code of each row in substrings of `width` bits."""
+    bits = (x @ projection >= 0).reshape(len(x), -1, width)
+    return (bits << np.arange(width)[None, None, :]).sum(2).astype(np.uint16)
+
+
+def _shares(x: np.ndarray, y: np.ndarray, projection: np.ndarray, width: int) -> np.ndarray:
+    """For each number of tables the share of the pairs (x, y) that have met in them."""
+    met = substrings(x, projection, width) == substrings(y, projection, width)
+    return np.logical_or.accumulate(met, axis=1).mean(0) if len(met) else np.zeros(met.shape[1])
+
+
+def _judged(sample: np.ndarray, least: float, most: int = JUDGED, seed: int = 11) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs to judge recall by: those of the sample that link, if there are enough, and made ones right at the threshold."""
+    rng = np.random.default_rng(seed)
+    x = sample[:most]
+    aside = rng.standard_normal(x.shape)
+    aside -= (aside * x).sum(1, keepdims=True) * x
+    length = np.linalg.norm(aside, axis=1, keepdims=True)
+    pairs = [(x, least * x + np.sqrt(1 - least**2) * aside / np.where(length > 0, length, 1))] if least < 1 else []
+    a, b = np.nonzero(np.triu(x @ x.T >= least, 1))
+    if len(a) >= 200:
+        some = rng.permutation(len(a))[:100_000]
+        pairs.append((x[a[some]], x[b[some]]))
+    return pairs
+
+
+def layout(sample: np.ndarray, count: int, least: float, layouts=LAYOUTS) -> tuple[int, int, np.ndarray | None, float]:
+    """(bits of a substring, tables, projection, recall on the sample); no bits if the blocks of a label are to be compared whole."""
+    pairs = _judged(sample, least)
+    for width, tables in layouts:
+        if (1 << width) > max(count, 256) and (width, tables) != layouts[-1]:
+            continue
+        projection = learn(sample, width * tables)
+        recall = np.min([_shares(*p, projection, width) for p in pairs], axis=0) if pairs else np.ones(tables)
+        some = np.flatnonzero(recall >= ENOUGH)
+        n = int(some[0]) + 1 if len(some) else tables
+        if recall[n - 1] >= LEAST:
+            return width, n, projection[:, : n * width], float(recall[n - 1])
+    return 0, 1, None, 1.0
 
 
 def _matrix(column, d: int) -> np.ndarray:
@@ -68,32 +116,26 @@ def _sampled(part: DataFrame, most: int) -> np.ndarray:
     return np.array([r.v for r in found[:most]], np.float64)
 
 
-def _cells(rows: DataFrame, model, d: int, tables: int) -> DataFrame:
-    """(cell, key, n, code, vec): a row for each class and table; cells of different labels and widths are apart."""
-    mean, projection = model
-    width = projection.shape[1] // tables
+def _cells(rows: DataFrame, width: int, tables: int, projection, d: int) -> DataFrame:
+    """(cell, t, label, key, n, code, vec): a row for each class and table; cells of different labels and widths are apart."""
 
     def code(batches):
         for b in batches:
             x = np.array(b.column(3).to_pylist(), np.float64).reshape(-1, d)
             x = x / np.abs(x).max(1, keepdims=True)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
-            bits = np.packbits((x - mean) @ projection >= 0, axis=1, bitorder="little")
-            codes = np.zeros((len(x), 8), np.uint8)
-            codes[:, : bits.shape[1]] = bits
+            codes = substrings(x, projection, width) if width else np.zeros((len(x), 1), np.uint16)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array(codes.view(np.int64)[:, 0]), pa.array([r.tobytes() for r in x], pa.binary())],
-                names=["key", "label", "n", "code", "vec"],
+                [b.column(0), b.column(1), b.column(2), pa.array(codes.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array([r.tobytes() for r in codes], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())],
+                names=["key", "label", "n", "s", "code", "vec"],
             )
 
     kind = rows.schema["label"].dataType.simpleString()
-    coded = rows.select("key", "label", "n", "v").mapInArrow(code, f"key string, label {kind}, n bigint, code bigint, vec binary")
-    part = lambda t: F.shiftrightunsigned("code", width * t).bitwiseAND((1 << width) - 1)
-    each = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), part(t).alias("s")) for t in range(tables)]))
-    return coded.select("*", each.alias("c")).select(F.xxhash64("label", "c.t", "c.s").alias("cell"), "c.t", "label", "key", "n", "code", "vec")
+    coded = rows.select("key", "label", "n", "v").mapInArrow(code, f"key string, label {kind}, n bigint, s array<int>, code binary, vec binary")
+    return coded.select("key", "label", "n", "code", "vec", F.posexplode("s").alias("t", "s")).select(F.xxhash64("label", "t", "s").alias("cell"), "t", "label", "key", "n", "code", "vec")
 
 
-def _within(keys, n, code, x, block, t: int, width: int, least: float, left: int, right: int):
+def _within(keys, n, code, x, block, t: int, least: float, left: int, right: int):
     """Links inside one block (left = right) or between two: (counts by row, chosen links as row numbers)."""
     rows = np.arange(len(keys))
     a, b = rows[block == left], rows[block == right]
@@ -102,9 +144,8 @@ def _within(keys, n, code, x, block, t: int, width: int, least: float, left: int
     near = x[a] @ x[b].T >= least
     if left == right:
         np.fill_diagonal(near, False)
-    apart = code[a][:, None] ^ code[b][None, :]
     for earlier in range(t):  # met before: counted there
-        near &= ((apart >> np.uint64(width * earlier)) & np.uint64((1 << width) - 1)) != 0
+        near &= code[a, earlier][:, None] != code[b, earlier][None, :]
     counts = np.zeros(len(keys), np.int64)
     counts[a] += near @ n[b]
     if left != right:
@@ -130,7 +171,7 @@ def _within(keys, n, code, x, block, t: int, width: int, least: float, left: int
     return counts, chosen
 
 
-def _compared(batches, d: int, width: int, least: float):
+def _compared(batches, d: int, tables: int, least: float):
     """Rows (a, b, 0) for links and (key, null, n) for counts, from rows sorted by cell and pair of blocks."""
     held = None
     for b in (*batches, None):
@@ -151,12 +192,12 @@ def _compared(batches, d: int, width: int, least: float):
                 continue
             part = held.slice(s, e - s)
             keys, n = part.column("key").to_pylist(), part.column("n").to_numpy()
-            code = part.column("code").to_numpy().view(np.uint64)
+            code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint16).reshape(-1, tables)
             names, labels = np.array(keys, object), part.column("label_key").to_numpy()
             block = part.column("block").to_numpy()
             for one in np.unique(labels) if len(labels) > 1 and (labels != labels[0]).any() else labels[:1]:
                 at = labels == one
-                counts, chosen = _within(names[at], n[at], code[at], _matrix(part.column("vec"), d)[at], block[at], int(group[s, 3]), width, least, int(group[s, 1]), int(group[s, 2]))
+                counts, chosen = _within(names[at], n[at], code[at], _matrix(part.column("vec"), d)[at], block[at], int(group[s, 3]), least, int(group[s, 1]), int(group[s, 2]))
                 some = np.flatnonzero(counts)
                 out_a += names[at][some].tolist() + [names[at][i] for i, _ in chosen]
                 out_b += [None] * len(some) + [names[at][j] for _, j in chosen]
@@ -166,15 +207,15 @@ def _compared(batches, d: int, width: int, least: float):
         held = held.slice(tail)
 
 
-def near(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, bits: int = BITS, tables: int = TABLES, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def near(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, layouts: tuple = LAYOUTS, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """(id, n_links, component, kept) of each row.
 
     Rows link where labels are equal and the cosine, in double precision, is `least` or more; n_links counts the other
     rows linked directly, component is the smallest id that links reach. Rows without a label link with nothing,
     nor do vectors that are null or zero or hold a null or a component that is not finite; equal vectors of a label
     are one class. Rows with a null id count as linked rows; where no id is reached the component is null. Vectors of
-    different lengths never link. Pairs are found if they agree in one of `tables` substrings of their codes; cells
-    are compared whole, however large, in pairs of blocks.
+    different lengths never link. Pairs are found if they agree in one substring of their codes (see `layout`); cells
+    are compared whole, however large, in pairs of blocks. An empty table gives none.
     """
     rows = cut(df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.transform(vector_col, lambda x: x.cast("double") + 0.0).alias("v")).withColumn("key", _key()))
     known = cut(rows.where("key is not null").groupBy("key", "label", "v").agg(F.min("id").alias("low"), F.count("*").alias("n")))
@@ -184,9 +225,8 @@ def near(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", l
         part = known.where(F.size("v") == d)
         x = _sampled(part, sample).reshape(-1, d)
         x = x / np.abs(x).max(1, keepdims=True)
-        model = learn(x / np.linalg.norm(x, axis=1, keepdims=True), bits)
-        width = bits // tables
-        cells = _cells(part, model, d, tables).withColumn("label_key", F.xxhash64("label")).drop("label")
+        width, tables, projection, _ = layout(x / np.linalg.norm(x, axis=1, keepdims=True), part.count(), least, layouts)
+        cells = _cells(part, width, tables, projection, d).withColumn("label_key", F.xxhash64("label")).drop("label")
         sizes = cells.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1")
         large = cut(sizes.where(F.col("m") > block).select("cell", F.ceil(F.col("m") / block).alias("parts")))
         # Large cells hold over `block` rows each, so there are few of them.
@@ -195,7 +235,7 @@ def near(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", l
         others = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right")))
         cells = cells.select("*", F.explode(others).alias("p")).select("cell", "p.left", "p.right", "t", "label_key", "key", "n", "code", "block", "vec")
         cells = cells.repartition("cell", "left", "right").sortWithinPartitions("cell", "left", "right", "t")
-        out = cells.mapInArrow(lambda it, d=d, width=width: _compared(it, d, width, least), "a string, b string, n bigint")
+        out = cells.mapInArrow(lambda it, d=d, tables=tables: _compared(it, d, tables, least), "a string, b string, n bigint")
         found = out if found is None else found.unionByName(out)
     if found is None:
         return rows.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component"), F.lit(True).alias("kept"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodesift.llm.common import cut, global_index
+from lodesift.llm.common import cut, global_index, numbered
 from lodesift.llm.thresholds import boundary
 
 _TOP = (1 << 31) - 1
@@ -28,10 +28,10 @@ def leaves(rows: DataFrame, shards: int, named: tuple = ("source", "lang"), nume
 
     A node that shall have n leaves is split at the weighted median for n // 2 of n along the dimension whose range
     in the node is widest against its range in all rows (ties: the first). Rows that are level there are ordered by a
-    hash of the row, so that a hot value is split too; the median is exact to `tolerance` of the left side's size.
-    Only rows equal in every column used stay together.
+    hash of the row and its number among equal rows, so that a hot value and a group of copies are split too; the median is
+    exact to `tolerance` of the left side's size. Which of several equal rows goes where makes no difference.
     """
-    rows = cut(rows)
+    rows = cut(numbered(rows, "copy"))
     coordinates = _coordinates(rows, named, numeric)
     d = len(coordinates)
     tie = F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 32)).cast("bigint")
@@ -41,7 +41,7 @@ def leaves(rows: DataFrame, shards: int, named: tuple = ("source", "lang"), nume
         nodes = rows.where("n > 1").groupBy("shard", "n").agg(F.sum("size").alias("total"), *[F.expr(f"max(at[{i}]) - min(at[{i}])").cast("double").alias(f"w{i}") for i in range(d)])
         nodes = cut(nodes)
         if nodes.isEmpty():
-            return rows.drop("at", "tie", "n")
+            return rows.drop("at", "tie", "n", "copy")
         spans = spans or [max(x, 1.0) for x in nodes.select(*[f"w{i}" for i in range(d)]).first()]
         widths = [F.col(f"w{i}") / F.lit(spans[i]) for i in range(d)]
         widest = F.lit(d - 1)

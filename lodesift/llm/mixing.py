@@ -11,23 +11,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodesift.llm.common import WORD, cut, hinted
+from lodesift.llm.common import WORD, cut, hinted, numbered
 from lodesift.llm.thresholds import boundary
 
 #: Nested thresholds of the partial pass.
 LEVELS = 3
 
 
-def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, h) of each row: words of the text (null: 0) and a hash of the id in 60 bits."""
-    size, h = _size_and_hash(F.col(id_col), F.col(text_col))
-    return df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), h.alias("h"))
+def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", copies: bool = True) -> DataFrame:
+    """(id, source, size, h) of each row: words of the text (null: 0) and a hash in 60 bits of its id, source and text.
+
+    With `copies` the hash is also of the row's number among rows equal in these, so that a group of copies can be taken in part.
+    """
+    size, key = _size_and_key(F.col(id_col), F.col(text_col), F.col(source_col))
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key"))
+    rows = numbered(rows, "copy") if copies else rows.withColumn("copy", F.lit(0))
+    return rows.select("id", "source", "size", _hash(F.col("key"), F.col("copy")).alias("h"))
 
 
-def _size_and_hash(ident: F.Column, text: F.Column) -> tuple[F.Column, F.Column]:
-    digest = F.md5(F.coalesce(ident.cast("string"), F.lit("")).cast("binary"))
+def _size_and_key(ident: F.Column, text: F.Column, source: F.Column) -> tuple[F.Column, F.Column]:
+    told = F.to_json(F.struct(ident.cast("string").alias("i"), source.cast("string").alias("s"), F.md5(text.cast("binary")).alias("t")))
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
-    return size, F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    return size, F.md5(told.cast("binary"))
+
+
+def _hash(key: F.Column, copy: F.Column) -> F.Column:
+    digest = F.md5(F.concat(key, F.lit(" "), copy.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
 
 
 def targets(sizes: DataFrame, weights: tuple = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -85,8 +95,9 @@ def repeats(levels: int = LEVELS) -> F.Column:
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (1, 2, 3), most: int = 3) -> DataFrame:
     """(id, source, size, source_size, target, repeats, taken) of each row of `df`.
 
-    A null source is a source of its own; rows without words have size 0 and nothing is taken of them. Rows with the
-    same id share a hash and are taken together. Reruns agree, as every choice follows from ids and sizes.
+    A null source is a source of its own; rows without words have size 0 and nothing is taken of them. Null and repeated ids are
+    ids like others; of rows that are equal in id, source and text as many are taken as the budget asks for. Reruns agree,
+    as every choice follows from the rows' content. An empty table gives none.
     """
     rows = cut(sized(df, id_col, text_col, source_col))
     known = plan(rows, weights, most)
@@ -97,11 +108,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (1, 2, 3), most: int = 3) -> DataFrame:
     """The rows of `df` as often as the mix takes them (see `mix`), with their columns; texts are not shuffled.
 
-    A row travels as one struct, so that its columns may have any name and type. Rows without words are not taken.
+    A row travels as one struct, so that its columns may have any name and type. Rows without words are not taken. Rows
+    equal in id, source and text are taken together here, as whole rows can't be made from their content.
     """
-    sizes = sized(df, id_col, text_col, source_col)
+    sizes = sized(df, id_col, text_col, source_col, copies=False)
     known = plan(cut(sizes), weights, most).withColumnRenamed("source", "its_source")
-    size, h = _size_and_hash(F.col(id_col), F.col(text_col))
+    size, key = _size_and_key(F.col(id_col), F.col(text_col), F.col(source_col))
+    h = _hash(key, F.lit(0))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(source_col).alias("s"), size.alias("size"), h.alias("h"))
     rows = rows.join(hinted(known), F.col("s").eqNullSafe(F.col("its_source"))).withColumn("repeats", repeats())
     rows = rows.where("repeats > 0").select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "repeats")))
