@@ -3,8 +3,8 @@
 A byte pair that occurs inside no token of the vocabulary can never be merged over, so a text may be cut there and its
 fragments encoded on their own. The cuts used are those that the word splitting before the merges can't feel either:
 before ASCII white space, or after another ASCII character unless an apostrophe follows (which could start a
-contraction). Cuts closer together than a fragment's least size are passed over, so that a text makes few fragments and a
-run without spaces, however long, makes small ones.
+contraction). Every such cut is made. A fragment is encoded on its own and held for its next places, and the ids of a text are those of
+its fragments one after another.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from lodesift.llm.common import per_text
 
-#: Least bytes of a fragment.
-_LEAST = 1024
+#: Distinct fragments whose ids a worker holds at a time, some 30 MB; with more, the held ones are dropped and made again where they recur.
+_HELD = 131_072
 
 
 def default_path() -> str:
@@ -40,6 +40,19 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+class Fragments(dict):
+    """The ids of the fragments that a worker has met, as bytes of numbers."""
+
+    def __init__(self, encoded):
+        self.encoded = encoded
+
+    def __missing__(self, raw: bytes) -> bytes:
+        if len(self) >= _HELD:
+            self.clear()
+        found = self[raw] = self.encoded(raw)
+        return found
+
+
 class Codec:
     """A byte-level tokenizer file with its forced boundaries."""
 
@@ -92,30 +105,31 @@ class Codec:
             import tiktoken
             from public_tokenizers import PATTERN
 
-            return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        return lambda s: self.model.encode(s, add_special_tokens=False).ids
+            held = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            # ASCII letters, after a blank or none, are one word to the splitting before the merges, which is then left out.
+            return lambda raw: held._encode_single_piece(raw) if (raw[1:] if raw[:1] == b" " else raw).isalpha() else held.encode_ordinary(raw.decode())
+        return lambda raw: self.model.encode(raw.decode(), add_special_tokens=False).ids
 
-    def fragments(self, raw: bytes, least: int = 1) -> list[bytes]:
-        """UTF-8 bytes cut at forced boundaries, each fragment but the last of `least` bytes or more."""
+    def fragments(self, raw: bytes) -> list[bytes]:
+        """UTF-8 bytes cut at every forced boundary."""
         b = np.frombuffer(raw, np.uint8).astype(np.uint16)
-        marks = np.flatnonzero(self.cuts[(b[:-1] << 8) | b[1:]]) + 1
-        at, i = [0], 0
-        while (i := int(np.searchsorted(marks, at[-1] + least))) < len(marks):
-            at.append(int(marks[i]))
-        return [raw[i:j] for i, j in zip(at, [*at[1:], len(raw)])]
+        marks = (np.flatnonzero(self.cuts[(b[:-1] << 8) | b[1:]]) + 1).tolist()
+        return [raw[i:j] for i, j in zip([0, *marks], [*marks, len(raw)])]
 
-    def _ids(self, raw: bytes) -> bytes:
-        return array(self.width, self.ordinary(raw.decode())).tobytes()
-
-    def _plain(self, text: str) -> bytes:
-        return b"".join(map(self._ids, self.fragments(text.encode(), _LEAST)))
+    @cached_property
+    def held(self) -> Fragments:
+        return Fragments(lambda raw: array(self.width, self.ordinary(raw)).tobytes())
 
     def encode(self, text: str | None) -> np.ndarray:
         """Token ids; added tokens written out in the text count as those tokens."""
-        parts = self.marks.split(text or "") if self.marks else [text or ""]
-        found = [array(self.width, [self.added[x]]).tobytes() if i % 2 else self._plain(x) for i, x in enumerate(parts)]
+        of, parts = self.held.__getitem__, self.marks.split(text or "") if self.marks else [text or ""]
+        found = [array(self.width, [self.added[x]]).tobytes() if i % 2 else b"".join(map(of, self.fragments(x.encode()))) for i, x in enumerate(parts)]
         return np.frombuffer(b"".join(found), self.width)
 
+    def encode_all(self, texts) -> list[np.ndarray]:
+        """The ids of each text of an Arrow array."""
+        return [self.encode(t.as_py()) for t in texts]
+
     def decode(self, ids) -> str:
         """The text of ids, special tokens included; ids outside the vocabulary add nothing, as in the library."""
         return b"".join(map(self.pieces.get, ids, [b""] * len(ids))).decode("utf-8", "replace")
@@ -152,7 +166,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: st
     `ids_col` is replaced; all others stay as they are, whatever their names and types, as only the text is sent to Python.
     Rows are independent: repeated rows are encoded as often as they come, an empty table gives an empty one.
     """
-    run = per_text(_open(path or default_path(), lambda held, texts: _lists([held.encode(t.as_py()) for t in texts])), "array<int>")
+    run = per_text(_open(path or default_path(), lambda held, texts: _lists(held.encode_all(texts))), "array<int>")
     return df.withColumn(ids_col, run(F.col(text_col).cast("string")))
 
 
@@ -166,7 +180,7 @@ def recode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", decoded_
     """`encode` and then `decode` in one pass, so that a task has one worker and one codec."""
 
     def both(held: Codec, texts) -> pa.Array:
-        found = [held.encode(t.as_py()) for t in texts]
+        found = held.encode_all(texts)
         return pa.StructArray.from_arrays([_lists(found), _decoded(held, [x.tolist() for x in found])], names=["ids", "decoded"])
 
     run = per_text(_open(path or default_path(), both), "ids array<int>, decoded string")
@@ -183,8 +197,8 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def each(held: Codec, texts) -> pa.Array:
         found = []
-        for t in texts:
-            ids = held.encode(t.as_py()).tolist()
+        for x in held.encode_all(texts):
+            ids = x.tolist()
             text = held.decode(ids).encode()
             found.append((len(ids), sha256(",".join(map(str, ids)).encode()).hexdigest(), sha256(text).hexdigest()))
         n, a, d = zip(*found) if found else ((), (), ())

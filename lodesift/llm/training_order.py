@@ -73,8 +73,8 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
             out = []
             if b is not None:
                 id_type = b.column(0).type
-                for name, text in zip(b.column(0), b.column(1)):
-                    tokens = np.append(codec(tokenizer).encode(text.as_py()).astype("<u2"), np.array([end], "<u2"))
+                for name, coded in zip(b.column(0), codec(tokenizer).encode_all(b.column(1))):
+                    tokens = np.append(coded.astype("<u2"), np.array([end], "<u2"))
                     at = 0
                     while at < len(tokens):
                         take = tokens[at : at + length - n]
