@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: What opens a line, what is never shown, what has no end tag.
 BLOCKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "br", "tr", "section", "table", "article"}
@@ -100,15 +101,20 @@ def visible(html: str | None) -> tuple[str | None, str | None]:
     return None, None
 
 
-def article_text(df: DataFrame, column: str) -> DataFrame:
-    """`df` with visible_text and scope in place of its HTML."""
-    at, names = df.columns.index(column), [c for c in df.columns if c != column]
-    schema = StructType([df.schema[c] for c in names]).add("visible_text", StringType()).add("scope", StringType())
+def visible_text(html: Column) -> Column:
+    """(text, scope) of a page's HTML, in Arrow batches; no other column leaves the JVM."""
+
+    def run(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kinds = [pa.field("text", pa.string()), pa.field("scope", pa.string())]
+        for batch in pages:
+            found = [visible(x.as_py()) for x in batch]
+            yield pa.StructArray.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], fields=kinds)
 
-    def each(batches):
-        for b in batches:
-            found = [visible(x.as_py()) for x in b.column(at)]
-            texts, scopes = ([f[i] for f in found] for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(b.num_columns) if i != at], pa.array(texts, pa.string()), pa.array(scopes, pa.string())], names=[*names, "visible_text", "scope"])
+    run.__annotations__ = {"pages": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "text string, scope string")(html)
 
-    return df.mapInArrow(each, schema)
+
+def article_text(df: DataFrame, column: str) -> DataFrame:
+    """`df` with visible_text and scope in place of its HTML."""
+    found = df.withColumn("_page", visible_text(F.col(column)))
+    return found.select(*[c for c in df.columns if c != column], F.col("_page.text").alias("visible_text"), F.col("_page.scope").alias("scope"))

@@ -1,8 +1,7 @@
-"""Calls to a scorer as data: the running ledger, batches, validity of passes, reads of originals."""
+"""Calls to a scorer as data: the running ledger, validity of passes, reads of originals."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,30 +33,6 @@ def pass_validity(rows: DataFrame, by: str, ident: str, probability: str, n_expe
     return found.withColumn("valid", valid).drop("_bad")
 
 
-def batches(rows: DataFrame, by: str, order: str, size: str, base: int, most: int = 8, limit: int = 44_000) -> DataFrame:
-    """(by, order, size, batch): rows packed in order, each batch at most `most` rows and `limit` bytes with its `base`.
-
-    A row too large to share is a batch of its own. A fold over sorted Arrow batches that holds one state, as in a stream.
-    """
-
-    def fold(frames):
-        key, batch, n, total = None, -1, 0, base
-        for pdf in frames:
-            out = []
-            for k, b in zip(pdf[by], pdf[size]):
-                if k != key:
-                    key, batch, n, total = k, -1, 0, base
-                if batch < 0 or n >= most or total + b > limit:
-                    batch, n, total = batch + 1, 0, base
-                n, total = n + 1, total + b
-                out.append(batch)
-            yield pd.DataFrame({by: pdf[by], order: pdf[order], size: pdf[size], "batch": out})
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    rows = rows.select(by, order, size).repartition(by).sortWithinPartitions(by, order)
-    return rows.mapInPandas(fold, f"{by} {kinds[by]}, {order} {kinds[order]}, {size} {kinds[size]}, batch bigint")
-
-
 def reused(rows: DataFrame, call: str, key: tuple[str, ...], ident: str = "id") -> DataFrame:
     """`rows` with decision and scored_in: `reuse` where an earlier call holds the same key, `copy` where the row is not the
     first of its call and key, else `score`; and the call whose score counts.

@@ -27,6 +27,21 @@ def running(rows: DataFrame, name: str, value: Column, by: tuple[str, ...], orde
     return rows.withColumn(name, found).drop("_bucket", "_value", "_inside", "_before", *[f"_by{i}" for i in range(len(by) + 1)])
 
 
+def running_sums(rows: DataFrame, values: dict[str, Column], by: tuple[str, ...], order: tuple, bucket: Column) -> DataFrame:
+    """`rows` with several running sums at once, each up to and with its row: one pass over pieces, one sort and one join."""
+    rows = rows.withColumns({"_bucket": bucket} | {f"_v{i}": v for i, v in enumerate(values.values())})
+    at = range(len(values))
+    pieces = rows.groupBy(*by, "_bucket").agg(*[F.sum(f"_v{i}").alias(f"_s{i}") for i in at])
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [F.col(c).alias(f"_by{i}") for i, c in enumerate((*by, "_bucket"))]
+    pieces = pieces.select(*keys, *[F.coalesce(F.sum(f"_s{i}").over(earlier), F.lit(0)).alias(f"_b{i}") for i in at])
+    inside = Window.partitionBy(*by, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_i{i}": F.coalesce(F.sum(f"_v{i}").over(inside), F.lit(0)) for i in at})
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate((*by, "_bucket"))]
+    found = rows.join(pieces, same).withColumns({name: F.col(f"_b{i}") + F.col(f"_i{i}") for i, name in enumerate(values)})
+    return found.drop("_bucket", *[f"_by{i}" for i in range(len(by) + 1)], *[f"_{c}{i}" for c in "vbi" for i in at])
+
+
 def blocks(column: str, width: int = 65_536) -> Column:
     """Pieces of an order by a whole number."""
     return F.floor(F.col(column) / width)

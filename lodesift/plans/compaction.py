@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodesift.functions import columns as C
 from lodesift.functions import questions as Q
 from lodesift.operators import calls, compact
+from lodesift.operators.packing import packed
 from lodesift.operators.running import spans
 from lodesift.plans.documents import _DOCS, _SCORES, _docs, scores
 from lodesift.plans.ranking import _HOST
@@ -90,7 +91,7 @@ _OPENS = "r.n >= 4 OR r.total + e.bytes > 600"
 def call_batches(spark: SparkSession, folder: str) -> DataFrame:
     """The turns of each conversation packed into calls."""
     rows = table(spark, folder, "conversations").select("conv_id", "turn", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("bytes"))
-    return calls.batches(rows, "conv_id", "turn", "bytes", base=64, most=4, limit=600)
+    return packed(rows, "conv_id", "turn", "bytes", base=64, most=4, limit=600)
 
 
 @_r.add(f"WITH {_DOCS}, w AS (SELECT id, source_id, first_value(source_id) OVER k AS c, first_value(id) OVER k AS i FROM (SELECT * REPLACE (coalesce(source_id, '') AS source_id) FROM d) WINDOW k AS (PARTITION BY title, digest ORDER BY source_id, id)) SELECT id AS doc_id, CASE WHEN c < source_id THEN 'reuse' WHEN i < id THEN 'copy' ELSE 'score' END AS decision, c AS scored_in FROM w")

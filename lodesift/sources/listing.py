@@ -118,14 +118,15 @@ def listings(spark: SparkSession, path: str, ident: str = "id") -> DataFrame:
 def record(rows: DataFrame, path: str, listing: str, order: Column, ident: str, page_rows: int, matched: Column) -> None:
     """Writes `rows` as the replies that a paged listing gives: `page_rows` rows a page, in order, with the count it says it has.
 
-    Rows travel as structs and come out as JSON; a page is a group, which is small.
+    A page is a group, which is small, and one line of JSON.
     """
     place = F.row_number().over(Window.partitionBy(listing).orderBy(order)) - 1
-    inner = F.struct(*[F.col(c) for c in rows.columns])
-    placed = rows.select(F.col(listing).alias("listing"), place.alias("at"), inner.alias("r"), matched.cast("bigint").alias("matched"))
-    pages = placed.groupBy("listing", (F.floor(F.col("at") / page_rows) * page_rows).alias("offset")).agg(F.array_sort(F.collect_list(F.struct("at", "r"))).alias("x"), F.first("matched").alias("m"))
-    out = pages.select("listing", "offset", F.struct(F.col("m").alias("matched")).alias("meta"), F.col("x.r").alias("rows"))
-    out.repartition("listing", "offset").write.partitionBy("listing", "offset").option("ignoreNullFields", "false").json(path)
+    row = F.to_json(F.struct(*[F.col(c) for c in rows.columns]), {"ignoreNullFields": "false"})
+    placed = rows.select(F.col(listing).alias("listing"), place.alias("at"), row.alias("r"), matched.cast("bigint").alias("matched"))
+    offset = (F.col("at") - F.col("at") % page_rows).alias("offset")
+    pages = placed.groupBy("listing", offset).agg(F.array_sort(F.collect_list(F.struct("at", "r"))).alias("x"), F.first("matched").alias("m"))
+    reply = F.concat(F.lit('{"meta":'), F.to_json(F.struct(F.col("m").alias("matched")), {"ignoreNullFields": "false"}), F.lit(',"rows":['), F.array_join(F.col("x.r"), ","), F.lit("]}"))
+    pages.select("listing", "offset", reply.alias("value")).repartition("listing", "offset").write.partitionBy("listing", "offset").text(path)
 
 
 def followed(pages: DataFrame, max_pages: int) -> DataFrame:
@@ -133,11 +134,12 @@ def followed(pages: DataFrame, max_pages: int) -> DataFrame:
 
     A reader asks for the first page at offset 0 and goes on behind the rows it was given. It stops at `max_pages`, once it has as many
     rows as the listing says there are, after an empty page, and after a page without an id that is new. A row without an id counts as new.
-    A page is known by few numbers, so the rules are windows over pages and not rows; new ids come from one grouped minimum.
+    A page is known by few numbers, so the rules are windows over pages and not rows; what is new is settled in groups of one id.
     """
-    first = pages.where("id is not null").groupBy(F.col("listing").alias("_l"), F.col("id").alias("_i")).agg(F.min(F.struct("offset", "place")).alias("_f"))
-    rows = pages.join(first, F.col("listing").eqNullSafe(F.col("_l")) & (F.col("id") == F.col("_i")), "left").drop("_l", "_i")
-    rows = rows.withColumn("new", F.col("place").isNotNull() & F.coalesce(F.struct("offset", "place") == F.col("_f"), F.lit(True)))
+    # A row without an id is a group of its own, so that such rows are no task's sort.
+    name = F.coalesce(F.concat(F.lit("i"), "id"), F.concat_ws(" ", F.lit("n"), "offset", "place"))
+    met = F.row_number().over(Window.partitionBy("listing", name).orderBy("offset", "place"))
+    rows = pages.withColumn("new", F.col("place").isNotNull() & (met == 1))
     each = rows.groupBy("listing", "offset").agg(F.max("matched").alias("m"), F.max("n_rows").alias("k"), F.max("new").alias("new"))
     turn = Window.partitionBy("listing").orderBy("offset")
     each = each.withColumn("page", F.row_number().over(turn) - 1)

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lodesift.functions import questions as Q
+from lodesift.operators.packing import packed
 from lodesift.operators import calls, compact
 from lodesift.operators.running import blocks, running
 
@@ -52,7 +53,7 @@ def test_an_official_page_takes_the_last_place(spark):
 def test_batches_pack_in_order(spark):
     rnd = random.Random(5)
     rows = [(f"k{rnd.randrange(4)}", i, rnd.choice([10, 40, 90, 500])) for i in range(200)]
-    found = {r.i: r.batch for r in calls.batches(spark.createDataFrame(rows, "k string, i long, b long"), "k", "i", "b", base=5, most=3, limit=120).collect()}
+    found = {r.i: r.batch for r in packed(spark.createDataFrame(rows, "k string, i long, b long"), "k", "i", "b", base=5, most=3, limit=120).collect()}
     for key in {r[0] for r in rows}:
         packs = []
         for _, i, b in (r for r in rows if r[0] == key):
