@@ -109,10 +109,14 @@ class Listings(DataSource):
 
 
 def listings(spark: SparkSession, path: str, ident: str = "id") -> DataFrame:
-    """The rows of every recorded page below `path`; filters on `listing` and `offset` reach the reader."""
+    """The rows of every recorded page below `path`; filters on `listing` and `offset` reach the reader.
+
+    Spark keeps what a Python reader has planned with the loaded table and plans anew when filters are pushed, so there is always one:
+    offsets are never negative. In one query, the table should be filtered in one way; for another, load it again.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Listings)
-    return spark.read.format("recorded_listings").option("path", path).option("id", ident).load()
+    return spark.read.format("recorded_listings").option("path", path).option("id", ident).load().where("offset >= 0")
 
 
 def record(rows: DataFrame, path: str, listing: str, order: Column, ident: str, page_rows: int, matched: Column) -> None:
