@@ -81,20 +81,20 @@ def keyword_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _CUT = "CASE WHEN m >= n THEN n WHEN left(hex(array_slice(raw, m + 1, m + 1)), 1) NOT IN ('8','9','A','B') THEN m WHEN left(hex(array_slice(raw, m, m)), 1) NOT IN ('8','9','A','B') THEN m - 1 WHEN left(hex(array_slice(raw, m - 1, m - 1)), 1) NOT IN ('8','9','A','B') THEN m - 2 ELSE m - 3 END"
-_CHUNKS = (
+CHUNK_ROWS = (
     f"c(id, raw, n, chunk, s, e) AS (SELECT id, raw, n, 0, 0, {_CUT} FROM (SELECT doc_id AS id, encode(coalesce(text, '')) AS raw, strlen(coalesce(text, '')) AS n, least({SIZE}, strlen(coalesce(text, ''))) AS m FROM documents) WHERE n > 0 "
     f"UNION ALL SELECT id, raw, n, chunk + 1, e, {_CUT} FROM (SELECT id, raw, n, chunk, e, least(e + {SIZE}, n) AS m FROM c WHERE e < n))"
 )
 
 
-@_r.add(f"WITH RECURSIVE {_CHUNKS} SELECT id AS doc_id, CAST(chunk AS INT) AS chunk, CAST(s AS INT) AS s, CAST(e AS INT) AS e FROM c")
+@_r.add(f"WITH RECURSIVE {CHUNK_ROWS} SELECT id AS doc_id, CAST(chunk AS INT) AS chunk, CAST(s AS INT) AS s, CAST(e AS INT) AS e FROM c")
 def chunk_byte_ranges(spark: SparkSession, folder: str) -> DataFrame:
     """Byte ranges of each text."""
     return D.chunks(_docs(spark, folder), SIZE).select(F.col("id").alias("doc_id"), "chunk", "s", "e")
 
 
 _BY_CHUNK = (
-    f"{_CHUNKS}, a AS (SELECT question_id, len(w) AS n, unnest(w) AS word FROM (SELECT item_id AS question_id, " + _TOK.format("text") + " AS w FROM benchmark)), "
+    f"{CHUNK_ROWS}, a AS (SELECT question_id, len(w) AS n, unnest(w) AS word FROM (SELECT item_id AS question_id, " + _TOK.format("text") + " AS w FROM benchmark)), "
     "h AS (SELECT id, chunk, unnest(" + _TOK.format("decode(array_slice(raw, s + 1, e))") + ") AS word FROM c), "
     "v AS (SELECT question_id, id, chunk, CAST(count(*) AS DOUBLE) / a.n AS p FROM a JOIN h USING (word) GROUP BY question_id, id, chunk, a.n)"
 )

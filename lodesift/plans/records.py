@@ -155,7 +155,7 @@ def site_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 _TERMS = ("the-and wh re-was 42", ["the and", "the", "and", "re was", "was", "42"])
 _NORM = r"' ' || regexp_replace(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
-_SECTIONS = "s AS (SELECT doc_id, lang, source, split_part(coalesce(text, ''), chr(10), 1) AS title, " + _NORM.format("split_part(coalesce(text, ''), chr(10), 1) || ' ' || lang || '/' || doc_id || ' ' || coalesce(text, '')") + " AS h, left(text, 20) AS text FROM documents)"
+_SECTIONS = "s AS (SELECT doc_id, lang, source, split_part(coalesce(text, ''), chr(10), 1) AS title, " + _NORM.format("split_part(coalesce(text, ''), chr(10), 1) || ' ' || lang || '/' || doc_id || ' ' || coalesce(text, '')") + " AS h, text FROM documents)"
 _HOLDS = "(" + " OR ".join(f"contains(h, ' {t}')" for t in _TERMS[1]) + ")"
 
 
@@ -164,7 +164,7 @@ def _sections(spark: SparkSession, folder: str) -> DataFrame:
     title, path = C.title_of(F.col("text")), F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string"))
     # The terms are one constant for the query, so they are folded and not computed by row.
     holds = texts.mentions(texts.section_terms(F.lit(_TERMS[0])), title, path, F.col("text"))
-    return docs.select("doc_id", "lang", "source", title.alias("title"), holds.alias("holds"), F.left("text", F.lit(20)).alias("text"))
+    return docs.select("doc_id", "lang", "source", title.alias("title"), holds.alias("holds"), "text")
 
 
 @_r.add(f"WITH {_SECTIONS} SELECT doc_id, {_HOLDS} AS holds FROM s")
@@ -180,73 +180,6 @@ def section_pages(spark: SparkSession, folder: str) -> DataFrame:
     return P.grouped_pages(rows, "lang", "page", "doc_id", "title", "text", "holds", 12).withColumn("place", F.col("place").cast("bigint"))
 
 
-def _table_of(key: str, name: str, forms: list, made, expected: list, out: str):
-    """Registers a query that applies `made` to odd forms dealt over a table, and the SQL with what is expected of each."""
-
-    def query(spark: SparkSession, folder: str) -> DataFrame:
-        return table(spark, folder, out).select(key, cases(key, forms).alias("given")).select(key, made(F.col("given")).alias("found"))
-
-    query.__name__, query.__doc__ = name, f"What `{name}` makes of forms that rows of a listing may have."
-    _r.add(f"SELECT {key}, {cases_sql(key, expected)} AS found FROM {out}")(query)
-    return query
-
-
-docs_paths = _table_of(
-    "s_suppkey", "docs_paths", ["/docs/build/index", "docs/build/", "//a", "", "https://x.example/a", "a?b=1", "a#b", "a%2Fb", "index", None],
-    lambda p: records.docs_url(p, "d.example"),
-    ["https://d.example/docs/build", "https://d.example/docs/build", "https://d.example/a", None, None, None, None, None, "https://d.example/", None], "supplier",
-)
-canonical_pages = _table_of(
-    "s_suppkey", "canonical_pages", ["https://d.example/a", "https://D.example/a", "http://d.example/a", "https://u@d.example/a", "https://d.example:8443/a", "https://d.example/a%2Fb", "https://e.example/a", "no url", "https://d.example:443/", None],
-    lambda u: records.canonical_page(u, ("d.example",)), [True, True, False, False, False, False, False, False, True, False], "supplier",
-)
-normalized_urls = _table_of(
-    "s_suppkey", "normalized_urls", ["https://A.example/x?y#z", " https://a.example ", "http://a.example/", "https://u:p@a.example/", "https://a.example:444/", "https://10.0.0.1/", "https://[::1]/", "mailto:x", None],
-    records.normalized_url, ["https://a.example/x?y", "https://a.example/", None, None, None, None, None, None, None], "supplier",
-)
-index_notices = _table_of(
-    "s_suppkey", "index_notices", ["> Documentation Index\n> more\n\nText\nend", "> Another quote\n\nText", "Text", "> Documentation Index\n", None],
-    texts.without_notice, ["Text\nend", "> Another quote\n\nText", "Text", "> Documentation Index\n", None], "supplier",
-)
-fence_themes = _table_of("s_suppkey", "fence_themes", ["```js theme={x}\na theme={x}\n```", "plain", None], texts.without_themes, ["```js\na theme={x}\n```", "plain", None], "supplier")
-section_headings = _table_of("s_suppkey", "section_headings", ["## Using C#\ntext", "\n# Title ##\n", "#none", "text\n# late", "### ##", None], texts.heading, ["Using C#", "Title", None, None, None, None], "supplier")
-utc_seconds = _table_of("s_suppkey", "utc_seconds", ["2026-02-03T04:05:06Z", "2026-02-31T00:00:00Z", "2026-02-03 04:05:06", "2026-02-03T04:05:06+01:00", None], lambda t: replies.utc_seconds(t).cast("string"), ["1770091506", None, None, None, None], "supplier")
-retry_waits = _table_of(
-    "s_suppkey", "retry_waits", ["7", " 90 ", "9999", "Tue, 03 Feb 2026 04:05:06 GMT", "Tue, 03 Feb 2026 04:00:00 GMT", "soon", "-3", None],
-    lambda h: replies.retry_after(h, F.lit(1770091476)).cast("string"), ["7", "90", "600", "30", "0", None, None, None], "supplier",
-)
-failure_causes = _table_of(
-    "s_suppkey", "failure_causes", ["503|", "|operation timed out", "|dns error: no such host", "|certificate expired", "|connection refused", "|connection reset by peer", "|too many redirects", "|error decoding response body", "|tcp connect error", "|strange", "200|"],
-    lambda t: replies.failure_class(F.split(t, r"\|")[0].try_cast("int"), F.nullif(F.split(t, r"\|")[1], F.lit(""))),
-    ["http_503", "timeout", "dns", "tls", "refused", "reset", "redirect", "body", "connect", "invalid_response", None], "supplier",
-)
-reply_classes = _table_of(
-    "s_suppkey", "reply_classes", ['200|{"hits":[1]}', '200|{"hits":[]}', '404|{"error":"No results found"}', '404|{"error":"gone"}', "200|{broken", '200|{"n":1}', "500|"],
-    lambda t: replies.reply_class(F.split(t, r"\|")[0].try_cast("int"), F.split(t, r"\|")[1]), ["rows", "empty", "empty", "failed", "malformed", "malformed", "failed"], "supplier",
-)
-search_statuses = _table_of("s_suppkey", "search_statuses", ["200", "429", "401", "500", "204"], lambda t: replies.decoded_status(t.cast("int"), t == "200"), ["rows", "stop", "stop", "failed", "invalid"], "supplier")
-content_scopes = _table_of(
-    "s_suppkey", "content_scopes", ['{"row":{"synthetic":true},"content_scope":"x"}', '{"content_scope":"structured_record"}', '{"content_kind":"ai_summary"}', "{}", None],
-    records.content_scope, ["synthetic_record", "structured_record", "ai_summary", "unknown", "unknown"], "supplier",
-)
-same_host_moves = _table_of(
-    "s_suppkey", "same_host_moves", ["/b", "https://a.example/c?d", "http://a.example/c", "https://b.example/c", "//b.example/c", "https://u@a.example/"],
-    lambda t: records.same_host_move(F.lit("https://a.example/x"), t), ["https://a.example/b", "https://a.example/c?d", None, None, None, None], "supplier",
-)
-byte_prefixes = _table_of("s_suppkey", "byte_prefixes", ["abcdef", "abcdé", "a🙂b", "abc🙂", "", None], lambda t: texts.utf8_prefix(t, 5), ["abcde", "abcd", "a🙂", "abc", "", None], "supplier")
-url_date_kinds = _table_of("s_suppkey", "url_date_kinds", ["published", "observed", "event", "modified"], dates.url_date_kind, ["published", "observed", "modified", "modified"], "supplier")
-page_metadata_dates = _table_of(
-    "s_suppkey", "page_metadata_dates",
-    ['<time datetime="2025-03-04T10:00:00Z" itemprop="dateModified"></time>', '<meta content="2025-01-02" property="article:published_time"><script>{"dateModified": "2025-03-05T00:00"}</script>', '<meta name="datePublished" content="2024-05-06"><meta name="datePublished" content="2023-05-06">', "<p>2025-01-01</p>", None],
-    lambda t: F.concat_ws("|", F.coalesce(dates.page_dates(t)["modified"], F.lit("-")), F.coalesce(dates.page_dates(t)["published"], F.lit("-"))),
-    ["2025-03-04T10:00:00Z|-", "2025-03-05T00:00|2025-01-02", "-|2024-05-06", "-|-", "-|-"], "supplier",
-)
-text_label_dates = _table_of(
-    "s_suppkey", "text_label_dates", ["Intro. Last updated on June 7, 2025 by us", "Published: 2024-01-05. Last updated: 2025-01-01", "Date: 30/11/2023", "date: none, then much later and further on 2024-01-01 Published 2022-02-02", "2024-01-01", None],
-    lambda t: F.concat_ws(" ", dates.labelled(t)["kind"], dates.labelled(t)["days"].cast("string")), ["modified 20246", "published 19727", "published 19691", "published 19025", "", ""], "supplier",
-)
-
-
 @_r.add(
     "SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'modified' WHEN o_orderkey % 5 = 1 THEN 'published' WHEN o_orderkey % 5 = 2 THEN 'event' ELSE NULL END AS kind, "
     "CASE WHEN o_orderkey % 5 = 0 THEN date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) + 30 WHEN o_orderkey % 5 IN (1, 2) THEN date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) END AS days FROM orders"
@@ -393,13 +326,6 @@ def followed_moves(spark: SparkSession, folder: str) -> DataFrame:
     return P.moved(s.select("s_suppkey", url(F.col("s_suppkey")).alias("url")), moves).select("s_suppkey", F.col("at").alias("target"), F.col("moves").cast("bigint").alias("moves"))
 
 
-@_r.add("SELECT s_suppkey, s_suppkey % 4 = 1 AS production, s_suppkey % 4 = 2 AS spanish, s_suppkey % 4 = 3 AS replica FROM supplier")
-def index_flags(spark: SparkSession, folder: str) -> DataFrame:
-    """What the name of an index says of it."""
-    name = cases("s_suppkey", ["docs_site", "PROD_docs", "docs_es", "docs_price_desc"])
-    return table(spark, folder, "supplier").select("s_suppkey", records.index_flags(name).alias("f")).select("s_suppkey", "f.*")
-
-
 @_r.add("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 2 = 0 THEN event_id ELSE event_id % 50 END AS wait FROM events")
 def reset_waits(spark: SparkSession, folder: str) -> DataFrame:
     """Seconds until a limit starts anew, from times and from waits."""

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodesift.functions import dates
+from lodesift.operators import documents as D
 from lodesift.operators import scoring as M
+from lodesift.plans.documents import CHUNK_ROWS as _CHUNKS
+from lodesift.plans.documents import SIZE
 from lodesift.plans.registry import Registry
 from lodesift.sources.tables import table
 
@@ -64,17 +67,18 @@ def currentness_scores(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").select("o_orderkey", F.round(M.currentness(days, F.lit(10_592)), 9).alias("still_current"))
 
 
-_CLAIMS = f"(SELECT item_id AS claim_id, {_TOK.format('text')} AS w FROM benchmark WHERE item_id < 3)"
+_CLAIMS = f"(SELECT item_id AS claim_id, {_TOK.format('text')} AS w FROM benchmark)"
 
 
 @_r.add(
-    f"WITH a AS (SELECT claim_id, len(w) AS n, unnest(w) AS word FROM {_CLAIMS}), h AS (SELECT doc_id AS id, unnest({_TOK.format('text')}) AS word FROM documents), p AS (SELECT claim_id, id, count(*) / CAST(n AS DOUBLE) AS s, least(count(*) FILTER (word IN ('not', 'never', 'no')), 1) AS g FROM a JOIN h USING (word) GROUP BY claim_id, id, n) "
-    "SELECT claim_id, id, round(s, 9) AS supports, round(s * g, 9) AS contradicts, round(s * (1 - s), 9) AS qualifies, 0 AS chunk FROM p"
+    f"WITH RECURSIVE {_CHUNKS}, a AS (SELECT claim_id, len(w) AS n, unnest(w) AS word FROM {_CLAIMS}), h AS (SELECT id, chunk, unnest({_TOK.format('decode(array_slice(raw, s + 1, e))')}) AS word FROM c), p AS (SELECT claim_id, id, chunk, count(*) / CAST(n AS DOUBLE) AS s, least(count(*) FILTER (word IN ('not', 'never', 'no')), 1) AS g FROM a JOIN h USING (word) GROUP BY claim_id, id, chunk, n) "
+    "SELECT claim_id, id, round(max(s), 9) AS supports, round(max(s * g), 9) AS contradicts, round(max(s * (1 - s)), 9) AS qualifies, CAST(arg_max(chunk, (s, -chunk)) AS INT) AS chunk FROM p GROUP BY 1, 2"
 )
 def claim_judgments(spark: SparkSession, folder: str) -> DataFrame:
-    """What documents say on claims: support, contradiction, qualification, and the chunk that supports most."""
-    claims = table(spark, folder, "benchmark").where("item_id < 3").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
-    chunks = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("chunk"), "text")
+    """What documents say on claims: support, contradiction, qualification over all their chunks, and the chunk that supports most."""
+    claims = table(spark, folder, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    chunks = D.chunks(docs, SIZE).select("id", "chunk", F.col("piece").alias("text"))
     return M.claim_judgments(claims, chunks).select("claim_id", "id", *[F.round(c, 9).alias(c) for c in ("supports", "contradicts", "qualifies")], "chunk")
 
 
