@@ -7,6 +7,8 @@ thread of the message that they quote, and quotes are left out.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,5 +142,24 @@ def linked(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", rol
 
 
 def chat(rows: DataFrame, start: str = "<|im_start|>", end: str = "<|im_end|>") -> DataFrame:
-    """`rows` (from `linked`) with `formatted`: the message in chat markup; read in the order of `position`."""
-    return rows.withColumn("formatted", F.concat(F.lit(start), F.coalesce("role", F.lit("user")), F.lit("\n"), F.col("body"), F.lit(end + "\n")))
+    """`rows` (from `linked`) with `formatted`: the message in chat markup; read in the order of `position`.
+
+    A marker that a body or a role holds is written with a backslash before its last character, and so are markers that have such
+    backslashes already, one more: no message can end itself or begin another, and what was written can be read back.
+    """
+
+    def inert(text: Column) -> Column:
+        for mark in (start, end):
+            head, last = re.escape(mark[:-1]), re.escape(mark[-1])
+            text = F.regexp_replace(text, rf"({head}\\*)({last})", r"$1\\$2")
+        return text
+
+    role = F.regexp_replace(inert(F.coalesce("role", F.lit("user"))), r"\s+", " ")
+    return rows.withColumn("formatted", F.concat(F.lit(start), role, F.lit("\n"), inert(F.col("body")), F.lit(end + "\n")))
+
+
+def unmarked(text: Column, start: str = "<|im_start|>", end: str = "<|im_end|>") -> Column:
+    """A body as it was before `chat` wrote it."""
+    for mark in (end, start):
+        text = F.regexp_replace(text, rf"({re.escape(mark[:-1])}\\*)\\({re.escape(mark[-1])})", "$1$2")
+    return text
