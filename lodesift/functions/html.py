@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -17,6 +18,38 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 HIDDEN_CLASSES = {"sr-only", "visually-hidden", "table-of-contents", "theme-doc-toc-mobile"}
 SCOPES = ("article", "main", "body")
 MOST_OPEN, MOST_TAGS = 4_096, 250_000
+#: The named entities that are decoded; all others stay as they are written.
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…"}
+#: Stands for `&` while a page is parsed, so that the parser decodes nothing; no text has this noncharacter.
+_MARK = "\ufdd0"
+_ENTITY = re.compile(f"{_MARK}([^;{_MARK}]{{0,15}});")
+
+
+def _entity(found: re.Match) -> str:
+    name, whole = found[1], "&" + found[0][1:]
+    if len(name.encode()) > 15:
+        return whole
+    if name in ENTITIES:
+        return ENTITIES[name]
+    digits = re.fullmatch(r"#(?:[xX]([0-9A-Fa-f]+)|([0-9]+))", name)
+    code = int(digits[1], 16) if digits and digits[1] else int(digits[2]) if digits else -1
+    return chr(code) if 0 <= code < 0xD800 or 0xDFFF < code < 0x110000 else whole
+
+
+def decoded(text: str, mark: str = "&") -> str:
+    """A text with its entities decoded: nine names, and numbers, each of at most 15 bytes; zero-width spaces go."""
+    return _ENTITY.sub(_entity, text.replace(mark, _MARK)).replace(_MARK, "&").replace("\u200b", "")
+
+
+def decoded_text(text: Column) -> Column:
+    """`decoded` in Arrow batches."""
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            yield pa.array([None if x is None else decoded(x) for x in batch.to_pylist()], pa.string())
+
+    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "string")(text)
 
 
 class _TooLarge(Exception):
@@ -25,7 +58,7 @@ class _TooLarge(Exception):
 
 class _Page(HTMLParser):
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__(convert_charrefs=True)  # what it could convert is hidden from it
         self.open: list[tuple[str, bool]] = []
         self.hidden, self.tags, self.scopes = 0, 0, dict.fromkeys(SCOPES, 0)
         self.time: str | None = None  # the value of a time that has shown no text so far
@@ -90,12 +123,12 @@ def visible(html: str | None) -> tuple[str | None, str | None]:
     """Text and scope of a page, from its article, main part or body; nothing for pages past the limits."""
     page = _Page()
     try:
-        page.feed(html or "")
+        page.feed((html or "").replace("&", _MARK))
         page.close()
     except _TooLarge:
         return None, None
     for s in SCOPES:
-        lines = [x.strip() for x in "".join(page.found[s]).replace("​", "").split("\n")]
+        lines = [x.strip() for x in decoded("".join(page.found[s]), _MARK).split("\n")]
         if text := "\n".join(x for x in lines if x):
             return text, f"{s}_visible_text"
     return None, None

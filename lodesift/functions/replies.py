@@ -74,6 +74,20 @@ def annotations(body: Column) -> Column:
     return F.filter(F.array(*each), lambda x: x["message"].isNotNull())
 
 
+#: Fixed value: matches that a paged search can show at most.
+SHOWN = 1_000
+
+
+def count_notices(body: Column) -> Column:
+    """(stage, message) on the count that a search gives: that it is missing, above what its pages can show, or approximate."""
+    total = F.get_json_object(body, "$.nbHits").try_cast("bigint")
+    missing = total.isNull() | F.get_json_object(body, "$.nbPages").try_cast("bigint").isNull()
+    says_no = lambda path: F.coalesce(F.get_json_object(body, path) == "false", F.lit(False))
+    rough = says_no("$.exhaustiveNbHits") | says_no("$.exhaustive.nbHits")
+    each = [(missing, "search_notice", "count missing"), (F.coalesce(total > SHOWN, F.lit(False)), "limit", "more than can be shown"), (rough, "limit", "approximate count")]
+    return F.flatten(F.array(*[F.when(c, F.array(F.struct(F.lit(s).alias("stage"), F.lit(m).alias("message")))).otherwise(F.array().cast("array<struct<stage:string,message:string>>")) for c, s, m in each]))
+
+
 def failure_stage(stage: Column, after_stop: Column) -> Column:
     """The stage of a failure row: what was refused only because its client had stopped has a stage of its own."""
     return F.when(F.coalesce(after_stop, F.lit(False)), "not_assessed_after_stop").otherwise(stage)

@@ -25,12 +25,29 @@ def ledger(rows: DataFrame, by: str, order: tuple[str, ...], outcome: str, used:
     return found.withColumn("stopped", (F.col("accounted") > budget) | ((F.col(outcome) == "settled") & (F.col(used) > RESERVED)))
 
 
-def pass_validity(rows: DataFrame, by: str, ident: str, probability: str, n_expected: int) -> DataFrame:
-    """(by, n, n_distinct, valid): a pass is valid if it names every source once, each with a probability from 0 to 1."""
+def pass_validity(rows: DataFrame, by: str, ident: str, probability: str, registry: DataFrame) -> DataFrame:
+    """(by, n, n_distinct, valid): a pass is valid if it names every source of the `registry` (of column `ident`) once, no other,
+    and each with a probability from 0 to 1."""
+    known = registry.select(F.col(ident).alias("_known")).distinct()
+    total = known.agg(F.count("_known")).scalar()
     bad = F.count_if(~F.coalesce(F.col(probability).between(0, 1) & ~F.isnan(probability), F.lit(False)))
-    found = rows.groupBy(by).agg(F.count("*").alias("n"), F.count_distinct(ident).alias("n_distinct"), bad.alias("_bad"))
-    valid = (F.col("n") == n_expected) & (F.col("n_distinct") == n_expected) & (F.col("_bad") == 0)
-    return found.withColumn("valid", valid).drop("_bad")
+    found = rows.join(known, F.col(ident) == F.col("_known"), "left").groupBy(by).agg(F.count("*").alias("n"), F.count_distinct(ident).alias("n_distinct"), bad.alias("_bad"), F.count_distinct("_known").alias("_named"))
+    valid = (F.col("n") == F.col("n_distinct")) & (F.col("n") == F.col("_named")) & (F.col("_named") == total) & (F.col("_bad") == 0)
+    return found.withColumn("valid", valid).drop("_bad", "_named")
+
+
+def best_routes(passes: DataFrame, registry: DataFrame, by: str, lens: str, ident: str, probability: str, selected: float = 0.15, fetched: float = 0.4) -> DataFrame:
+    """(by, ident, route, lens, n_passes, selected, fetch_now): the best probability of each source over the valid passes of a question.
+
+    A pass is the rows of one lens of one question, and counts as a whole or not at all. Of equal probabilities the first lens by name is told.
+    A question without a valid pass has no routes.
+    """
+    key = F.struct(by, lens)
+    ok = pass_validity(passes.withColumn("_pass", key), "_pass", ident, probability, registry).where("valid").select("_pass")
+    held = passes.withColumn("_pass", key).join(ok, "_pass", "left_semi")
+    best = F.max_by(F.col(lens), F.struct(F.col(probability).alias("p"), F.transform(F.split(F.col(lens), ""), lambda c: -F.ascii(c)).alias("o")))
+    found = held.groupBy(by, ident).agg(F.max(probability).alias("route"), best.alias(lens), F.count("*").alias("n_passes"))
+    return found.withColumn("selected", F.col("route") >= selected).withColumn("fetch_now", F.col("route") >= fetched)
 
 
 def reused(rows: DataFrame, call: str, key: tuple[str, ...], ident: str = "id") -> DataFrame:

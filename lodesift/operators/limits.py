@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodesift.operators.running import running, spans
+from lodesift.operators.running import blocks, running, spans
 
 
 def window_limit(rows: DataFrame, by: str, at: str, ident: str, period: str, limit: int) -> DataFrame:
@@ -20,11 +20,27 @@ def window_limit(rows: DataFrame, by: str, at: str, ident: str, period: str, lim
     return rows.withColumn("allowed", F.col("used") <= limit)
 
 
-def gates(rows: DataFrame, by: str, at: str, ident: str, refused, seconds: int = 10) -> DataFrame:
-    """`rows` with `closed`: whether a refusal in the `seconds` before has closed the gate. Times are whole seconds apart."""
-    refusal = F.when(refused, F.unix_micros(F.col(at).cast("timestamp")))
-    rows = running(rows, "_until", refusal, (by,), (at, ident), spans(at), "max", own=False)
-    return rows.withColumn("closed", F.coalesce(F.unix_micros(F.col(at).cast("timestamp")) < F.col("_until") + seconds * 1_000_000, F.lit(False))).drop("_until")
+def rolled_windows(rows: DataFrame, by: str, at_ms: str, ident: str, reset_ms: str, period_ms: str, limit: str, bucket: Column | None = None) -> DataFrame:
+    """`rows` with epoch, window_reset_ms, used and allowed: requests counted in windows that roll by whole periods.
+
+    A key's first window ends at its `reset_ms`, epoch 0, whenever it has begun. A request at or after an end is in the window that as many
+    whole periods later ends after it. Each window counts from nothing; the first `limit` of it are allowed.
+    """
+    late = F.floor((F.col(at_ms) - F.col(reset_ms)) / F.col(period_ms)) + 1
+    epoch = F.when(F.col(at_ms) < F.col(reset_ms), F.lit(0)).otherwise(late).cast("bigint")
+    rows = rows.withColumn("epoch", epoch).withColumn("window_reset_ms", F.col(reset_ms) + F.col("epoch") * F.col(period_ms))
+    pieces = blocks(at_ms, 60_000) if bucket is None else bucket
+    found = running(rows, "used", F.lit(1).cast("bigint"), (by, "epoch"), (at_ms, ident), pieces)
+    return found.withColumn("allowed", F.col("used") <= F.col(limit))
+
+
+def gates(rows: DataFrame, by: str, at: str, ident: str, refused, seconds: int | Column = 10) -> DataFrame:
+    """`rows` with `closed`: whether a refusal before has closed the gate, each for its `seconds`; of several the latest end holds."""
+    wait = seconds if isinstance(seconds, Column) else F.lit(seconds)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    until = F.when(refused, micros + (wait * 1_000_000).cast("bigint"))
+    rows = running(rows, "_until", until, (by,), (at, ident), spans(at), "max", own=False)
+    return rows.withColumn("closed", F.coalesce(micros < F.col("_until"), F.lit(False))).drop("_until")
 
 
 def token_bucket(rows: DataFrame, by: str, at_ms: str, per_minute: int) -> DataFrame:

@@ -69,3 +69,12 @@ def line_offsets(rows: DataFrame, by: str, order: str, text: str) -> DataFrame:
     lines = F.size(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).cast("bigint")
     rows = rows.withColumn("n_lines", lines)
     return running(rows, "first_line", F.col("n_lines"), (by,), (order,), blocks(order), own=False).withColumn("first_line", F.col("first_line") + 1)
+
+
+def usage_report(rows: DataFrame, by: str, at: str, failed: str, size: str, host: str, first_day: str, end_day: str) -> DataFrame:
+    """(by, n_calls, n_days, n_failed, n_bytes, hosts) of the calls from a first day up to, and without, another."""
+    some = rows.where((F.col(at) >= F.lit(first_day).cast("timestamp")) & (F.col(at) < F.lit(end_day).cast("timestamp")))
+    return some.groupBy(by).agg(
+        F.count("*").alias("n_calls"), F.count_distinct(F.col(at).cast("date")).alias("n_days"), F.count_if(failed).alias("n_failed"),
+        F.sum(F.col(size).cast("bigint")).alias("n_bytes"), F.array_join(F.array_sort(F.collect_set(host)), " ").alias("hosts"),
+    )

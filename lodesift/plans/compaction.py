@@ -76,11 +76,31 @@ def ledger_running(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("event_id", "outcome", "delta", "accounted", "stopped")
 
 
-@_r.add("SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS n_distinct, count(*) = 4 AND count(DISTINCT l_linenumber) = 4 AND count(*) FILTER (NOT coalesce(l_discount BETWEEN 0 AND 1, false)) = 0 AS valid FROM lineitem GROUP BY 1")
+_REGISTRY = "SELECT r_regionkey AS l_linenumber FROM region WHERE r_regionkey > 0"
+
+
+@_r.add(f"SELECT l_orderkey, count(*) AS n, count(DISTINCT l_linenumber) AS n_distinct, list_sort(list(l_linenumber)) = (SELECT list_sort(list(l_linenumber)) FROM ({_REGISTRY})) AND count(*) FILTER (NOT coalesce(l_discount BETWEEN 0 AND 1, false)) = 0 AS valid FROM lineitem GROUP BY 1")
 def route_pass_validity(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether each order's lines, as a pass over four sources, are valid; the discount stands for a probability."""
+    """Whether each order's lines, as a pass, name the sources of a registry and no others; the discount stands for a probability."""
     rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").cast("double").alias("p"))
-    return calls.pass_validity(rows, "l_orderkey", "l_linenumber", "p", 4)
+    return calls.pass_validity(rows, "l_orderkey", "l_linenumber", "p", _registry(spark, folder))
+
+
+def _registry(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "region").where("r_regionkey > 0").select(F.col("r_regionkey").cast("int").alias("l_linenumber"))
+
+
+@_r.add(
+    f"WITH g AS ({_REGISTRY}), p AS (SELECT l_orderkey, l_linenumber, 'direct' AS lens, CAST(l_discount AS DOUBLE) * 5 AS p FROM lineitem WHERE l_linenumber < 5 AND l_orderkey % 3 > 0 UNION ALL SELECT l_orderkey, l_linenumber, 'complementary', CAST(l_tax AS DOUBLE) * 14 FROM lineitem WHERE l_linenumber < 5), "
+    "v AS (SELECT l_orderkey, lens FROM p GROUP BY 1, 2 HAVING list_sort(list(l_linenumber)) = (SELECT list_sort(list(l_linenumber)) FROM g) AND count(*) FILTER (NOT coalesce(p BETWEEN 0 AND 1, false)) = 0) "
+    "SELECT l_orderkey, l_linenumber, round(max(p), 9) AS route, arg_max(lens, (p, lens = 'complementary')) AS lens, count(*) AS n_passes, max(p) >= 0.15 AS selected, max(p) >= 0.4 AS fetch_now FROM p JOIN v USING (l_orderkey, lens) GROUP BY 1, 2"
+)
+def route_passes(spark: SparkSession, folder: str) -> DataFrame:
+    """The best route of each source over two routing passes of a question, of which one or both may be invalid."""
+    lines = table(spark, folder, "lineitem").where("l_linenumber < 5")
+    one = lambda rows, lens, c, by: rows.select("l_orderkey", "l_linenumber", F.lit(lens).alias("lens"), (F.col(c).cast("double") * by).alias("p"))
+    passes = one(lines.where("l_orderkey % 3 > 0"), "direct", "l_discount", 5).unionByName(one(lines, "complementary", "l_tax", 14))
+    return calls.best_routes(passes, _registry(spark, folder), "l_orderkey", "lens", "l_linenumber", "p").withColumn("route", F.round("route", 9))
 
 
 _TURNS = "WITH RECURSIVE e AS (SELECT conv_id, turn, strlen(coalesce(text, '')) AS bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)"

@@ -62,10 +62,56 @@ def request_window_stream(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "used", F.col("over").cast("bigint").alias("over"))
 
 
-@_r.add("SELECT event_id, coalesce(epoch_us(ts) < max(CASE WHEN value < 20 THEN epoch_us(ts) END) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 600000000, false) AS closed FROM events")
+_WAIT = "CASE WHEN event_id % 3 = 0 THEN 3600 ELSE 60 + event_id % 600 END"
+
+
+@_r.add(f"SELECT event_id, coalesce(epoch_us(ts) < max(CASE WHEN value < 20 THEN epoch_us(ts) + 1000000 * ({_WAIT}) END) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS closed FROM events")
 def gate_closure(spark: SparkSession, folder: str) -> DataFrame:
-    """Events in the ten minutes after a refusal of their type."""
-    return L.gates(_events(spark, folder), "event_type", "ts", "event_id", F.col("value") < 20, 600).select("event_id", "closed")
+    """Events while a refusal of their type holds the gate closed, each refusal for the wait that it asked for."""
+    return L.gates(_events(spark, folder), "event_type", "ts", "event_id", F.col("value") < 20, F.expr(_WAIT)).select("event_id", "closed")
+
+
+@_r.add(
+    "WITH f AS (SELECT event_type, min(epoch_us(ts) // 1000) + 5000000 AS first, 1800000 + 60000 * strlen(event_type) AS period FROM events GROUP BY 1), e AS (SELECT event_id, event_type, epoch_us(ts) // 1000 AS tm, first, period, CASE WHEN epoch_us(ts) // 1000 < first THEN 0 ELSE (epoch_us(ts) // 1000 - first) // period + 1 END AS epoch FROM events JOIN f USING (event_type)) "
+    "SELECT event_id, epoch, first + epoch * period AS window_reset_ms, row_number() OVER w AS used, row_number() OVER w <= 4 AS allowed FROM e WINDOW w AS (PARTITION BY event_type, epoch ORDER BY tm, event_id)"
+)
+def rolled_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Events counted in windows that roll by whole periods from the first one's end."""
+    rows = _events(spark, folder).select("event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    first = rows.groupBy("event_type").agg((F.min("at_ms") + 5_000_000).alias("reset_ms")).withColumn("period_ms", F.lit(1_800_000) + F.octet_length("event_type") * 60_000)
+    found = L.rolled_windows(rows.join(first, "event_type").withColumn("limit", F.lit(4)), "event_type", "at_ms", "event_id", "reset_ms", "period_ms", "limit")
+    return found.select("event_id", "epoch", "window_reset_ms", "used", "allowed")
+
+
+@_r.add("SELECT event_id, least(pow(2.0, event_id % 9 + 1), 90.0) AS seconds FROM events")
+def backoff_waits(spark: SparkSession, folder: str) -> DataFrame:
+    """Seconds before the next attempt, by the attempts made."""
+    return _events(spark, folder).select("event_id", C.backoff_seconds(F.col("event_id") % 9 + 1).alias("seconds"))
+
+
+@_r.add(
+    "SELECT user_id, count(*) AS n_calls, count(DISTINCT CAST(ts AS DATE)) AS n_days, count(*) FILTER (event_type = 'error') AS n_failed, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS n_bytes, array_to_string(list_sort(list(DISTINCT event_type)), ' ') AS hosts "
+    "FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts < TIMESTAMP '2024-01-20 00:00:00' GROUP BY 1"
+)
+def usage_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls, days, failures, bytes and hosts of each user in a window of days; types stand for hosts."""
+    from lodesift.operators.rollups import usage_report as report
+
+    rows = _events(spark, folder).select("user_id", "ts", "event_type", (F.col("event_type") == "error").alias("failed"), F.floor(F.col("value") * 100).alias("bytes"))
+    return report(rows, "user_id", "ts", "failed", "bytes", "event_type", "2024-01-05", "2024-01-20")
+
+
+@_r.add(
+    "SELECT event_id, stage, message FROM (SELECT event_id, user_id * 30 AS hits, event_id % 4 AS k FROM events), (VALUES ('search_notice', 'count missing', 0), ('limit', 'more than can be shown', 1), ('limit', 'approximate count', 2)) AS v(stage, message, j) "
+    "WHERE CASE j WHEN 0 THEN k IN (0, 1) WHEN 1 THEN k > 0 AND hits > 1000 ELSE event_id % 5 IN (0, 1) END"
+)
+def count_notices(spark: SparkSession, folder: str) -> DataFrame:
+    """What searches say of their counts: missing, above what can be shown, approximate."""
+    from lodesift.functions import replies
+
+    k, fifth = F.col("event_id") % 4, F.col("event_id") % 5
+    body = F.to_json(F.struct(F.when(k > 0, F.col("user_id") * 30).alias("nbHits"), F.when(k != 1, F.lit(3)).alias("nbPages"), F.when(fifth == 0, F.lit(False)).alias("exhaustiveNbHits"), F.struct((fifth != 1).alias("nbHits")).alias("exhaustive")))
+    return _events(spark, folder).select("event_id", F.explode(replies.count_notices(body)).alias("n")).select("event_id", "n.stage", "n.message")
 
 
 @_r.add("SELECT event_type, 'fetch_deadline' AS stage, count(*) AS n_late, min(event_id) AS first_late FROM events WHERE value > 100 GROUP BY 1")

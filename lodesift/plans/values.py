@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodesift.functions import dates, records, replies, texts
+from lodesift.functions import dates, html, records, replies, texts
 from lodesift.plans.registry import Registry
 from lodesift.sources.tables import table
 
@@ -91,6 +91,12 @@ _over(
     f"CASE WHEN strlen(x) <= {_MOST} THEN x WHEN NOT {_INSIDE.format(_RAW, _MOST + 1)} THEN decode(array_slice({_RAW}, 1, {_MOST})) WHEN NOT {_INSIDE.format(_RAW, _MOST)} THEN decode(array_slice({_RAW}, 1, {_MOST - 1})) WHEN NOT {_INSIDE.format(_RAW, _MOST - 1)} THEN decode(array_slice({_RAW}, 1, {_MOST - 2})) ELSE decode(array_slice({_RAW}, 1, {_MOST - 3})) END",
 )
 
+_over(
+    "documents", "doc_id", "decoded_entities", "Texts with entities decoded; names that are unknown or too long stay.",
+    "replace(replace(replace(replace(text, '&', '&amp;'), 'o', '&#111;'), 'i', '&#x69;'), ' ', '&nbsp;') || '&lt;&copy;&averyverylongname;&#xD800;&#1114112;&;& &&gt;'", html.decoded_text,
+    "replace(text, chr(8203), '') || '<&copy;&averyverylongname;&#xD800;&#1114112;&;& &>'",
+)
+
 # Replies
 
 _DAY = "substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 10)"

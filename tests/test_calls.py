@@ -72,7 +72,7 @@ def test_ledger_counts_what_calls_cost(spark):
 
 def test_passes_reuse_and_reads(spark):
     rows = spark.createDataFrame([("a", "x", 0.1), ("a", "y", 1.0), ("b", "x", 0.1), ("b", "x", 0.2), ("c", "x", float("nan")), ("c", "y", 0.5)], "k string, s string, p double")
-    assert {r.k: r.valid for r in calls.pass_validity(rows, "k", "s", "p", 2).collect()} == {"a": True, "b": False, "c": False}
+    assert {r.k: r.valid for r in calls.pass_validity(rows, "k", "s", "p", spark.createDataFrame([("x",), ("y",)], "s string")).collect()} == {"a": True, "b": False, "c": False}
     docs = spark.createDataFrame([(1, 1, "t", None), (2, 1, "t", None), (3, 2, "t", None), (4, 2, "t", "d")], "id long, call long, title string, digest string")
     assert [r.decision for r in calls.reused(docs, "call", ("title", "digest")).orderBy("id").collect()] == ["score", "copy", "reuse", "score"]
     pages = spark.createDataFrame([(1, "c", "u#a", 0.1), (2, "c", "u", 0.9), (3, "c", "v", 0.5), (4, "c", "", 1.0), (5, "c", "w", 0.2)], "id long, call string, url string, route double")
