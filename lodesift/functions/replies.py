@@ -49,6 +49,28 @@ def decoded_status(status: Column, envelope_ok: Column) -> Column:
     return F.when(status.isin(401, 402, 403, 429), "stop").when(~status.between(200, 299), "failed").when(~F.coalesce(envelope_ok, F.lit(False)), "invalid").otherwise("rows")
 
 
+#: Codes of a reply that end a source's run, like the statuses 401, 402, 403 and 429 do.
+STOP_CODES = ("unauthorized", "insufficient_scope", "payment_required", "rate_limited")
+
+
+def envelope(status: Column, body: Column) -> Column:
+    """(outcome, data) of a search reply in an envelope: `rows` with its data as JSON, `stop`, `failed`, or `notice` for a message in
+    place of rows.
+
+    A reply counts if its status and its own `success` say so. Where its format is blocks and there is one, the block's text is the data, if it
+    is JSON. Data with a `text`, a list as `content`, or none at all is a message.
+    """
+    ok = F.coalesce(status.between(200, 299) & (F.get_json_object(body, "$.success") == "true"), F.lit(False))
+    stop = status.isin(401, 402, 403, 429) | F.coalesce(F.get_json_object(body, "$.code").isin(*STOP_CODES), F.lit(False))
+    text = F.get_json_object(body, "$.data.content[0].text")
+    one = (F.get_json_object(body, "$.meta.format") == "blocks") & text.isNotNull() & F.get_json_object(body, "$.data.content[1]").isNull()
+    data = F.when(F.coalesce(one, F.lit(False)), F.when(F.try_parse_json(text).isNotNull(), text)).otherwise(F.get_json_object(body, "$.data"))
+    told = F.array_contains(F.json_object_keys(data), "text") | F.coalesce(F.get_json_object(data, "$.content").startswith("["), F.lit(False))
+    message = data.isNull() | (data == "null") | F.coalesce(told, F.lit(False))
+    outcome = F.when(~ok & stop, "stop").when(~ok, "failed").when(message, "notice").otherwise("rows")
+    return F.struct(outcome.alias("outcome"), F.when(outcome == "rows", data).alias("data"))
+
+
 def reply_class(status: Column, body: Column, path: str = "$.hits", none: str = "no results") -> Column:
     """`rows`, `empty` (also a 404 that says so), `malformed` or `failed`."""
     missing = F.get_json_object(body, path).isNull()

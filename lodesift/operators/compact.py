@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodesift.functions.columns import RECENCY_KINDS
 from lodesift.operators.ranking import top
 
 
@@ -58,3 +59,21 @@ def currentness_targets(rows: DataFrame, key: tuple[str, ...], most: int = 80, b
     best = top(best, most, F.desc("_b.top2"), "_b.id", by=by).drop("_b")
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (by, *key)]
     return rows.join(best.select("place", *[F.col(c).alias(f"_{c}") for c in (by, *key)]), same).drop(*[f"_{c}" for c in (by, *key)])
+
+
+def rows_shown(shown: DataFrame, documents: DataFrame, ident: str = "id") -> DataFrame:
+    """What is shown of each row of the compact list: the list's own columns and the document's, dates only of kinds that drive recency.
+
+    `shown` are of `compact`; `documents` have (id, title, source_id, status, probability, excerpt, text_bytes, content_scope, date_kind, date,
+    still_current). A shown row without a document keeps its place, with nulls.
+    """
+    recent = F.col("date_kind").isin(*RECENCY_KINDS)
+    held = documents.withColumn("date", F.when(recent, F.col("date"))).withColumn("date_kind", F.when(recent, F.col("date_kind")))
+    return shown.join(held, ident, "left").withColumn("same_url_others", F.when(F.col("url") == "", 0).otherwise(F.col("n") - 1).cast("bigint")).drop("n").withColumnRenamed("tier", "authority_tier")
+
+
+def with_ranks(documents: DataFrame, ranked: DataFrame, by: tuple[str, ...], place: str = "place") -> DataFrame:
+    """Every document of a report with its place in the ranking, null for those that aren't ranked."""
+    keys = [F.col(c).alias(f"_{c}") for c in by]
+    found = documents.join(ranked.select(*keys, F.col(place)), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left")
+    return found.drop(*[f"_{c}" for c in by])

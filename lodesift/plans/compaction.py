@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodesift.functions import columns as C
 from lodesift.functions import questions as Q
-from lodesift.operators import calls, compact
+from lodesift.operators import calls, compact, ranking
 from lodesift.operators.packing import packed
 from lodesift.operators.running import spans
 from lodesift.plans.documents import _DOCS, _SCORES, _docs, scores
@@ -61,6 +61,46 @@ def currentness_targets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("question_id", F.col("id").alias("doc_id"), F.col("place").cast("bigint").alias("place"))
 
 
+_STATUSES = "CASE WHEN p >= 0.4 THEN 'selected' WHEN p >= 0.15 THEN 'uncertain' ELSE 'rejected' END"
+_KINDS = "CASE {0} % 4 WHEN 0 THEN 'published' WHEN 1 THEN 'modified' WHEN 2 THEN 'event' END"
+
+
+@_r.add(
+    f"WITH {_LIST} SELECT question_id, CASE WHEN turn > 10 THEN 10 ELSE turn END AS place, id AS doc_id, title, url, source_id, {_STATUSES} AS status, round(p, 9) AS probability, left(text, 80) AS excerpt, CAST(strlen(text) AS BIGINT) AS text_bytes, "
+    f"CASE WHEN id % 4 < 2 THEN {_KINDS.format('id')} END AS date_kind, CASE WHEN id % 4 < 2 THEN id % 1000 END AS date, tier AS authority_tier, CASE WHEN url = '' THEN 0 ELSE n - 1 END AS same_url_others FROM u JOIN (SELECT s.question_id, s.id, s.p, d.title, d.source_id, d.text FROM s JOIN d ON s.id = d.id) USING (question_id, id) WHERE CASE WHEN f > 10 THEN turn < 10 OR turn = f ELSE turn <= 10 END OR (f IS NULL AND turn <= 10)"
+)
+def compact_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """What is shown of each row of the compact list."""
+    shown = compact.compact(_selected(spark, folder), 10)
+    docs = _docs(spark, folder).select("id", "title", "source_id", F.left("text", F.lit(80)).alias("excerpt"), F.octet_length("text").cast("bigint").alias("text_bytes"))
+    held = scores(spark, folder).join(docs, "id").withColumn("status", C.status(F.col("usable_evidence"))).withColumn("date_kind", F.expr(_KINDS.format("id"))).withColumn("date", F.col("id") % 1000)
+    held = held.withColumn("key", F.struct("question_id", "id")).drop("question_id", "id")
+    found = compact.rows_shown(shown.withColumn("key", F.struct("question_id", "id")), held, "key")
+    return found.select("question_id", F.col("place").cast("bigint").alias("place"), F.col("id").alias("doc_id"), "title", "url", "source_id", "status", F.round("usable_evidence", 9).alias("probability"), "excerpt", "text_bytes", "date_kind", "date", "authority_tier", "same_url_others")
+
+
+@_r.add("SELECT p_partkey, p_brand, CASE WHEN p_size % 3 > 0 THEN row_number() OVER (PARTITION BY p_brand, p_size % 3 > 0 ORDER BY p_retailprice DESC, p_partkey) END AS place FROM part")
+def ranked_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document of a report with its place, where it was ranked."""
+    part = table(spark, folder, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
+    ranked = ranking.ordered(part.where("p_size % 3 > 0"), (F.desc("p_retailprice"), "p_partkey"), -F.floor(F.col("p_retailprice") / 100), "p_brand")
+    return compact.with_ranks(part, ranked, ("p_brand", "p_partkey")).select("p_partkey", "p_brand", "place")
+
+
+@_r.add("SELECT s_suppkey, 'orders' AS family, CAST(o_orderkey AS VARCHAR) AS id FROM supplier JOIN orders ON o_custkey = s_suppkey WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'lines', l_orderkey || '/' || l_linenumber FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_suppkey % 2 = 1 AND l_linenumber = 1")
+def fetched_families(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of sources of two families, each read by its family's reader."""
+    from lodesift.sources.tables import dispatched
+
+    sources = table(spark, folder, "supplier").select("s_suppkey", F.expr("CASE WHEN s_suppkey % 2 = 0 THEN 'orders' ELSE 'lines' END").alias("family"))
+    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem").where("l_linenumber = 1")
+    readers = {
+        "orders": lambda s: s.join(orders, F.col("o_custkey") == F.col("s_suppkey")).select("s_suppkey", F.col("o_orderkey").cast("string").alias("id")),
+        "lines": lambda s: s.join(lines, F.col("l_suppkey") == F.col("s_suppkey")).select("s_suppkey", F.concat_ws("/", "l_orderkey", "l_linenumber").alias("id")),
+    }
+    return dispatched(sources, readers)
+
+
 _OUTCOME = "CASE WHEN coalesce(value, 0) < 20 THEN 'released' WHEN value > 70 THEN 'retained' ELSE 'settled' END"
 _BUDGET = 50_000_000
 

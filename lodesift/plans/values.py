@@ -127,6 +127,17 @@ _over(
     lambda t: replies.reply_class(F.split(t, r"\|")[0].cast("int"), F.split(t, r"\|")[1]),
     "(WITH r AS (SELECT split_part(x, '|', 1) AS s, CASE WHEN json_valid(split_part(x, '|', 2)) THEN split_part(x, '|', 2) END AS b) SELECT CASE WHEN s = '404' AND contains(lower(coalesce(json_extract_string(b, '$.error'), '')), 'no results') THEN 'empty' WHEN s <> '200' THEN 'failed' WHEN b IS NULL OR json_extract(b, '$.hits') IS NULL THEN 'malformed' WHEN json_array_length(b, '$.hits') = 0 THEN 'empty' ELSE 'rows' END FROM r)",
 )
+_CODES = "CASE event_id % 5 WHEN 0 THEN 'rate_limited' WHEN 1 THEN 'payment_required' ELSE event_type END"
+_DATA = "CASE event_id % 7 WHEN 0 THEN '{\"content\":[{\"text\":\"{' || chr(92) || '\"user' || chr(92) || '\":' || user_id || '}\"}]}' WHEN 1 THEN '{\"content\":[{\"text\":\"' || event_type || '\"}]}' WHEN 2 THEN '{\"text\":\"' || event_type || '\"}' WHEN 3 THEN 'null' WHEN 4 THEN '{\"content\":[{\"text\":\"{}\"},{\"text\":\"{}\"}]}' ELSE '{\"rows\":[' || event_id || ']}' END"
+_STATUS = "CASE WHEN event_id % 11 = 0 THEN 429 WHEN event_id % 11 = 1 THEN 500 ELSE 200 END"
+_over(
+    "events", "event_id", "search_envelopes", "What search replies in envelopes hold: rows, a message, a failure, or a stop.",
+    "'{\"success\":' || CASE WHEN event_id % 3 = 0 THEN 'false' ELSE 'true' END || ',\"code\":\"' || " + _CODES + " || '\",\"meta\":{\"format\":\"' || CASE WHEN event_id % 2 = 0 THEN 'blocks' ELSE 'plain' END || '\"},\"data\":' || " + _DATA + " || '}'",
+    lambda b: F.concat_ws(" ", replies.envelope(F.expr(_STATUS), b)["outcome"], replies.envelope(F.expr(_STATUS), b)["data"]),
+    f"(WITH r AS (SELECT {_STATUS} = 200 AND json_extract_string(x, '$.success') = 'true' AS ok, {_STATUS} = 429 OR json_extract_string(x, '$.code') IN ('rate_limited', 'payment_required') AS stop, json_extract_string(x, '$.meta.format') = 'blocks' AND coalesce(json_array_length(x, '$.data.content'), 0) = 1 AS one), "
+    "d AS (SELECT *, CASE WHEN one THEN CASE WHEN json_valid(json_extract_string(x, '$.data.content[0].text')) THEN json_extract_string(x, '$.data.content[0].text') END ELSE CAST(json_extract(x, '$.data') AS VARCHAR) END AS data FROM r) "
+    "SELECT CASE WHEN NOT ok AND stop THEN 'stop' WHEN NOT ok THEN 'failed' WHEN data IS NULL OR data = 'null' OR json_exists(data, '$.text') OR json_type(data, '$.content') = 'ARRAY' THEN 'notice' ELSE 'rows ' || data END FROM d)",
+)
 _over(
     "events", "event_id", "search_statuses", "What statuses of search replies mean for the source's run.", "CAST(196 + event_id % 310 AS STRING)", lambda t: replies.decoded_status(t.cast("int"), F.col("user_id") % 3 > 0),
     "CASE WHEN x IN ('401', '402', '403', '429') THEN 'stop' WHEN NOT starts_with(x, '2') THEN 'failed' WHEN user_id % 3 = 0 THEN 'invalid' ELSE 'rows' END",
