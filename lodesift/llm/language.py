@@ -18,6 +18,9 @@ from lodesift.llm.common import cut, hinted, per_text, slices
 GRAMS = 1 << 16
 #: Distinct texts of each declared language from which its trigram model is fitted, at most: a documented bound.
 SAMPLE_ROWS = 1_000
+#: A declared value is a language if at least one in so many distinct declared texts bears it, so that there are no more languages than
+#: that at any size; rarer ones are noise of the column unless they are named.
+RAREST = 1_000
 #: Trigrams after which more text adds no more certainty; neighbouring trigrams depend on each other.
 CERTAIN = 200
 #: What a text is called that no language explains.
@@ -41,8 +44,8 @@ def _texts(column):
 def fit(df: DataFrame, text_col: str = "text", declared_col: str = "lang", languages: tuple | None = None, sample_rows: int = SAMPLE_ROWS, alpha: float = 0.1) -> tuple[tuple[str, ...], np.ndarray]:
     """Languages and their log probabilities of trigram buckets, shape (GRAMS, languages).
 
-    Every language that any row declares (or every one of `languages`, if they are given) has a model, fitted on the
-    `sample_rows` of its texts with the lowest hash, or on all if it has fewer. Executors count trigrams, so that only sums
+    Every language that one in `RAREST` of the declared texts bears (or every one of `languages`, if they are given) has a model,
+    fitted on the `sample_rows` of its texts with the lowest hash, or on all if it has fewer. Executors count trigrams, so that only sums
     of a fixed size for each language reach the driver.
     """
     rows = df.select(F.lower(F.trim(F.col(declared_col).cast("string"))).alias("l"), F.col(text_col).cast("string").alias("t"))
@@ -53,6 +56,9 @@ def fit(df: DataFrame, text_col: str = "text", declared_col: str = "lang", langu
     rows = rows.select("l", "t", F.xxhash64("t", "l").alias("h"))
     each = cut(rows.select("l", "h").distinct())
     counts = cut(each.groupBy("l").agg(F.count("*").alias("n")))
+    if languages is None:
+        every = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        counts = counts.where(F.col("n") * RAREST >= every)
     if counts.isEmpty():
         return (), np.zeros((GRAMS, 0), np.float32)
     # A bound on hashes first leaves some 1.5 times the sample, so that no language is sorted whole.
@@ -114,6 +120,50 @@ def _address(address: Column) -> list[Column]:
     return [host.alias("host"), domain.alias("domain"), F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise("").alias("suffix")]
 
 
+def _grouped(votes: DataFrame, key: str) -> DataFrame:
+    return votes.groupBy(key, "vote").agg(F.sum("c").alias("c"))
+
+
+def _spread(n: int) -> Column:
+    """The counts `c` of a group's votes as an array by language."""
+    held = F.map_from_entries(F.collect_list(F.struct("vote", "c")))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at(held, i), F.lit(0)))
+
+
+def _bind(value: Column, use) -> Column:
+    """`use` applied to `value`, which is evaluated once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _evidence(n: int, shares: Column, names: Column, strength: float, trust: float, unknown: float) -> Column:
+    """The logarithm of each language's evidence for a row with lik, vote, nh, nd, ns, suffix and declared.
+
+    Counts leave the row's own vote out. A host's share of a language leans on its domain's, as far as `strength` rows go, and that on the share in
+    all rows.
+    """
+    k, zero = strength, F.array_repeat(F.lit(0).cast("bigint"), n)
+    own = lambda c: F.transform(F.coalesce(F.col(c), zero), lambda x, i: F.greatest(x - F.when(i == F.col("vote"), 1).otherwise(0), F.lit(0)).cast("double"))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    with_suffix = (F.col("suffix") != "") & F.col("ns").isNotNull()
+
+    def summed(c: Column) -> Column:
+        return F.struct(*[c[x].alias(x) for x in ("h", "d", "s")], *[total(c[x]).alias(f"t{x}") for x in ("h", "d", "s")])
+
+    def each(c: Column) -> Column:
+        def one(base: Column, i: Column) -> Column:
+            domain = (F.get(c["d"], i) + k * base) / (c["td"] + k)
+            prior = (F.get(c["h"], i) + k * domain) / (c["th"] + k)
+            # P(suffix | language) against P(suffix): what the suffix says beyond the share of the language.
+            suffix = (F.get(c["s"], i) + k * base) / (c["ts"] + k) / base
+            said = F.when(F.col("declared") == F.get(names, i), trust).when(F.array_contains(names, F.col("declared")), (1 - trust) / max(1, n - 1)).otherwise(1.0)
+            # The domain's rows lie in the suffix too, so the prior takes half of what the suffix says.
+            return F.get(F.col("lik"), i) + F.log(said) + F.log(prior * (1 - unknown)) + F.when(with_suffix, 0.5 * F.log(suffix)).otherwise(0.0)
+
+        return F.transform(shares, one)
+
+    return _bind(F.struct(own("nh").alias("h"), own("nd").alias("d"), own("ns").alias("s")), lambda c: _bind(summed(c), each))
+
+
 def identified(
     df: DataFrame,
     model,
@@ -146,33 +196,20 @@ def identified(
     evidence = [F.col(text_col).cast("string").alias("text"), *_address(address), declared.alias("declared")]
     votes = df.select(*evidence).select("host", "domain", "suffix", said_by("text").alias("lik"))
     votes = votes.select("host", "domain", "suffix", _argmax(F.col("lik")).alias("vote")).where(F.col("vote") < n)
-    tally = lambda: F.array(*[F.count(F.when(F.col("vote") == i, 1)) for i in range(n)])
-    add = lambda c: F.array(*[F.sum(F.col(c)[i]) for i in range(n)])
-    hosts = cut(votes.groupBy("host", "domain", "suffix").agg(tally().alias("nh")))
-    domains = hosts.groupBy("domain").agg(add("nh").alias("nd"))
-    suffixes = hosts.groupBy("suffix").agg(add("nh").alias("ns"))
-    every = hosts.agg(*[F.coalesce(F.sum(F.col("nh")[i]), F.lit(0)).alias(f"n{i}") for i in range(n)]).first()
+    votes = cut(votes.groupBy("host", "domain", "suffix", "vote").agg(F.count("*").alias("c")))
+    hosts = votes.groupBy("host", "domain", "suffix").agg(_spread(n).alias("nh"))
+    domains, suffixes = (_grouped(votes, key).groupBy(key).agg(_spread(n).alias(name)) for key, name in (("domain", "nd"), ("suffix", "ns")))
+    sums = dict(votes.groupBy("vote").agg(F.sum("c")).collect())  # one number a language
     known = cut(hosts.join(domains, "domain").join(suffixes, "suffix").select("host", "nh", "nd", "ns"))
 
     scored = df.select(carried, *evidence).select("row", "host", "suffix", "declared", said_by("text").alias("lik"))
     scored = scored.withColumn("vote", _argmax(F.col("lik"))).join(hinted(known), "host", "left")
-    mine = lambda i: F.when(F.col("vote") == i, 1).otherwise(0)
-    count = lambda c, i: F.greatest(F.coalesce(F.col(c)[i], F.lit(0)) - mine(i), F.lit(0)).cast("double")
-    total = lambda c: sum((count(c, i) for i in range(1, n)), count(c, 0))
-    logits, whole, k = [], float(sum(every)), strength
-    with_suffix = (F.col("suffix") != "") & F.col("ns").isNotNull()
-    for i in range(n):
-        base = (every[i] + 1.0) / (whole + n)
-        domain = (count("nd", i) + k * F.lit(base)) / (total("nd") + k)
-        prior = (count("nh", i) + k * domain) / (total("nh") + k)
-        # P(suffix | language) against P(suffix): what the suffix says beyond the share of the language.
-        suffix = (count("ns", i) + k * F.lit(base)) / (total("ns") + k) / F.lit(base)
-        # The domain's rows lie in the suffix too, so the prior takes half of what the suffix says.
-        said = F.when(F.col("declared") == names[i], trust).when(F.col("declared").isin(*names), (1 - trust) / max(1, n - 1)).otherwise(1.0)
-        logits.append(F.col("lik")[i] + F.log(said) + F.log(prior * (1 - unknown)) + F.when(with_suffix, 0.5 * F.log(suffix)).otherwise(0.0))
+    whole = float(sum(sums.values()))
+    shares = F.array(*[F.lit((sums.get(i, 0) + 1.0) / (whole + n)) for i in range(n)])
+    logits = _evidence(n, shares, F.array(*[F.lit(x) for x in names]), strength, trust, unknown)
     # Where no language explains the text, the declared one says nothing: 1 / n is the mean over the languages.
     nothing = F.col("lik")[n] + F.log(F.lit(unknown)) + F.when(F.col("declared").isin(*names), F.log(F.lit(1.0 / n))).otherwise(0.0)
-    scored = scored.select("row", "vote", F.array(*logits, nothing).alias("logits")).withColumn("best", _argmax(F.col("logits")))
+    scored = scored.select("row", "vote", F.concat(logits, F.array(nothing)).alias("logits")).withColumn("best", _argmax(F.col("logits")))
     top = F.array_max("logits")
     share = 1.0 / F.aggregate(F.transform("logits", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
     label = lambda c: F.coalesce(F.get(F.array(*[F.lit(x) for x in (*names, UNKNOWN)]), F.col(c)), F.lit(UNKNOWN))
