@@ -6,12 +6,16 @@ copies hold. Its guarantee ends at four bits of 64, though, and two sets at 0.8
 number of shared bytes is certain any more. So the second search adds what the first can't promise: prefixes (Chaudhuri
 et al., 2006; Xiao et al., 2008). With each set in one common order, two sets at 0.8 or more share a shingle among the first
 fifth of each, so no pair is missed. Rare shingles come first in the order; how rare is estimated on a sample, which
-decides only the cost, as any common order gives the same pairs. Every candidate of either search is verified on whole
-sets, only verified pairs link, and what the first search has linked makes no candidates in the second.
+decides only the cost, as any common order gives the same pairs. Each set has a bitmap, the parities of its shingles by hash:
+two bitmaps differ in no more bits than the sets in shingles, so that a pair whose bitmaps differ too much is none (Sandes et al.,
+2017). Every candidate that this leaves is verified on whole sets, only verified pairs link, and what the first search
+has linked makes no candidates in the second.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,8 +30,8 @@ from lodesift.llm.simhash import fingerprint, links, shingle_hashes
 WIDTH = 5
 #: Sets whose shingles are counted for the common order, and the counts that are kept: bounds on cost, not on results.
 ORDER_ROWS, ORDER_COUNTS = 5_000, 1 << 17
-#: Rows of a posting up to which all of its pairs are candidates at once.
-_NEAR = 8
+#: Rows of a posting up to which all of its pairs are candidates at once, and from which it is compared in pairs of blocks.
+_NEAR, _SPLIT = 8, 4_096
 _BLOCK = 1 << 15
 
 
@@ -46,19 +50,46 @@ def _class(hashes: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(hashes.tobytes()), np.uint64).view(np.int64))
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """Parities of a set's shingles in the smallest power of two of places that is twice their number, at least 64."""
+    width = max(64, 1 << (2 * len(hashes) - 1).bit_length()) if len(hashes) else 64
+    at = (hashes & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=width) & 1, bitorder="little").tobytes()
+
+
+def folded(words: np.ndarray) -> np.ndarray:
+    """Bitmaps, a row of 64-bit words each, at half of their width."""
+    half = words.shape[1] // 2
+    return words[:, :half] ^ words[:, half:]
+
+
+def _words(bits: bytes) -> np.ndarray:
+    return np.frombuffer(bits, np.uint64)[None]
+
+
+def alike(x: bytes, y: bytes, nx: int, ny: int) -> bool:
+    """Whether sets of these bitmaps and sizes can be at 0.8: they differ in a ninth of their sizes' sum at most."""
+    a, b = sorted((_words(x), _words(y)), key=lambda w: w.shape[1])
+    while b.shape[1] > a.shape[1]:
+        b = folded(b)
+    return 9 * int(np.bitwise_count(a ^ b).sum()) <= nx + ny
+
+
 def classes_of(rows: DataFrame) -> DataFrame:
-    """(key, cls, fp) of (key, text): the set of shingles of each row, by name, and its fingerprint; null as an empty text."""
+    """(key, cls, fp, bits, n) of (key, text): the set of shingles of each row, by name, its fingerprint, bitmap and size; null as an empty text."""
 
     def each(batches):
         for b in slices(batches):
             found = []
             for t in b.column(1):
                 h = shingle_hashes(t.as_py(), WIDTH, True)
-                found.append((_class(h), fingerprint(h)))
-            columns = np.array(found, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, columns)], names=["key", "cls", "fp"])
+                found.append((_class(h), fingerprint(h), bitmap(h), len(h)))
+            columns = list(zip(*found)) if found else [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32())
+            fp = np.array(columns[1], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(columns[0], kinds[0]), pa.array(fp), *(pa.array(columns[k], kinds[k]) for k in (2, 3))], names=["key", "cls", "fp", "bits", "n"])
 
-    return rows.mapInArrow(each, f"key {rows.schema['key'].dataType.simpleString()}, cls long, fp long")
+    return rows.mapInArrow(each, f"key {rows.schema['key'].dataType.simpleString()}, cls long, fp long, bits binary, n int")
 
 
 def close(classes: DataFrame) -> DataFrame:
@@ -184,30 +215,69 @@ def _first(batches):
 
 
 def _rest(batches):
-    """(0, cls, cls) for all candidates of a posting between sets that nothing links so far."""
-    for (_, cls, pos, n, root), starts in _groups(batches):
+    """(0, cls, cls) for all candidates of a posting, or of two blocks of it, between sets that nothing links so far."""
+    for (token, left, right, block, cls, pos, n, root, bits), _ in _groups(batches):
+        # One posting can be several groups: pairs of blocks.
+        order = np.lexsort((n, right, left, token))
+        key = np.stack([token, left, right], 1)[order]
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(cls)]):
-            if (root[s:e] == root[s]).all():
+            at = order[s:e]
+            if (root[at] == root[at[0]]).all():
                 continue
-            at = s + np.argsort(n[s:e], kind="stable")
-            c, p, k, r = cls[at], pos[at].astype(np.int64), n[at].astype(np.int64), root[at]
-            # The larger set of a pair is in reach of both bounds of the smaller one.
-            ends = np.searchsorted(k, np.minimum(5 * k // 4, 9 * (k - p) // 4 - k), "right")
-            a, b, held = [], [], 0
-            for i, end in enumerate(ends.tolist()):
-                if end > i + 1:
-                    j = np.arange(i + 1, end)
-                    j = j[(r[j] != r[i]) & _may(k[j], p[j], k[i], p[i])]
-                    a, b, held = [*a, np.minimum(c[j], c[i])], [*b, np.maximum(c[j], c[i])], held + len(j)
-                if held > _BLOCK:
-                    yield _table(0, a, b)
-                    a, b, held = [], [], 0
-            if held:
-                yield _table(0, a, b)
+            yield from _pairs(cls[at], pos[at].astype(np.int64), n[at].astype(np.int64), root[at], block[at], bits[at], left[at[0]] != right[at[0]])
+
+
+def _pairs(c, p, k, r, block, bits, across: bool):
+    """Candidates among sets in the order of their sizes; only between different blocks if `across`."""
+    # Bitmaps by width, each also at half of it: sets that can be at 0.8 differ in width by one step at most.
+    wide = np.array([len(x) for x in bits])
+    held, place = {}, np.zeros(len(c), np.int64)
+    for w in np.unique(wide):
+        own = np.flatnonzero(wide == w)
+        place[own] = np.arange(len(own))
+        held[w] = np.frombuffer(b"".join(bits[own]), np.uint64).reshape(len(own), -1)
+    # The larger set of a pair is in reach of both bounds of the smaller one.
+    ends = np.searchsorted(k, np.minimum(5 * k // 4, 9 * (k - p) // 4 - k), "right")
+    a, b, size = [], [], 0
+    for i, end in enumerate(ends.tolist()):
+        if end > i + 1:
+            j = np.arange(i + 1, end)
+            j = j[(r[j] != r[i]) & _may(k[j], p[j], k[i], p[i])]
+            if across:
+                j = j[block[j] != block[i]]
+            mine = held[wide[i]][place[i]]
+            for w in np.unique(wide[j]):
+                own = j[wide[j] == w]
+                theirs = held[w][place[own]]
+                while theirs.shape[1] > len(mine):
+                    theirs = folded(theirs)
+                own = own[9 * np.bitwise_count(theirs ^ mine).sum(1, dtype=np.int64) <= k[own] + k[i]]
+                a, b, size = [*a, np.minimum(c[own], c[i])], [*b, np.maximum(c[own], c[i])], size + len(own)
+        if size > _BLOCK:
+            yield _table(0, a, b)
+            a, b, size = [], [], 0
+    if size:
+        yield _table(0, a, b)
+
+
+def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs of sets whose bitmaps allow a similarity of 0.8."""
+
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for columns in batches:
+            yield pa.array([alike(*row) for row in zip(*(x.to_pylist() for x in columns))], pa.bool_())
+
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    both = pairs
+    for end, x, n in (("a", "x", "nx"), ("b", "y", "ny")):
+        both = both.join(classes.select(F.col("cls").alias(end), F.col("bits").alias(x), F.col("n").alias(n)), end)
+    return both.where(F.arrow_udf(run, "boolean")("x", "y", "nx", "ny")).select("a", "b")
 
 
 def _verified(pairs: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs of sets whose similarity is 0.8 or more, counted on the whole sets."""
+    """The pairs of sets whose similarity is 0.8 or more, counted on the whole sets where bitmaps allow it."""
+    pairs = cut(_alike(pairs, classes))
     wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes, "cls").select("low.x", "low.y"))
     held = cut(sets(named.join(hinted(wanted), ["x", "y"], "left_semi").select("text")))
     both = pairs.join(held.select(F.col("cls").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("cls").alias("b"), F.col("hashes").alias("y")), "b")
@@ -238,7 +308,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     struct, and what stays is as it was. An empty table gives an empty one.
     """
     named = _named(df, id_col, text_col)
-    classes = cut(classes_of(named.select(F.struct("id", "x", "y").alias("key"), "text")).groupBy("cls").agg(F.min("key").alias("low"), F.min("fp").alias("fp")))
+    classes = cut(classes_of(named.select(F.struct("id", "x", "y").alias("key"), "text")).groupBy("cls").agg(F.min("key").alias("low"), F.min("fp").alias("fp"), F.any_value("bits").alias("bits"), F.any_value("n").alias("n")))
     found = cut(_verified(cut(close(classes.select("cls", "fp"))), named, classes))
     every = -(-classes.count() // ORDER_ROWS)
     some = classes.where(F.pmod(F.xxhash64("cls"), F.lit(max(1, every))) == 0).select("low.x", "low.y")
@@ -251,8 +321,13 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     found = cut(found.unionByName(_verified(pairs, named, classes)))
     large = met.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("cls"), "pos", "n")
     if not large.isEmpty():
-        large = _rooted(large, hinted(cut(connected(found))), "cls", "root").select("token", "cls", "pos", "n", "root")
-        more = large.repartition("token").sortWithinPartitions("token").mapInArrow(_rest, schema).select("a", "b").distinct()
+        large = cut(_rooted(large, hinted(cut(connected(found))), "cls", "root").select("token", "cls", "pos", "n", "root"))
+        mixed = large.groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("r"), F.max("root").alias("q")).where("r <> q")
+        large = large.join(mixed.select("token", F.ceil(F.col("m") / _SPLIT).cast("int").alias("parts")), "token").join(classes.select("cls", "bits"), "cls")
+        large = large.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+        others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right")))
+        large = large.select("token", F.explode(others).alias("g"), "block", "cls", "pos", "n", "root", "bits").select("token", "g.left", "g.right", "block", "cls", "pos", "n", "root", "bits")
+        more = large.repartition("token", "left", "right").sortWithinPartitions("token", "left", "right").mapInArrow(_rest, schema).select("a", "b").distinct()
         more = cut(more.join(pairs, ["a", "b"], "left_anti"))
         found = cut(found.unionByName(_verified(more, named, classes)))
     nodes = connected(found).withColumnRenamed("node", "cls")

@@ -87,3 +87,44 @@ def test_chat_markup_cannot_be_forged(spark):
     found = out.select("formatted", quotes.unmarked(F.col("body")).alias("b0"), quotes.unmarked(F.expr("regexp_extract(formatted, '(?s)^[^\\n]*\\n(.*)<[|]im_end[|]>\\n$', 1)")).alias("back")).collect()
     for r, body in zip(found, bodies):
         assert r.formatted.count("<|im_start|>") == 1 and r.formatted.count("<|im_end|>") == 1 and r.back == body
+
+
+def test_bitmaps_dismiss_no_pair_at_the_threshold():
+    from lodesift.llm import simhash_wide as W
+
+    rng = np.random.default_rng(6)
+    far = 0
+    for _ in range(400):
+        n = int(rng.choice([1, 3, 9, 40, 300, 1100, 5000]))
+        a = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        shared = int(np.ceil(n * rng.uniform(0.5, 1.0)))
+        b = np.concatenate([a[:shared], rng.integers(0, 1 << 64, int(rng.integers(0, max(2, n - shared + 2))), dtype=np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        both = len(np.intersect1d(a, b))
+        near = 9 * both >= 4 * (len(a) + len(b))
+        told = W.alike(W.bitmap(a), W.bitmap(b), len(a), len(b))
+        assert told or not near
+        far += told and 9 * both < 3 * (len(a) + len(b)) and n >= 40
+    assert far == 0
+
+
+@pytest.mark.parametrize("split", [4_096, 12])
+def test_large_postings_in_pairs_of_blocks(spark, monkeypatch, split):
+    """One passage in many texts, of which some are near copies: groups are those of all pairs."""
+    from lodesift.llm import simhash_wide as W
+
+    monkeypatch.setattr(W, "_SPLIT", split)
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(4000)]
+    passage = " ".join(rng.choices(words, k=60))
+    base = [" ".join(rng.choices(words, k=rng.choice([15, 30, 300]))) for _ in range(60)]
+    texts = [passage + " " + t for t in base] + [passage + " " + " ".join(t.split()[:-2]) + " changed" for t in base[::2]]
+    found = {r.doc_id for r in W.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert found == set(root)
