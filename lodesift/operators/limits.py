@@ -12,11 +12,11 @@ from lodesift.operators.running import blocks, running, spans
 def window_limit(rows: DataFrame, by: str, at: str, ident: str, period: str, limit: int) -> DataFrame:
     """`rows` with window_start, used and allowed: requests counted in fixed windows, `limit` allowed in each.
 
-    A window's requests are counted in pieces of ten seconds, so that a busy key is not one task's sort.
+    A window's requests are counted in pieces of ten minutes, so that a busy key is not one task's sort.
     """
     start = F.window(F.col(at).cast("timestamp"), period)["start"]
     rows = rows.withColumn("window_start", start.cast("timestamp_ntz"))
-    rows = running(rows, "used", F.lit(1).cast("bigint"), (by, "window_start"), (at, ident), spans(at, 10))
+    rows = running(rows, "used", F.lit(1).cast("bigint"), (by, "window_start"), (at, ident), spans(at, 600))
     return rows.withColumn("allowed", F.col("used") <= limit)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodesift.operators.running import blocks, running
+from lodesift.sources.shared import kept
 
 #: Rows of a piece, and pieces of a group.
 PIECE, GROUP = 256, 256
@@ -118,7 +119,7 @@ def packed(rows: DataFrame, by: str, order: str, size: str, base: int, most: int
     item = F.struct("at", F.col("z").cast("bigint").alias("z"), "o")
     cells = spread.groupBy("k", "piece").agg(F.array_sort(F.collect_list(F.when(F.col("own") == F.col("piece"), item))).alias("x"), F.transform(F.array_sort(F.collect_list(F.when(F.col("own") != F.col("piece"), item))), lambda x: x["z"]).alias("ahead"))
     steps = _bind(F.struct(F.col("x.z").alias("own"), "ahead"), lambda s: _steps(s["own"], s["ahead"], base, most, limit))
-    cells = cells.select("k", "piece", "x", steps.alias("steps")).persist()
+    cells = kept(cells.select("k", "piece", "x", steps.alias("steps")), "pieces")
     pieces = cells.select("k", "piece", _functions(F.col("steps"), most).alias("f"))
     last = cells.agg(F.max("piece")).first()[0]
     levels = 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodesift.operators.running import running
+from lodesift.operators.running import even_pieces, running
 
 #: Weights of relevance, currentness, recency and authority by the kind of question.
 WEIGHTS = {
@@ -19,23 +19,13 @@ WEIGHTS = {
 OFFSET = 10
 
 
-#: Pieces in which a criterion's values are counted.
-PIECES = 64
-
-
 def _positions(rows: DataFrame, criteria: tuple[str, ...], by: str) -> DataFrame:
     """(_q, _c, _v, _rank): the competition rank of each value of each criterion, in one pass over all of them.
 
-    Equal values are counted first, then counts are summed in pieces of the order between approximate percentiles, so that no
-    group is one task's sort. A missing value is a value too and gets the middle of the known, floor(known / 2) + 1.
+    Equal values are counted first, then counts are summed in pieces of the order, so that no large group is one task's sort. A missing value is a value too and gets the middle of the known, floor(known / 2) + 1.
     """
-    shares = [i / PIECES for i in range(1, PIECES)]
-    bounds = rows.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 1_000).alias(f"_{i}") for i, c in enumerate(criteria)]).first()
-    at = lambda i: F.size(F.filter(F.array(*[F.lit(float(b)) for b in sorted(set(bounds[i] or ()))]).cast("array<double>"), lambda b: b <= F.col("_v")))
-    piece = F.lit(0)
-    for i in range(len(criteria)):
-        piece = F.when(F.col("_c") == i, -at(i)).otherwise(piece)
-    counts = _long(rows, criteria, by).groupBy("_q", "_c", "_v").agg(F.count("*").alias("_n")).withColumn("_p", piece)
+    counts = _long(rows, criteria, by).groupBy("_q", "_c", "_v").agg(F.count("*").alias("_n"))
+    counts = even_pieces(counts, "_p", ("_q", "_c"), -F.col("_v"))
     known = F.when(F.col("_v").isNotNull(), F.col("_n"))
     group = Window.partitionBy("_q", "_c")
     pieces = counts.groupBy("_q", "_c", "_p").agg(F.sum(known).alias("_k"))

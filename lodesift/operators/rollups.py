@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodesift.functions import columns as C
-from lodesift.operators.running import blocks, cuts, running, spans
+from lodesift.operators.running import blocks, cuts, even_pieces, running, spans
 
 
 def percentiles(rows: DataFrame, value: str, by: str, shares: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
@@ -25,12 +25,15 @@ def percentiles(rows: DataFrame, value: str, by: str, shares: tuple[float, ...]
 def streaks(rows: DataFrame, by: str, order: tuple[str, ...], failed: Column, bucket: Column | None = None) -> DataFrame:
     """`rows` with `streak`: failures in a row up to and with this one; 0 after a success.
 
-    The order is cut into pieces (`bucket`, by default of about as many rows each by its first column, a time). A piece is summed up
+    The order is cut into pieces (`bucket`, by default even ones of a key's span of its first column, a time). A piece is summed up
     as its failures, those after its last success, and whether it has one; these fold over a key once, and each row adds what
     its piece begins with to its own count, so that no key is one task's sort.
     """
-    pieces = cuts(rows, F.unix_micros(F.col(order[0]).cast("timestamp"))) if bucket is None else bucket
-    rows = rows.withColumn("_f", F.coalesce(failed, F.lit(False)).cast("bigint")).withColumn("_p", pieces)
+    rows = rows.withColumn("_f", F.coalesce(failed, F.lit(False)).cast("bigint"))
+    if bucket is None:
+        rows = even_pieces(rows, "_p", (by,), F.unix_micros(F.col(order[0]).cast("timestamp")))
+    else:
+        rows = rows.withColumn("_p", bucket)
     inside = Window.partitionBy(by, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("_n", F.sum("_f").over(inside)).withColumn("_m", F.max(F.when(F.col("_f") == 0, F.col("_n"))).over(inside))
     sums = rows.groupBy(by, "_p").agg(F.max("_n").alias("_all"), F.max("_m").alias("_last"))

@@ -52,6 +52,24 @@ def spans(column: str, seconds: int = 3_600) -> Column:
     return F.floor(F.unix_micros(F.col(column).cast("timestamp")) / (seconds * 1_000_000))
 
 
+def even_pieces(rows: DataFrame, name: str, by: tuple[str, ...], at: Column, rows_each: int = 65_536) -> DataFrame:
+    """`rows` with `name`: pieces of each group along the number `at`, about one for every `rows_each` of its rows.
+
+    Small groups, most of them, are one piece. The pieces of a large one are equal spans between its ends, so they hold as many rows each
+    if these lie evenly; they never fall along `at`. Null groups are groups; a number that is null or none is in the first piece.
+    """
+    rows = rows.withColumn("_at", at.cast("double"))
+    finite = F.when(F.abs("_at") < float("inf"), F.col("_at"))
+    ends = rows.groupBy(*[F.col(c).alias(f"_e{i}") for i, c in enumerate(by)]).agg(F.ceil(F.count("*") / rows_each).alias("_k"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+    # Groups of one piece need no numbers: only large ones are looked up.
+    ends = ends.where("_k > 1 and _hi > _lo")
+    same = [F.col(c).eqNullSafe(F.col(f"_e{i}")) for i, c in enumerate(by)]
+    found = rows.join(ends, same, "left")
+    piece = F.least(F.floor((F.col("_at") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_k")), F.col("_k") - 1)
+    piece = F.when(~F.isnan("_at"), F.greatest(piece, F.lit(0)))
+    return found.withColumn(name, F.coalesce(piece, F.lit(0))).drop("_at", "_k", "_lo", "_hi", *[f"_e{i}" for i in range(len(by))])
+
+
 def cuts(rows: DataFrame, value: Column, pieces: int = 64) -> Column:
     """Pieces of an order by a number, of about as many rows each wherever the values lie; missing values are in the first piece.
 

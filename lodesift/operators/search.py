@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodesift.functions import columns as C
+from lodesift.sources.shared import kept
+
+
+def hashed(text: Column) -> Column:
+    """The distinct words of a text as 64-bit hashes, as which they meet, are counted and compared."""
+    return F.array_distinct(F.transform(C.tokens(text), lambda x: F.xxhash64(x)))
 
 
 def _asked(questions: DataFrame, counts: DataFrame) -> DataFrame:
@@ -30,12 +36,12 @@ def best_documents(questions: DataFrame, docs: DataFrame, most: int = 10, probe:
     between them; the hits of its `most`-th document among these are a bound T. A document that is as good holds T of n words, and
     so m + 1 or more of the n - T + 1 + m rarest, whatever m is: these are looked up with m = T / `spare`, and only documents that hold so many of
     them are scored. Where fewer documents are found T is 1 and all words are looked up. A word's documents are joined, never gathered;
-    counts of words meet by word, combined in each task first. What is kept between the two steps is a row for each word of a question.
+    counts of words meet by word, combined in each task first. Texts are split into words once, which are written for the steps that read them.
     """
-    asked = questions.select("question_id", C.tokens(F.col("question")).alias("w"))
-    texts = docs.select("id", C.tokens(F.col("text")).alias("t"))
+    asked = questions.select("question_id", hashed(F.col("question")).alias("w"))
+    texts = kept(docs.select("id", hashed(F.col("text")).alias("t")), "words")
     held = texts.select("id", F.explode("t").alias("word"))
-    words = _asked(asked, held.groupBy("word").agg(F.count("*").alias("df"))).persist()
+    words = kept(_asked(asked, held.groupBy("word").agg(F.count("*").alias("df"))), "asked")
     before = F.coalesce(F.sum("df").over(Window.partitionBy("question_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = words.withColumn("before", before).where((F.col("before") < probe * most) & (F.col("df") > 0))
     near = held.join(first.select("question_id", "word"), "word").select("question_id", "id").distinct()
