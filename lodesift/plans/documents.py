@@ -37,7 +37,7 @@ def _questions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, folder: str, least: float = 0.0) -> DataFrame:
-    return D.lexical_scores(_questions(spark, folder), _docs(spark, folder), least)
+    return D.lexical_scores(_questions(spark, folder), D.dealt(_docs(spark, folder).select("id", "text")), least)
 
 
 @_r.add(f"WITH {_SCORES} SELECT question_id, id AS doc_id, round(p, 9) AS usable_evidence, {_STATUS} AS status, relevance_rank, place FROM (SELECT *, rank() OVER (PARTITION BY question_id ORDER BY p DESC) AS relevance_rank, row_number() OVER (PARTITION BY question_id ORDER BY p DESC, id) AS place FROM s) WHERE place <= 10")
@@ -103,7 +103,7 @@ _BY_CHUNK = (
 @_r.add(f"WITH RECURSIVE {_BY_CHUNK} SELECT question_id, id AS doc_id, round(max(p), 9) AS probability, round(list_avg(list_reverse_sort(list(p))[1:2]), 9) AS top2_mean, CAST(arg_max(chunk, (p, -chunk)) AS INT) AS best_chunk, count(*) AS n_chunks FROM v GROUP BY 1, 2")
 def chunk_signal_max(spark: SparkSession, folder: str) -> DataFrame:
     """Score of each document from those of its chunks: the largest, the mean of the two largest, the best chunk."""
-    found = D.by_chunk(_questions(spark, folder), _docs(spark, folder), SIZE)
+    found = D.by_chunk(_questions(spark, folder), D.dealt(_docs(spark, folder).select("id", "text")), SIZE)
     return found.select("question_id", F.col("id").alias("doc_id"), F.round("probability", 9).alias("probability"), F.round("top2_mean", 9).alias("top2_mean"), "best_chunk", "n_chunks")
 
 
@@ -119,7 +119,8 @@ def dedupe_fanout(spark: SparkSession, folder: str) -> DataFrame:
     """Scores of representatives copied to their duplicates."""
     docs = D.exact_dedupe(_docs(spark, folder))
     best = docs.where("id = representative")
-    found = D.fan_out(docs.select("id", "representative"), D.lexical_scores(_questions(spark, folder), best)).where("question_id is not null")
+    scored = D.lexical_scores(_questions(spark, folder), D.dealt(best.select("id", "text"), table(spark, folder, "documents").count()))
+    found = D.fan_out(docs.select("id", "representative"), scored).where("question_id is not null")
     return found.select("question_id", F.col("id").alias("doc_id"), F.round("usable_evidence", 9).alias("probability"), "copied_from")
 
 

@@ -110,3 +110,18 @@ def test_window_counts_run_as_a_stream(spark, tmp_path):
     stream = window_counts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), limit=2)
     stream.writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.event_type, r.used, r.over) for r in spark.table("counts").collect()) == [("a", 3, 1), ("b", 1, 0)]
+
+
+def test_scores_of_dealt_documents_shuffle_no_pairs(spark, tmp_path):
+    """Counting words in common needs no shuffle beyond that of the documents, and a task's documents don't grow with the table."""
+    questions = spark.createDataFrame([(q, " ".join(f"w{q + i}" for i in range(8))) for q in range(20)], "question_id int, question string")
+    questions.write.parquet(str(tmp_path / "questions"))  # from a file, so that Spark knows its size
+    questions = spark.read.parquet(str(tmp_path / "questions"))
+    docs = spark.createDataFrame([(d, " ".join(f"w{d % 9 + i}" for i in range(12))) for d in range(300)], "id int, text string")
+    whole = {(r.question_id, r.id): r.usable_evidence for r in documents.lexical_scores(questions, docs).collect()}
+    for least in (0.0, 0.5):
+        found = documents.lexical_scores(questions, documents.dealt(docs, each=40), least)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan
+        assert {(r.question_id, r.id): r.usable_evidence for r in found.collect()} == {k: v for k, v in whole.items() if v >= least}
+    assert documents.dealt(docs, each=40).rdd.getNumPartitions() == 8
