@@ -78,7 +78,7 @@ def claim_judgments(spark: SparkSession, folder: str) -> DataFrame:
     """What documents say on claims: support, contradiction, qualification over all their chunks, and the chunk that supports most."""
     claims = table(spark, folder, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("claim"))
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
-    chunks = D.chunks(docs, SIZE).select("id", "chunk", F.col("piece").alias("text"))
+    chunks = D.chunks(D.dealt(docs), SIZE).select("id", "chunk", F.col("piece").alias("text"))
     return M.claim_judgments(claims, chunks).select("claim_id", "id", *[F.round(c, 9).alias(c) for c in ("supports", "contradicts", "qualifies")], "chunk")
 
 
