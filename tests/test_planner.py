@@ -53,3 +53,18 @@ def test_plans_of_any_words():
         for kind, text, places in found["variants"]:
             assert places == sorted(set(places)) and (kind != "keywords" or len(places) <= KEYWORDS)
             assert kind == "natural" or text == " ".join(found["tokens"][i] for i in places)
+
+
+def test_dates_of_whole_texts(spark, tmp_path):
+    """Dates stand anywhere in a question's text, and its SQL finds the same."""
+    import duckdb
+
+    from lodesift import plans
+
+    rows = [(0, "Notes of (2031-05-06), and 2031-05-07."), (1, None), (2, "none here 12031-05-06 or 2031-5-6"), (3, "late\n2030-01-02")]
+    spark.createDataFrame(rows, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = sorted(map(tuple, plans.QUERIES["plan_dates"](spark, str(tmp_path)).collect()))
+    assert found == [(0, "2031-05-06"), (0, "2031-05-07"), (2, "2025-03-04"), (3, "2030-01-02")]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    assert sorted(con.sql(plans.SQL["plan_dates"]).fetchall()) == found
