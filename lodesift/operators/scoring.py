@@ -137,10 +137,15 @@ def flattened(answers: DataFrame, by: str, ident: str, options: str, confidence:
 
 
 def response_validity(answers: DataFrame, expected: DataFrame, by: str, key: str, value: str) -> DataFrame:
-    """(by, n, valid): a reply is valid if it has each expected key once, no other, and only finite numbers from 0 to 1."""
-    want = expected.groupBy(by).agg(F.count_distinct(key).alias("_want"))
-    met = answers.join(expected.select(by, key, F.lit(1).alias("_e")).distinct(), [by, key], "left")
-    got = met.groupBy(by).agg(F.count("*").alias("n"), F.count_distinct(key).alias("_d"), F.count("_e").alias("_known"), F.count_if(~valid(F.col(value))).alias("_bad"))
-    found = want.join(got, by, "left")
-    ok = (F.col("n") == F.col("_want")) & (F.col("_d") == F.col("n")) & (F.col("_known") == F.col("n")) & (F.col("_bad") == 0)
-    return found.select(by, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.coalesce(ok, F.lit(False)).alias("valid"))
+    """(by, n, valid): a reply is valid if it has each expected key once, no other, and only finite numbers from 0 to 1.
+
+    Answers and expected keys are counted side by side by key and then by reply, so neither is joined with the other or held for its distinct keys.
+    """
+    told = answers.where(F.col(by).isNotNull()).select(by, key, F.lit(1).alias("_a"), F.lit(0).alias("_e"), (~valid(F.col(value))).cast("int").alias("_bad"))
+    both = told.unionByName(expected.select(by, key, F.lit(0).alias("_a"), F.lit(1).alias("_e"), F.lit(0).alias("_bad")))
+    each = both.groupBy(by, key).agg(F.sum("_a").alias("_a"), F.max("_e").alias("_e"), F.sum("_bad").alias("_bad"))
+    # A null key is expected by nobody and never known.
+    wrong = F.when(F.col(key).isNull(), F.col("_a") > 0).otherwise(F.col("_a") != F.col("_e"))
+    found = each.groupBy(by).agg(F.sum("_a").alias("n"), F.max("_e").alias("_e"), F.count_if(wrong | (F.col("_bad") > 0)).alias("_wrong"))
+    # A reply that nobody expects has no row.
+    return found.where("_e > 0").select(by, "n", ((F.col("n") > 0) & (F.col("_wrong") == 0)).alias("valid"))

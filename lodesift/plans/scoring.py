@@ -47,8 +47,12 @@ _CH = "SELECT l_orderkey, l_linenumber, max(l_discount) AS l_discount, max(l_tax
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    """One line for each number of an order, as chunks of a document."""
-    found = table(spark, folder, "lineitem").groupBy("l_orderkey", "l_linenumber")
+    """One line for each number of an order, as chunks of a document.
+
+    Lines are dealt by order, about 262,144 to a task, as nearly every line is a group of its own and a task that sums up its part of the file holds all of it.
+    """
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax", "l_suppkey")
+    found = lines.repartition(lines.count() // 262_144 + 1, "l_orderkey").groupBy("l_orderkey", "l_linenumber")
     return found.agg(F.max("l_discount").alias("l_discount"), F.max("l_tax").alias("l_tax"), F.min("l_suppkey").alias("l_suppkey"))
 
 

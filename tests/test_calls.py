@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodesift.functions import questions as Q
 from lodesift.operators.packing import packed
-from lodesift.operators import calls, compact
+from lodesift.operators import calls, compact, scoring
 from lodesift.operators.running import blocks, running
 
 _ROW = "question_id string, place long, id long, url string, title_key string, tier int"
@@ -105,3 +105,15 @@ def test_currentness_targets_score_a_text_once(spark):
     assert sorted(map(tuple, found.collect())) == [("q", 1, 1), ("q", 2, 2), ("q", 3, 1), ("r", 5, 1), ("r", 6, 1)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 0  # pairs are not grouped by text
+
+
+def test_reply_validity_counts_side_by_side(spark):
+    """Missing, foreign, repeated and null keys and values that are no probabilities make a reply invalid; nothing is joined."""
+    expected = spark.createDataFrame([(r, k) for r in "abcdefg" for k in "xyx"] + [(None, "x")], "r string, k string")
+    fine = [("a", "x", 0.0), ("a", "y", 1.0)]
+    bad = [("b", "x", 0.5), ("c", "x", 0.5), ("c", "y", 0.5), ("c", "z", 0.5), ("d", "x", 0.5), ("d", "y", 0.5), ("d", "y", 0.5), ("e", "x", 0.5), ("e", "y", float("nan")), ("f", "x", 0.5), ("f", None, 0.5)]
+    answers = spark.createDataFrame(fine + bad + [("nobody", "x", 0.5), (None, "x", 0.5)], "r string, k string, v double")
+    found = scoring.response_validity(answers, expected, "r", "k", "v")
+    told = {r.r: (r.n, r.valid) for r in found.collect()}
+    assert told == {"a": (2, True), "b": (1, False), "c": (3, False), "d": (3, False), "e": (2, False), "f": (2, False), "g": (0, False), None: (0, False)}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
