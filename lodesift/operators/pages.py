@@ -46,15 +46,21 @@ def grouped_pages(rows: DataFrame, by: str, page: str, order: str, title: str, t
     """(by, page, title, text, n, holds, place): records of a page as one document.
 
     The first record names it and texts follow in order. Pages with a record that `holds` a term come first, then the order of
-    the search; at most `most` pages of a search are kept (0: all). Only titles and places are sorted over a search.
+    the search; at most `most` pages of a search are kept (0: all). Only titles and places are sorted over a search; texts are read
+    again for the pages that are kept, and a page's text meets in one task only with those of its page.
     """
     held = F.col(holds) if holds else F.lit(True)
-    found = rows.where(F.col(page).isNotNull()).groupBy(by, page).agg(
-        F.min(order).alias("first"), F.min_by(title, order).alias("title"), F.array_join(in_order(F.col(text), F.col(order)), "\n\n").alias("text"), F.count("*").alias("n"), F.max(held).alias("holds")
-    )
-    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("holds"), "first"))
-    found = found.withColumn("place", place).drop("first")
-    return found.where(F.col("place") <= most) if most else found
+    rows = rows.where(F.col(page).isNotNull())
+    heads = rows.groupBy(by, page).agg(F.min(order).alias("first"), F.min_by(title, order).alias("title"), F.count("*").alias("n"), F.max(held).alias("holds"))
+    heads = heads.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("holds"), "first"))).drop("first")
+    own = ("title", "n", "holds", "place")
+    heads = heads.select(F.col(by).alias("_by"), F.col(page).alias("_page"), *own)
+    # Where a bound is given, heads are few and go to the rows, so that only texts of pages that are kept are dealt out.
+    heads = F.broadcast(heads.where(F.col("place") <= most)) if most else heads
+    found = rows.select(by, page, order, text).join(heads, F.col(by).eqNullSafe(F.col("_by")) & (F.col(page) == F.col("_page")))
+    joined = F.array_join(in_order(F.col(text), F.col(order)), "\n\n").alias("_text")
+    found = found.groupBy(by, page).agg(joined, *[F.first(c).alias(c) for c in own])
+    return found.select(by, page, "title", F.col("_text").alias("text"), "n", "holds", "place")
 
 
 def paged(rows: DataFrame, by: str, order: str, page_rows: int, max_pages: int, matched: str | None = None) -> DataFrame:

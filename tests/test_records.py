@@ -30,6 +30,32 @@ def test_moves_end_in_time(spark):
     assert found == {"0": (None, 4), "1": ("https://a.example/4", 3), "x": (None, 1), "loop": (None, 4), "none": ("https://a.example/none", 0)}
 
 
+def _carried(plan, kind):
+    """The names of the columns that go through each node of a kind."""
+    own = [[a.name() for a in map(plan.output().apply, range(plan.output().size()))]] if plan.nodeName() == kind else []
+    return own + [x for i in range(plan.children().size()) for x in _carried(plan.children().apply(i), kind)]
+
+
+def test_pages_are_placed_without_their_texts(spark):
+    rows = [("en", f"p{i % 4}", i, f"t{i}", None if i % 5 == 0 else f"x{i}", i == 7) for i in range(40)] + [(None, "p0", 90, "t", "y", False), (None, "p1", 80, "u", "z", False), ("en", None, 99, "lost", "lost", True)]
+    df = spark.createDataFrame(rows, "lang string, page string, i long, title string, text string, holds boolean")
+    every = {}
+    for lang, page, i, title, text, holds in sorted((r for r in rows if r[1]), key=lambda r: r[2]):
+        every.setdefault((lang, page), []).append((i, title, text, holds))
+    for most in (0, 1, 3):
+        found = pages.grouped_pages(df, "lang", "page", "i", "title", "text", "holds", most)
+        want = {}
+        for lang in ("en", None):
+            turn = sorted((k for k in every if k[0] == lang), key=lambda k: (not any(r[3] for r in every[k]), every[k][0][0]))
+            for place, k in enumerate(turn[: most or None], 1):
+                own = every[k]
+                want[k] = (own[0][1], "\n\n".join(r[2] for r in own if r[2] is not None), len(own), any(r[3] for r in own), place)
+        assert {(r.lang, r.page): (r.title, r.text, r.n, r.holds, r.place) for r in found.collect()} == want
+        # A search's pages meet in one task to be placed; were their texts there, it would read the whole search.
+        carried = _carried(found._jdf.queryExecution().optimizedPlan(), "Window")
+        assert carried and not any("text" in names for names in carried)
+
+
 def test_ties_go_to_the_last_intent(spark):
     rows = spark.createDataFrame([(1, 0.2, 0.2, 0.1, 0.0), (2, 0.0, 0.0, 0.0, 0.0), (3, None, None, 0.3, None)], "q int, current double, comparative double, versioned double, timeless double")
     assert {r.q: r.kind for r in scoring.intent(rows, "q").collect()} == {1: "comparative", 2: "timeless", 3: "versioned"}
