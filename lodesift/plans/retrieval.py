@@ -23,6 +23,8 @@ QUERIES, SQL = _r.queries, _r.sql
 
 # Recorded listings. One listing says that it has 120 rows, one repeats its ids from the second page on, the others end at the page limit.
 PAGE, PAGES = 100, 6
+#: Pages of a folder: 25,600 rows, about 2 MB.
+FOLDER_PAGES = 256
 _LISTED = (
     f"l AS (SELECT o_orderpriority AS listing, o_custkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS pos, o_orderkey FROM orders), "
     f"i AS (SELECT listing, pos // {PAGE} AS page, CAST(pos % {PAGE} AS INT) AS place, CASE WHEN listing = '3-MEDIUM' THEN 'r' || pos % {PAGE} ELSE CAST(o_orderkey AS VARCHAR) END AS id, CASE WHEN listing = '2-HIGH' THEN 120 END AS matched, o_custkey FROM l), "
@@ -39,7 +41,7 @@ def recorded_listings(spark: SparkSession, folder: str) -> DataFrame:
     ident = F.when(name == "3-MEDIUM", F.concat(F.lit("r"), (at % PAGE).cast("string"))).otherwise(F.col("o_orderkey").cast("string"))
     rows = table(spark, folder, "orders").select(name.alias("priority"), "o_orderkey", ident.alias("id"), "o_custkey")
     path = scratch(spark, "listings")
-    L.record(rows, path, "priority", F.col("o_orderkey"), "id", PAGE, F.when(F.col("priority") == "2-HIGH", 120))
+    L.record(rows, path, "priority", F.col("o_orderkey"), "id", PAGE, F.when(F.col("priority") == "2-HIGH", 120), FOLDER_PAGES)
     pages = L.listings(spark, path).where(F.col("offset") < PAGE * PAGES)
     found = L.followed(pages, PAGES)
     return found.select("listing", F.col("page").cast("bigint").alias("page"), "place", "id", F.get_json_object("row", "$.o_custkey").cast("bigint").alias("customer"))

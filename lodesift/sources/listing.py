@@ -1,14 +1,16 @@
-"""Recorded listings as a Spark data source: folders of reply pages, one partition a page.
+"""Recorded listings as a Spark data source: folders of reply pages, one partition a folder.
 
 A listing is read in pages by offset. Replies are recorded as `listing=<name>/offset=<n>/` with one JSON object a line:
-{"meta": {"matched": count or null}, "rows": [...]}. The reader plans partitions from folder names alone; filters on the listing,
-the offset and the page leave whole folders unread. The rules that end a listing (its count, its page limit, a page without anything new) are joins over
+{"meta": {"matched": count or null}, "rows": [...]}. A folder `offset=<n>-<m>` holds all pages from n to m, each with its own
+"offset" in "meta". The reader plans partitions from folder names alone; filters on the listing and the offset leave whole folders
+unread, and of a folder of several pages those that they don't want. The rules that end a listing (its count, its page limit, a page without anything new) are joins over
 what the pages say, in `followed`.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -31,9 +33,11 @@ def _opened(path: str):
     return fs.LocalFileSystem(), path
 
 
-class Page(InputPartition):
-    def __init__(self, listing: str, offset: int, files: tuple[str, ...]):
-        self.listing, self.offset, self.files = listing, offset, files
+class Folder(InputPartition):
+    """The files of a folder with the pages from `first` to `last`; both are the page's offset where it holds one."""
+
+    def __init__(self, listing: str, first: int, last: int, files: tuple[str, ...]):
+        self.listing, self.first, self.last, self.files = listing, first, last, files
 
 
 class Reader(DataSourceReader):
@@ -45,16 +49,21 @@ class Reader(DataSourceReader):
         for f in filters:
             name = f.attribute if hasattr(f, "attribute") else ()
             if isinstance(f, (EqualTo, EqualNullSafe)) and name in (("listing",), ("offset",)) and f.value is not None:
-                self.tests.append((name[0], lambda x, v=f.value: x == v))
+                self.tests.append((name[0], lambda x, v=f.value: x == v, lambda a, b, v=f.value: a <= v <= b))
             elif isinstance(f, In) and name in (("listing",), ("offset",)):
-                self.tests.append((name[0], lambda x, v=frozenset(f.value): x in v))
+                self.tests.append((name[0], lambda x, v=frozenset(f.value): x in v, lambda a, b, v=f.value: any(x is not None and a <= x <= b for x in v)))
             elif type(f) in _COMPARE and name == ("offset",) and f.value is not None:
-                self.tests.append(("offset", lambda x, v=f.value, c=_COMPARE[type(f)]: c(x, v)))
+                # A comparison that holds anywhere in a span holds at one of its ends.
+                self.tests.append(("offset", lambda x, v=f.value, c=_COMPARE[type(f)]: c(x, v), lambda a, b, v=f.value, c=_COMPARE[type(f)]: c(a, v) or c(b, v)))
             else:
                 yield f
 
     def wanted(self, name: str, value) -> bool:
-        return all(test(value) for n, test in self.tests if n == name)
+        return all(test(value) for n, test, _ in self.tests if n == name)
+
+    def wanted_in(self, first: int, last: int) -> bool:
+        """Whether pages from `first` to `last` may be wanted."""
+        return all(test(first, last) for n, _, test in self.tests if n == "offset")
 
     def partitions(self):
         from pyarrow import fs
@@ -67,14 +76,23 @@ class Reader(DataSourceReader):
             if not a.base_name.startswith("listing=") or not self.wanted("listing", listing):
                 continue
             for b in store.get_file_info(fs.FileSelector(a.path)):
-                if not b.base_name.startswith("offset=") or not self.wanted("offset", offset := int(b.base_name.removeprefix("offset="))):
+                if not b.base_name.startswith("offset="):
+                    continue
+                span = re.fullmatch(r"offset=(-?\d+)(?:-(\d+))?", b.base_name)
+                if not span:
+                    raise ValueError(f"{b.path}: the folder's name has no offset")
+                first, last = int(span[1]), int(span[2] or span[1])
+                if not self.wanted_in(first, last):
                     continue
                 files = tuple(sorted(f.path for f in store.get_file_info(fs.FileSelector(b.path)) if f.is_file and not f.base_name.startswith((".", "_"))))
-                found.append(Page(listing, offset, files))
-        return found or [Page("", 0, ())]
+                found.append(Folder(listing, first, last, files))
+        return found or [Folder("", 0, 0, ())]
 
     def read(self, partition):
-        """Rows of one page: the whole row as JSON, and its id where it has one. A reply that doesn't parse or has no rows is an error."""
+        """Rows of a folder's pages: the whole row as JSON, and its id where it has one.
+
+        A reply that doesn't parse or has no rows is an error, and one that doesn't say which of its folder's pages it is.
+        """
         store = _opened(self.path)[0]
         names = ["listing", "offset", "matched", "n_rows", "place", "id", "row"]
         types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
@@ -83,12 +101,19 @@ class Reader(DataSourceReader):
                 lines = [x for x in f.read().split(b"\n") if x.strip()]
             for line in lines:
                 reply = json.loads(line)
-                rows, matched = reply.get("rows"), (reply.get("meta") or {}).get("matched")
+                meta = reply.get("meta") or {}
+                rows, matched, offset = reply.get("rows"), meta.get("matched"), partition.first
+                if partition.last != partition.first:
+                    offset = meta.get("offset")
+                    if type(offset) is not int or not partition.first <= offset <= partition.last:
+                        raise ValueError(f"{file}: the reply's offset {offset!r} is not of its folder")
+                    if not self.wanted("offset", offset):
+                        continue
                 if not isinstance(rows, list):
                     raise ValueError(f"{file}: the reply has no rows")
-                told = [(partition.listing, partition.offset, matched, len(rows), k, None if r.get(self.ident) is None else str(r[self.ident]), json.dumps(r, ensure_ascii=False)) for k, r in enumerate(rows)]
+                told = [(partition.listing, offset, matched, len(rows), k, None if r.get(self.ident) is None else str(r[self.ident]), json.dumps(r, ensure_ascii=False)) for k, r in enumerate(rows)]
                 # A page without rows still says how many there are.
-                told = told or [(partition.listing, partition.offset, matched, 0, None, None, None)]
+                told = told or [(partition.listing, offset, matched, 0, None, None, None)]
                 for i in range(0, len(told), _BATCH):
                     part = list(zip(*told[i : i + _BATCH]))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, types)], names=names)
@@ -119,18 +144,24 @@ def listings(spark: SparkSession, path: str, ident: str = "id") -> DataFrame:
     return spark.read.format("recorded_listings").option("path", path).option("id", ident).load().where("offset >= 0")
 
 
-def record(rows: DataFrame, path: str, listing: str, order: Column, ident: str, page_rows: int, matched: Column) -> None:
+def record(rows: DataFrame, path: str, listing: str, order: Column, ident: str, page_rows: int, matched: Column, folder_pages: int = 1) -> None:
     """Writes `rows` as the replies that a paged listing gives: `page_rows` rows a page, in order, with the count it says it has.
 
-    A page is a group, which is small, and one line of JSON.
+    A page is a group, which is small, and one line of JSON. A folder holds `folder_pages` pages: where there are very many pages,
+    folders and files of one page each take far longer than their rows.
     """
     place = F.row_number().over(Window.partitionBy(listing).orderBy(order)) - 1
     row = F.to_json(F.struct(*[F.col(c) for c in rows.columns]), {"ignoreNullFields": "false"})
-    placed = rows.select(F.col(listing).alias("listing"), place.alias("at"), row.alias("r"), matched.cast("bigint").alias("matched"))
-    offset = (F.col("at") - F.col("at") % page_rows).alias("offset")
-    pages = placed.groupBy("listing", offset).agg(F.array_sort(F.collect_list(F.struct("at", "r"))).alias("x"), F.first("matched").alias("m"))
-    reply = F.concat(F.lit('{"meta":'), F.to_json(F.struct(F.col("m").alias("matched")), {"ignoreNullFields": "false"}), F.lit(',"rows":['), F.array_join(F.col("x.r"), ","), F.lit("]}"))
-    pages.select("listing", "offset", reply.alias("value")).repartition("listing", "offset").write.partitionBy("listing", "offset").text(path)
+    placed = rows.select(F.col(listing).alias("listing"), place.cast("bigint").alias("at"), row.alias("r"), matched.cast("bigint").alias("matched"))
+    start = lambda n: F.col("at") - F.col("at") % n
+    width = page_rows * folder_pages
+    span = (start(width), F.lit("-"), start(width) + (width - 1))[: 3 if folder_pages > 1 else 1]
+    placed = placed.withColumn("folder", F.concat(*[c.cast("string") for c in span])).withColumn("offset", start(page_rows))
+    # Dealt by folder once: its pages are groups inside, and it becomes one file.
+    pages = placed.repartition("listing", "folder").groupBy("listing", "folder", "offset").agg(F.array_sort(F.collect_list(F.struct("at", "r"))).alias("x"), F.first("matched").alias("m"))
+    meta = F.to_json(F.struct("offset", F.col("m").alias("matched")), {"ignoreNullFields": "false"})
+    reply = F.concat(F.lit('{"meta":'), meta, F.lit(',"rows":['), F.array_join(F.col("x.r"), ","), F.lit("]}"))
+    pages.select("listing", F.col("folder").alias("offset"), reply.alias("value")).write.partitionBy("listing", "offset").text(path)
 
 
 def followed(pages: DataFrame, max_pages: int) -> DataFrame:

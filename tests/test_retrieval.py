@@ -14,6 +14,7 @@ from lodesift.functions.fitting import fitted
 from lodesift.operators import packing, ranking, search
 from lodesift.operators.reservations import reservations
 from lodesift.operators.rollups import streaks
+from lodesift.plans import retrieval
 from lodesift.sources import listing, states
 
 
@@ -198,6 +199,28 @@ def test_listing_source_prunes_pages_and_follows_the_rules(spark, tmp_path):
     assert listing.listings(spark, path).where("listing = 'none such'").count() == 0
 
 
+def test_folders_of_several_pages_read_as_single_ones(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(name, i, f"id{i % 50}") for name in ("a", "ü b/c=d%") for i in range(95)], "listing string, i long, id string")
+    for each in (1, 3):
+        listing.record(df, str(tmp_path / str(each)), "listing", F.col("i"), "id", 20, F.when(F.col("listing") == "a", 41), each)
+    folders = lambda top: collections.Counter(p.parent.name for p in top.glob("listing=*/offset=*"))
+    assert {*folders(tmp_path / "1").values()} == {5} and {*folders(tmp_path / "3").values()} == {2}
+    told = lambda each, only: sorted(map(tuple, listing.listings(spark, str(tmp_path / str(each))).where(only).collect()))
+    for only, n in {"true": 190, "offset < 60": 120, "offset <= 60": 160, "offset > 40 and offset < 80": 40, "offset >= 20": 150, "offset = 80": 30, "offset = 70": 0, "offset in (0, 40, 7)": 80, "listing = 'a' and offset < 20": 20}.items():
+        assert told(1, only) == told(3, only) and len(told(3, only)) == n, only
+    follow = lambda each: sorted(map(tuple, listing.followed(listing.listings(spark, str(tmp_path / str(each))), 4).collect()))
+    assert follow(1) == follow(3) and follow(3)
+    # A folder that no filter wants is not opened; a reply that is not of its folder is an error and is not left out.
+    (tmp_path / "3" / "listing=a" / "offset=60-119" / "part-0.json").write_text('{"meta": {"offset": 40}, "rows": []}')
+    assert len(told(3, "listing = 'a' and offset < 60")) == 60
+    with pytest.raises(Exception, match="not of its folder"):
+        told(3, "listing = 'a'")
+    # The query's folders don't grow with its pages.
+    monkeypatch.setattr(retrieval, "scratch", lambda spark, name: str(tmp_path / name))
+    assert retrieval.recorded_listings(spark, "/root/testdata/sf0.001").count() > 0
+    assert {*folders(tmp_path / "listings").values()} == {1}
+
+
 # Versions
 
 
