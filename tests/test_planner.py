@@ -68,3 +68,34 @@ def test_dates_of_whole_texts(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
     assert sorted(con.sql(plans.SQL["plan_dates"]).fetchall()) == found
+
+
+def test_dates_of_texts_of_any_length(spark, tmp_path):
+    """Texts longer than a question may be, quotes and rows without a sentence are read whole, by the query and by its SQL."""
+    import duckdb
+
+    from lodesift import plans
+
+    rows = [
+        (0, "word " * 388 + "2031-01-01"), (1, "word " * 50_000 + "[2031-01-02], end"), (2, "long " * 1_000), (3, '"one two 2031-01-03 four five" six'),
+        (4, 'an "open ' + "word " * 900 + '2031-01-04 quote" ends'), (None, "of 2031-01-05"), (-2, "of 2031-01-06"), (5, '"' * 100_000 + "2031-01-07" + "." * 100_000), (7, "2031-01-08 2031-01-08"),
+    ]
+    spark.createDataFrame(rows, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = sorted(map(tuple, plans.QUERIES["plan_dates"](spark, str(tmp_path)).collect()), key=repr)
+    expected = [(i, f"2031-01-0{d}") for i, d in ((0, 1), (1, 2), (3, 3), (4, 4), (None, 5), (-2, 6), (5, 7), (7, 8), (7, 8))]
+    assert found == sorted([*expected, (2, "2025-03-04")], key=repr)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    assert sorted(con.sql(plans.SQL["plan_dates"]).fetchall(), key=repr) == found
+
+
+def test_dates_equal_the_words_of_a_plan(spark):
+    """An expression finds the dates that the planner's words are, quoted data included."""
+    from pyspark.sql import functions as F
+
+    from lodesift.functions.planner import named_dates, split
+
+    rng, pool = random.Random(6), [*"\"“”‘’'([{<¿¡`)]}>.,;:!? \t\n\x0b\x85\xa0　-–1xé😀", *["2024-05-06"] * 12, "2024-5-06", "٢٠٢٤-٠٥-٠٦"]
+    texts = ["".join(rng.choices(pool, k=rng.randrange(30))) for _ in range(2_000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", named_dates(F.col("text")).alias("dates")).collect()
+    assert [list(r.dates) for r in rows] == [[w.text for w in split(r.text)[0] if w.date] for r in rows] and sum(len(r.dates) for r in rows) > 500
